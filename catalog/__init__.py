@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from catalog import documents, geometry
+    from catalog import documents, geometry, logs, registry
 
-    return {**geometry.QUERIES, **documents.QUERIES}
+    return {**geometry.QUERIES, **documents.QUERIES, **registry.QUERIES, **logs.QUERIES}

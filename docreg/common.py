@@ -48,6 +48,13 @@ def mean_conf(c: Column | str = "conf") -> Column:
     return mean_of_units(F.sum(conf_units(c)), F.count(col(c)))
 
 
+def computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that are worked out once. Columns added by ``select`` are
+    copied into every later expression and filter that uses them; a generator
+    row is not."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def center_y(y0: Column | str = "y0", y1: Column | str = "y1") -> Column:
     return (col(y0) + col(y1)) / F.lit(2.0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreg.common import box_height, conf_units, mean_of_units
+from docreg.common import box_height, computed, conf_units, mean_of_units
 from docreg.functions import text as tx
 
 LINE_SLACK = 4
@@ -150,19 +150,17 @@ def column_run(words: DataFrame, keys: Sequence[str] = ("doc_id",), k: int = RUN
 def value_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lines of a band with what the selection below needs to know of them."""
     items = F.array_sort(F.collect_list(F.struct("x0", "word_no", "text")))
-    return (
-        group_lines(words, keys)
-        .groupBy(*keys, "line_no")
-        .agg(
-            F.transform(items, lambda i: i["text"]).alias("_words"),
-            F.sum(conf_units()).alias("units"),
-            F.count(F.lit(1)).alias("n_words"),
-        )
-        .withColumn("text", F.array_join("_words", " "))
-        .withColumn("is_label", tx.is_label_like("text", "_words"))
-        .withColumn("is_date", tx.is_date_like(F.array_join("_words", "")))
-        .drop("_words")
+    listed = group_lines(words, keys).groupBy(*keys, "line_no").agg(
+        F.transform(items, lambda i: i["text"]).alias("_words"),
+        F.sum(conf_units()).alias("units"),
+        F.count(F.lit(1)).alias("n_words"),
     )
+    joined = computed(listed, F.array_join("_words", " ").alias("text"))
+    looks = [
+        tx.is_label_like("text", "_words").alias("is_label"),
+        tx.is_date_like(F.array_join("_words", "")).alias("is_date"),
+    ]
+    return computed(joined, *looks).drop("_words")
 
 
 def select_value_lines(
