@@ -84,12 +84,12 @@ def _intake(spark, sf):
 
 
 def _dumps(spark, sf):
-    """Words written as dump files by source and read back."""
+    """The words of every document as one dump file, by source, and read back."""
     path = work_path(spark, "dumps")
-    sources = i.table(spark, sf, "documents").select("doc_id", "source", "lang")
+    sources = i.table(spark, sf, "documents").select("doc_id", "source")
     words = i.words(spark, sf).join(sources, "doc_id").select(
-        F.col("source").alias("run"), F.col("lang").alias("region"),
-        (F.col("doc_id") * 10**12 + F.col("word_no")).alias("word_no"), "text", (F.col("conf") / 8).alias("conf"), "x0", "y0", "x1", "y1",
+        F.col("source").alias("run"), F.col("doc_id").cast("string").alias("region"),
+        "word_no", "text", (F.col("conf") / 8).alias("conf"), "x0", "y0", "x1", "y1",
     )
     word_dumps.write_word_dumps(words, path)
     return word_dumps.read_word_dumps(spark, path)
@@ -140,8 +140,8 @@ SELECT record_id, min(t) AS created, max(t) AS last_saved, count(*) AS saves, co
 UNION ALL SELECT 'records', count(DISTINCT record_id) FROM audit WHERE event='record_saved' UNION ALL SELECT 'corrections', 0"""),
     "s3_intake_status": (_intake, f"""WITH {i.INTAKE}, have AS (SELECT app_id, bool_or(kind='passport') AS p, bool_or(kind='front') AS f, bool_or(kind='back') AS b FROM intake GROUP BY app_id)
 SELECT app_id, concat_ws(',', CASE WHEN NOT p THEN 'passport' END, CASE WHEN NOT f THEN 'front' END, CASE WHEN NOT b THEN 'back' END) AS missing, p AND f AND b AS complete FROM have"""),
-    "s1_k3_word_dumps": (_dumps, f"""WITH {i.WORDS} SELECT source AS run, lang AS region,
-  (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, word_no)-1)::INT AS word_no, w.text, round(conf/8, 3) AS conf, x0, y0, x1, y1 FROM words w JOIN documents USING (doc_id)"""),
+    "s1_k3_word_dumps": (_dumps, f"""WITH {i.WORDS} SELECT source AS run, CAST(doc_id AS VARCHAR) AS region,
+  (row_number() OVER (PARTITION BY doc_id ORDER BY word_no)-1)::INT AS word_no, w.text, round(conf/8, 3) AS conf, x0, y0, x1, y1 FROM words w JOIN documents USING (doc_id)"""),
     "g1_extract_words": (_reader, """WITH l AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls,1)-1 AS line_no FROM (SELECT doc_id, string_split(text,chr(10)) AS ls FROM documents WHERE contains(text, chr(10)))),
 w AS (SELECT doc_id, line_no, unnest(ws) AS text, generate_subscripts(ws,1)-1 AS pos FROM (SELECT doc_id, line_no, string_split(ln,' ') AS ws FROM l))
 SELECT CAST(doc_id AS VARCHAR) AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos)-1)::INT AS word_no, text, 1.0::DOUBLE AS conf,

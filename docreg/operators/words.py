@@ -141,8 +141,9 @@ def dedupe_overlaps(
     """Drop second detections of the same glyphs: boxes that overlap a kept,
     more confident box (ties: the earlier word). Runs its rounds when called.
 
-    Words with the very same box are reduced to their best before any pair is
-    formed, so copies of one word never meet each other."""
+    Words with the very same box are first reduced to their best, so copies of
+    one word never meet each other; that table is written once and serves both
+    the pairing and the result."""
     if iou < 0.5:
         raise ValueError("the cell join needs an overlap of at least one half")
     keys = list(keys)
@@ -150,12 +151,12 @@ def dedupe_overlaps(
     rest = [c for c in words.columns if c not in (*keys, *box)]
     has_area = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     rank = F.struct((F.lit(0.0) - F.col("conf")).alias("less"), F.col("word_no").alias("no"))
-    ranked = words.filter(has_area).withColumn("rank", rank)
-    ranks = ranked.groupBy(*keys, *box).agg(F.min("rank").alias("rank"))
-    dropped = suppressed(overlapping_pairs(ranks, keys, iou, cell), keys)
-    best = ranked.groupBy(*keys, *box).agg(
-        F.min(F.struct("rank", *rest)).alias("_best")
-    ).select(*keys, *box, "_best.*")
+    best = reliable(
+        words.groupBy(*keys, *box, F.when(~has_area, F.col("word_no")).alias("_flat"))
+        .agg(F.min(F.struct(rank.alias("rank"), *rest)).alias("_best"))
+        .select(*keys, *box, "_best.*")
+    )
+    dropped = suppressed(overlapping_pairs(best.filter(has_area), keys, iou, cell), keys)
     if dropped is not None:
         best = best.join(dropped.withColumnRenamed("worse", "rank"), [*keys, "rank"], "left_anti")
-    return best.select(*words.columns).unionByName(words.filter(~has_area))
+    return best.select(*words.columns)

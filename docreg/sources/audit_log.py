@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docreg.common import computed
 from docreg.operators.audit import ESCAPES
 
 _LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) (.*)$"
@@ -26,24 +27,24 @@ def parse_audit(lines: DataFrame, value: str = "value") -> DataFrame:
     """(ts, event, user, attrs, malformed) of each line. Lines in the old form,
     which escapes only quotes, and marked lines are both read; a line without a
     time stamp is kept as ``malformed``."""
-    rest = F.regexp_extract(value, _LINE, 2)
-    stamped = lines.select(
-        F.try_to_timestamp(F.nullif(F.regexp_extract(value, _LINE, 1), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(1)).alias("_k"),
-        F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(2)).alias("_v"),
-        F.endswith(rest, F.lit(" " + ESCAPES)).alias("_escaped"),
+    split = computed(lines.select(value), F.regexp_extract(value, _LINE, 1).alias("_ts"), F.regexp_extract(value, _LINE, 2).alias("_rest"))
+    found = computed(
+        split,
+        F.try_to_timestamp(F.nullif(F.col("_ts"), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
+        F.regexp_extract_all("_rest", F.lit(_PAIR), F.lit(1)).alias("_k"),
+        F.regexp_extract_all("_rest", F.lit(_PAIR), F.lit(2)).alias("_v"),
+        F.endswith("_rest", F.lit(" " + ESCAPES)).alias("_escaped"),
     )
     marker = ESCAPES.split("=")[0]
     pairs = F.transform(
         F.arrays_zip("_k", "_v"), lambda p: F.struct(p["_k"].alias("key"), _value(p["_v"], F.col("_escaped")).alias("value"))
     )
     first = lambda p, i: (F.array_position(F.col("_k"), p["key"]) == i + 1) & ~(F.col("_escaped") & (p["key"] == marker))
-    attrs = F.map_from_entries(F.filter(pairs, first))
-    return stamped.select("ts", attrs.alias("attrs")).select(
+    return computed(found, F.map_from_entries(F.filter(pairs, first)).alias("_attrs")).select(
         "ts",
-        F.try_element_at("attrs", F.lit("event")).alias("event"),
-        F.try_element_at("attrs", F.lit("user")).alias("user"),
-        F.map_filter("attrs", lambda k, v: ~k.isin("event", "user")).alias("attrs"),
+        F.try_element_at("_attrs", F.lit("event")).alias("event"),
+        F.try_element_at("_attrs", F.lit("user")).alias("user"),
+        F.map_filter("_attrs", lambda k, v: ~k.isin("event", "user")).alias("attrs"),
         F.col("ts").isNull().alias("malformed"),
     )
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A reader takes the bytes of one image and gives (text, conf, x0, y0, x1, y1) rows.
 Reader = Callable[[bytes], Iterable[tuple[str, float, int, int, int, int]]]
 
-_COLUMNS = ["path", "word_no", "text", "conf", "x0", "y0", "x1", "y1", "error"]
 _SCHEMA = "path string, word_no int, text string, conf double, x0 int, y0 int, x1 int, y1 int, error string"
+_ROWS_PER_BATCH = 20_000
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,17 +24,29 @@ def extract_words(files: DataFrame, reader: Reader) -> DataFrame:
     fails on; the job goes on. Reading is the costly step, so write the result
     before splitting it with ``split_reads``."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), *[pa.int32()] * 4, pa.string()]
+        names = ["path", "word_no", "text", "conf", "x0", "y0", "x1", "y1", "error"]
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(names)
+            arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    rows = [(path, i, *word, None) for i, word in enumerate(reader(bytes(content)))]
+                    words = list(reader(content.as_py()))
+                    rows.extend((path, i, *word, None) for i, word in enumerate(words))
                 except Exception as problem:  # noqa: BLE001 - one bad file must not end the job
-                    rows = [(path, None, None, None, None, None, None, None, str(problem) or type(problem).__name__)]
-                out = pd.DataFrame(rows, columns=_COLUMNS)
-                yield out.astype({c: "Int32" for c in ("word_no", "x0", "y0", "x1", "y1")})
+                    rows.append((path, *[None] * 7, str(problem) or type(problem).__name__))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield flush()
+        yield flush()
 
-    return files.select("path", "content").mapInPandas(read, _SCHEMA)
+    return files.select("path", "content").mapInArrow(read, _SCHEMA)
 
 
 def split_reads(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
