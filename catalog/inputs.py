@@ -18,9 +18,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores, such as
+    one small test file. A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def run(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
     """Run SQL that names its tables plainly."""
-    bound = {n: table(spark, sf, n) for n in names}
+    bound = {n: spread(table(spark, sf, n)) for n in names}
     for n in names:
         sql = sql.replace(f" {n}\n", f" {{{n}}}\n").replace(f" {n} ", f" {{{n}}} ")
     return spark.sql(sql, **bound)

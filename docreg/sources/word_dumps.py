@@ -18,9 +18,11 @@ def read_word_dumps(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    part = lambda i: F.url_decode(
-        F.coalesce(F.nullif(F.regexp_extract("file", _WRITTEN, i), F.lit("")), F.regexp_extract("file", _PLAIN, i))
-    )
+    # a path is percent-encoded once, the name of a partition folder once more
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    written = lambda i: decoded(decoded(F.regexp_extract("file", _WRITTEN, i)))
+    plain = lambda i: decoded(F.regexp_extract("file", _PLAIN, i))
+    part = lambda i: F.coalesce(F.nullif(written(i), F.lit("")), plain(i))
     words = files.select(
         part(1).alias("run"), part(2).alias("region"),
         F.posexplode(F.from_json("value", _SCHEMA)).alias("word_no", "w"),
