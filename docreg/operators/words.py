@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreg.common import blank, center_y, mean_conf, reliable
+from docreg.common import blank, center_y, col, mean_conf, reliable
 from docreg.functions import text as tx
 
 MIN_CONFIDENCE = 0.60
@@ -19,6 +19,9 @@ SIDEWAYS_MIN_WORDS = 3
 SIDEWAYS_ASPECT = 1.3
 SIDEWAYS_SHARE = 0.6
 
+#: Boxes in one cell beyond which the cell is thinned out before pairing.
+CROWD = 512
+
 #: Height of the slices a page is cut into, so that no step takes a whole page.
 SLICE = 64
 
@@ -87,35 +90,82 @@ def _overlap(a: str, b: str):
     return F.when(inter > 0, inter / (area(a) + area(b) - inter)).otherwise(F.lit(0.0))
 
 
-def overlapping_pairs(boxes: DataFrame, keys: Sequence[str], iou: float, cell: tuple[int, int]) -> DataFrame:
+def _cell_of(c: Column | str, size: int) -> Column:
+    return F.floor(col(c) / F.lit(size))
+
+
+def _centered(boxes: DataFrame, cell: tuple[int, int]) -> DataFrame:
+    """Boxes with the cell (``_cx``, ``_cy``) that holds their center."""
+    return boxes.withColumn("_cx", _cell_of((F.col("x0") + F.col("x1")) / 2, cell[0])).withColumn(
+        "_cy", _cell_of((F.col("y0") + F.col("y1")) / 2, cell[1])
+    )
+
+
+def _covering(boxes: DataFrame, cell: tuple[int, int]) -> DataFrame:
+    """Boxes once per cell they cover."""
+    columns = boxes.withColumn("_cx", F.explode(F.sequence(_cell_of("x0", cell[0]), _cell_of("x1", cell[0]))))
+    return columns.withColumn("_cy", F.explode(F.sequence(_cell_of("y0", cell[1]), _cell_of("y1", cell[1]))))
+
+
+def overlapping_pairs(
+    better: DataFrame, worse: DataFrame, keys: Sequence[str], iou: float, cell: tuple[int, int]
+) -> DataFrame:
     """(page, better, worse) for boxes that overlap by at least ``iou``.
 
     With an overlap of half or more each box holds the other's center, so one
     side is placed once, by its center, and the other in every cell it covers."""
-    floor = lambda c, size: F.floor(c / F.lit(size))
-    rank_and_box = F.struct("rank", "x0", "y0", "x1", "y1")
-    centered = boxes.select(
-        *keys,
-        floor((F.col("x0") + F.col("x1")) / 2, cell[0]).alias("_cx"),
-        floor((F.col("y0") + F.col("y1")) / 2, cell[1]).alias("_cy"),
-        rank_and_box.alias("worse"),
-    )
-    covering = boxes.select(
-        *keys,
-        F.explode(F.sequence(floor(F.col("x0"), cell[0]), floor(F.col("x1"), cell[0]))).alias("_cx"),
-        "y0", "y1", rank_and_box.alias("better"),
-    ).select(
-        *keys, "_cx",
-        F.explode(F.sequence(floor(F.col("y0"), cell[1]), floor(F.col("y1"), cell[1]))).alias("_cy"),
-        "better",
-    )
+    on = [*keys, "_cx", "_cy"]
+    box = F.struct("rank", "x0", "y0", "x1", "y1")
+    wide = _covering(better, cell).select(*on, box.alias("better"))
+    once = _centered(worse, cell).select(*on, box.alias("worse"))
     return (
-        covering.join(centered, [*keys, "_cx", "_cy"])
+        wide.join(once, on)
         .filter((F.col("better.rank") < F.col("worse.rank")) & (_overlap("better", "worse") >= iou))
         .select(*keys, F.col("better.rank").alias("better"), F.col("worse.rank").alias("worse"))
     )
 
 
+def settle_crowds(
+    boxes: DataFrame, keys: Sequence[str], iou: float, cell: tuple[int, int], crowd: int = CROWD
+) -> tuple[DataFrame, DataFrame | None]:
+    """(undecided boxes, ranks dropped) after thinning out cells that hold more
+    than ``crowd`` boxes, so that no crowd is ever paired with itself.
+
+    On pages with a crowded cell, a box surely stays when it is the best of
+    every cell it covers. Everything it overlaps goes; that join meets each box
+    with the few that stay near it. Repeated while it pays; what is left is
+    decided by pairs."""
+    keys = list(keys)
+    on = [*keys, "_cx", "_cy"]
+    dropped: DataFrame | None = None
+    while True:
+        tops = _centered(boxes, cell).groupBy(*on).agg(
+            F.min(F.struct("rank", "x0", "y0", "x1", "y1")).alias("top"), F.count(F.lit(1)).alias("n")
+        )
+        crowds = reliable(tops.filter(F.col("n") > crowd).groupBy(*keys).agg(F.sum("n").alias("n")))
+        if crowds.isEmpty():
+            return boxes, dropped
+        tops = reliable(tops.join(crowds.select(*keys), keys, "left_semi"))
+        rivals = tops.select(*on, F.col("top.rank").alias("_rival"))
+        staying = (
+            _covering(tops.select(*keys, "top.*"), cell)
+            .join(rivals, on, "left")
+            .groupBy(*keys, "rank", "x0", "y0", "x1", "y1")
+            .agg(F.max(F.coalesce(F.col("_rival") < F.col("rank"), F.lit(False))).alias("_beaten"))
+            .filter(~F.col("_beaten"))
+            .drop("_beaten")
+        )
+        staying = reliable(staying)
+        out = reliable(
+            overlapping_pairs(staying, boxes, keys, iou, cell).select(*keys, F.col("worse").alias("rank")).distinct()
+        )
+        settled = out.unionByName(staying.select(*keys, "rank"))
+        boxes = reliable(boxes.join(settled, [*keys, "rank"], "left_anti"))
+        dropped = out if dropped is None else dropped.unionByName(out)
+        if out.count() * 10 < crowds.agg(F.sum("n")).first()[0]:
+            return boxes, dropped
+
+
 def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Greedy suppression over (page, better, worse): a box goes only if it
     overlaps a box that stays. Each round keeps every box no undecided better
@@ -127,7 +177,8 @@ def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         beaten = pairs.select(*keys, F.col("worse").alias("better")).distinct()
         staying = pairs.select(*keys, "better").distinct().join(beaten, [*keys, "better"], "left_anti")
         out = reliable(pairs.join(staying, [*keys, "better"], "left_semi").select(*keys, "worse").distinct())
-        dropped = out if dropped is None else dropped.unionByName(out)
+        ranks = out.withColumnRenamed("worse", "rank")
+        dropped = ranks if dropped is None else dropped.unionByName(ranks)
         pairs = reliable(
             pairs.join(out, [*keys, "worse"], "left_anti")
             .join(out.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti")
@@ -136,7 +187,11 @@ def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 
 def dedupe_overlaps(
-    words: DataFrame, keys: Sequence[str] = ("doc_id",), iou: float = MIN_OVERLAP, cell: tuple[int, int] = (128, 32)
+    words: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+    iou: float = MIN_OVERLAP,
+    cell: tuple[int, int] = (128, 32),
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Drop second detections of the same glyphs: boxes that overlap a kept,
     more confident box (ties: the earlier word). Runs its rounds when called.
@@ -156,7 +211,9 @@ def dedupe_overlaps(
         .agg(F.min(F.struct(rank.alias("rank"), *rest)).alias("_best"))
         .select(*keys, *box, "_best.*")
     )
-    dropped = suppressed(overlapping_pairs(best.filter(has_area), keys, iou, cell), keys)
-    if dropped is not None:
-        best = best.join(dropped.withColumnRenamed("worse", "rank"), [*keys, "rank"], "left_anti")
+    undecided, crowded_out = settle_crowds(best.filter(has_area).select(*keys, "rank", *box), keys, iou, cell, crowd)
+    beaten = suppressed(overlapping_pairs(undecided, undecided, keys, iou, cell), keys)
+    gone = [d for d in (crowded_out, beaten) if d is not None]
+    for dropped in gone:
+        best = best.join(dropped, [*keys, "rank"], "left_anti")
     return best.select(*words.columns)

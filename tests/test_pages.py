@@ -4,6 +4,7 @@ import random
 
 import plain
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docreg.common import list_order
@@ -82,6 +83,34 @@ def test_copies_of_one_box_never_pair(spark):
     assert kept.count() == 60001
 
 
+@pytest.mark.parametrize("crowd", [3, 60])
+def test_crowded_cells_are_thinned_exactly(words_of, crowd):
+    """Jittered detections of a few glyphs, far more than a cell may hold."""
+    rng = random.Random(crowd)
+    rows = [(9, "w", 0.9, 40 * i, 500, 40 * i + 30, 514) for i in range(6)]
+    for doc in range(3):
+        for _ in range(250):
+            x, y = rng.choice([0, 25, 60, 130]) + rng.randint(-4, 4), rng.choice([0, 14]) + rng.randint(-3, 3)
+            rows.append((doc, "w", rng.choice([0.3, 0.5, 0.7, 0.9]), x, y, x + rng.randint(25, 35), y + rng.randint(10, 16)))
+    got = {r.word_no for r in w.dedupe_overlaps(words_of(rows), crowd=crowd).collect()}
+    assert got == {p["no"] for page in as_dicts(rows).values() for p in plain.without_doubles(page)}
+
+
+def test_hot_page_of_lines(spark):
+    """One page holds a third of all words."""
+    words = spark.range(90_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 700 END AS doc_id", "id AS word_no", "concat('w', id) AS text", "0.9D AS conf",
+        "CAST(id % 40 * 50 AS INT) AS x0", "CAST(id / 40 AS INT) * 20 AS y0", "CAST(id % 40 * 50 + 40 AS INT) AS x1",
+        "CAST(id / 40 AS INT) * 20 + 12 AS y1",
+    )
+    grouped = lines.group_lines(words)
+    wrong = grouped.groupBy("doc_id", "line_no").agg(F.countDistinct("y0").alias("n")).filter("n > 1")
+    assert wrong.isEmpty()
+    assert grouped.count() == 90_000
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("y0")) - 1
+    assert grouped.withColumn("expected", rank).filter("expected <> line_no").isEmpty()
+
+
 def test_overlap_must_be_at_least_half(words_of):
     with pytest.raises(ValueError):
         w.dedupe_overlaps(words_of([(1, "a", 0.9, 0, 0, 10, 10)]), iou=0.3)
