@@ -139,13 +139,13 @@ def settle_crowds(
     on = [*keys, "_cx", "_cy"]
     dropped: DataFrame | None = None
     while True:
-        tops = _centered(boxes, cell).groupBy(*on).agg(
-            F.min(F.struct("rank", "x0", "y0", "x1", "y1")).alias("top"), F.count(F.lit(1)).alias("n")
-        )
-        crowds = reliable(tops.filter(F.col("n") > crowd).groupBy(*keys).agg(F.sum("n").alias("n")))
+        placed = _centered(boxes, cell)
+        crowds = placed.groupBy(*on).count().filter(F.col("count") > crowd).groupBy(*keys).agg(F.sum("count").alias("n"))
         if crowds.isEmpty():
             return boxes, dropped
-        tops = reliable(tops.join(crowds.select(*keys), keys, "left_semi"))
+        crowds = reliable(crowds)
+        best_of_cell = F.min(F.struct("rank", "x0", "y0", "x1", "y1")).alias("top")
+        tops = reliable(placed.join(crowds.select(*keys), keys, "left_semi").groupBy(*on).agg(best_of_cell))
         rivals = tops.select(*on, F.col("top.rank").alias("_rival"))
         staying = (
             _covering(tops.select(*keys, "top.*"), cell)
