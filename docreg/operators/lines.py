@@ -127,7 +127,8 @@ def rebuild_text(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
 
 def strip_inline_label(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Value of a label-and-value line: what follows the widest gap (of equal
-    gaps the rightmost). A lone word is the value."""
+    gaps the rightmost). A lone word is the value. The value is one text, so a
+    group is never larger than one value may be."""
     order = Window.partitionBy(*keys).orderBy("x0", "word_no")
     here = F.struct("x0", "word_no")
     gapped = words.withColumn("_gap", F.lead("x0").over(order) - F.col("x1"))
@@ -139,12 +140,18 @@ def strip_inline_label(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> D
 
 def column_run(words: DataFrame, keys: Sequence[str] = ("doc_id",), k: int = RUN_GAP) -> DataFrame:
     """Words from the left up to the first one further than ``k`` times its own
-    height from everything before it."""
-    order = Window.partitionBy(*keys).orderBy("x0", "word_no")
-    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    jump = F.coalesce(F.col("x0") - F.col("_reach") > k * box_height(), F.lit(False))
-    cut = F.max(jump).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return words.withColumn("_reach", reach).withColumn("_cut", cut).filter(~F.col("_cut")).drop("_reach", "_cut")
+    height from everything before it.
+
+    Only the first word of a place (left, right, height) can be that far, so
+    distinct places, not words, go through the window; their number is bounded
+    by the pixels of the band."""
+    keys = list(keys)
+    places = words.groupBy(*keys, "x0", "x1", box_height().alias("_height")).agg(F.min("word_no").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("x0", "_first").rowsBetween(Window.unboundedPreceding, -1)
+    jumps = places.withColumn("_reach", F.max("x1").over(before)).filter(F.col("x0") - F.col("_reach") > k * F.col("_height"))
+    cuts = jumps.groupBy(*keys).agg(F.min(F.struct("x0", F.col("_first").alias("word_no"))).alias("_cut"))
+    run = words.join(cuts, keys, "left").filter(F.col("_cut").isNull() | (F.struct("x0", "word_no") < F.col("_cut")))
+    return run.select(*words.columns)
 
 
 def value_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ ID_SLICE = 1 << 20
 
 LISTED = ["Surname", "First Name", "Original Document.Number", "Issued Document.Number"]
 REQUIRED = {"Surname": "Surname is required", "Issued Document.Number": "Issued Document.Number is required"}
+# Nationality on the data page, and its classes.
 NATIONALITY = "LEBANESE"
 CLASSES = ["A", "B", "C", "D", "E"]
 

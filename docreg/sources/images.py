@@ -22,7 +22,9 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 def extract_words(files: DataFrame, reader: Reader) -> DataFrame:
     """Words of each file, plus one row with ``error`` for each file the reader
     fails on; the job goes on. Reading is the costly step, so write the result
-    before splitting it with ``split_reads``."""
+    before splitting it with ``split_reads``. Images reach a task in batches of
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` files: set it low for large
+    ones."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), *[pa.int32()] * 4, pa.string()]
