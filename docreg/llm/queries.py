@@ -3,8 +3,30 @@ express it."""
 
 from __future__ import annotations
 
-from docreg.llm import curriculum, length_histogram, topk_search
-from docreg.llm.base import table
+from pyspark.sql import functions as F
+
+from docreg.llm import curriculum, language_id, length_histogram, quality, topk_search, toxicity
+from docreg.llm.base import fold, table
+
+
+def _scored(found, parts, held, *more):
+    """The columns of a classifier's contract beside its own."""
+    return found.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *more)
+
+
+def toxic_spans(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(toxicity.score_toxicity(docs, labels, fold(F.col("doc_id"), 5) != 0), 5, 0, "n_toxic", F.size("spans").alias("n_spans"))
+
+
+def languages(spark, sf_dir):
+    found = language_id.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 0)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def line_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _scored(quality.score_quality(docs, labels, fold(F.col("doc_id"), 3) != 1), 3, 1, "n_lines", F.size("bad_lines").alias("n_bad_lines"))
 
 
 def token_lengths(spark, sf_dir):
@@ -61,6 +83,9 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
 QUERIES = {
+    "op3_toxic_spans": (toxic_spans, None),
+    "op4_languages": (languages, None),
+    "op5_line_quality": (line_quality, None),
     "op7_token_lengths": (token_lengths, None),
     "op8_curriculum_mix": (curriculum_mix, CURRICULUM_SQL),
     "op9_exact_top_k": (exact_top_k, TOP_K_SQL),
