@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import curriculum, language_id, length_histogram, quality, topk_search, toxicity
+from docreg.llm import curriculum, decontamination, language_id, length_histogram, quality, topk_search, toxicity
 from docreg.llm.base import fold, table
 
 
@@ -14,6 +14,10 @@ def _scored(found, parts, held, *more):
     return found.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *more)
 
 
+def winnowed_hits(spark, sf_dir):
+    return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def toxic_spans(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _scored(toxicity.score_toxicity(docs, labels, fold(F.col("doc_id"), 5) != 0), 5, 0, "n_toxic", F.size("spans").alias("n_spans"))
@@ -43,6 +47,23 @@ def exact_top_k(spark, sf_dir):
 
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce({0},''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
+_BENCH_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_BENCH_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR,'') AS item_id, {_BENCH_WORDS} AS w FROM benchmark),
+lengths AS (SELECT DISTINCT least(len(w),10) AS n FROM i WHERE len(w)>0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p+n-1],' ') AS win FROM (
+  SELECT item_id, w, least(len(w),10) AS n, unnest(generate_series(1, len(w)-least(len(w),10)+1)) AS p FROM i WHERE len(w)>0)),
+dw AS (SELECT row, n, p, array_to_string(w[p:p+n-1],' ') AS win FROM (
+  SELECT row, w, n, unnest(generate_series(1, len(w)-n+1)) AS p FROM d, lengths WHERE len(w)>=n)),
+hits AS (SELECT dw.row, dw.n, dw.p, iw.item_id FROM dw JOIN iw ON dw.win=iw.win AND dw.n=iw.n),
+words AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(generate_series(p,p+n-1)) AS q FROM hits) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items,
+  sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)"""
+
 CURRICULUM_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source,'') AS source, {_WORDS.format('text')}::BIGINT AS size,
@@ -83,6 +104,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
 QUERIES = {
+    "op2_winnowed_hits": (winnowed_hits, CONTAMINATION_SQL),
     "op3_toxic_spans": (toxic_spans, None),
     "op4_languages": (languages, None),
     "op5_line_quality": (line_quality, None),
