@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import curriculum, decontamination, language_id, length_histogram, quality, topk_search, toxicity
+from docreg.llm import curriculum, decontamination, language_id, length_histogram, quality, topk_search, toxicity, warc
 from docreg.llm.base import fold, table
 
 
@@ -45,6 +45,10 @@ def exact_top_k(spark, sf_dir):
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def archived_pages(spark, sf_dir):
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce({0},''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
 _BENCH_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -103,6 +107,13 @@ scored AS (
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html,''))::BIGINT AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages),
+shared AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes>=100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id<>first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id<>first THEN first END AS refers_to
+FROM p LEFT JOIN shared USING (payload_digest)"""
+
 QUERIES = {
     "op2_winnowed_hits": (winnowed_hits, CONTAMINATION_SQL),
     "op3_toxic_spans": (toxic_spans, None),
@@ -111,4 +122,5 @@ QUERIES = {
     "op7_token_lengths": (token_lengths, None),
     "op8_curriculum_mix": (curriculum_mix, CURRICULUM_SQL),
     "op9_exact_top_k": (exact_top_k, TOP_K_SQL),
+    "op10_archived_pages": (archived_pages, ARCHIVE_SQL),
 }
