@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import curriculum, decontamination, language_id, length_histogram, quality, topk_search, toxicity, warc
+from docreg.llm import curriculum, decontamination, language_id, length_histogram, near_dedup, quality, topk_search, toxicity, warc
 from docreg.llm.base import fold, table
 
 
@@ -45,6 +45,10 @@ def exact_top_k(spark, sf_dir):
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def odd_sketch_groups(spark, sf_dir):
+    return near_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def archived_pages(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
@@ -107,6 +111,19 @@ scored AS (
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+2],' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w)-2,1))) AS p FROM d WHERE len(w)>0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s=b.s AND a.doc_id<b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id=a JOIN sizes y ON y.doc_id=b WHERE 100*k>=85*(x.n+y.n-k)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, far) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM reach r JOIN ends e ON e.a=r.far),
+least AS (SELECT id, min(far) AS component_id FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n,0)::BIGINT AS n_shingles, component_id, d.doc_id=component_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) JOIN least ON least.id=d.doc_id"""
+
 ARCHIVE_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html,''))::BIGINT AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages),
 shared AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes>=100 GROUP BY ALL)
@@ -120,6 +137,7 @@ QUERIES = {
     "op4_languages": (languages, None),
     "op5_line_quality": (line_quality, None),
     "op7_token_lengths": (token_lengths, None),
+    "op6_odd_sketch_groups": (odd_sketch_groups, NEAR_SQL),
     "op8_curriculum_mix": (curriculum_mix, CURRICULUM_SQL),
     "op9_exact_top_k": (exact_top_k, TOP_K_SQL),
     "op10_archived_pages": (archived_pages, ARCHIVE_SQL),
