@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import curriculum, decontamination, language_id, length_histogram, near_dedup, quality, topk_search, toxicity, warc
+from docreg.llm import curriculum, decontamination, language_id, length_histogram, near_dedup, ngram_lm, quality, topk_search, toxicity, warc
 from docreg.llm.base import fold, table
 
 
@@ -14,6 +14,11 @@ def _scored(found, parts, held, *more):
     return found.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *more)
 
 
+def deleted_interpolation(spark, sf_dir):
+    part = fold(F.col("doc_id"), 7)
+    return ngram_lm.score(ngram_lm.fit(table(spark, sf_dir, "documents"), part == 2, part == 3))
+
+
 def winnowed_hits(spark, sf_dir):
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -132,6 +137,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id<>first THEN 're
 FROM p LEFT JOIN shared USING (payload_digest)"""
 
 QUERIES = {
+    "op1_deleted_interpolation": (deleted_interpolation, None),
     "op2_winnowed_hits": (winnowed_hits, CONTAMINATION_SQL),
     "op3_toxic_spans": (toxic_spans, None),
     "op4_languages": (languages, None),
