@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Tables of up to so many short rows (some 10 MB) are sent to all tasks; larger ones are shuffled.
+SENT_ROWS = 200_000
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def id_text(doc_id: Column) -> Column:
     """The id as text; a null id counts as the empty text."""
     return F.coalesce(doc_id.cast("string"), F.lit(""))

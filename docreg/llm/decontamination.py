@@ -24,16 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docreg.common import computed, reliable
-from docreg.llm.base import ascii_lower
+from docreg.llm.base import ascii_lower, sent
 
 WINDOW, GRAM = 10, 5
 #: Runs of ASCII characters that belong to no word, after lower-casing.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts that still hold capitals.
 _RAW_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Tables of up to so many short rows (some 10 MB) are sent to all tasks; larger ones are shuffled.
-SENT_ROWS = 100_000
-
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), _GAPS), "")
@@ -76,10 +73,6 @@ def _windows(words: Column, lengths: list[int]) -> Column:
     return F.concat(*[each(n) for n in lengths])
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SENT_ROWS else df
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: (doc_id, n_words, n_hit, spans, items). ``spans`` are
     the joined hit spans as (start, end) in words, ``items`` the ids, as text, of
@@ -102,10 +95,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     worded = computed(keyed, words_of(F.col("text")).alias("words")).drop("text")
     printed = _fingerprints(worded, lengths, gram).select("row", F.explode("prints").alias("print"))
-    suspects = reliable(printed.join(_sent(prints, prints.count()), "print", "left_semi").select("row").distinct())
-    held = keyed.join(_sent(suspects, suspects.count()), "row", "left_semi")
+    suspects = reliable(printed.join(sent(prints), "print", "left_semi").select("row").distinct())
+    held = keyed.join(sent(suspects), "row", "left_semi")
     held = computed(held, words_of(F.col("text")).alias("words")).select("doc_id", "row", F.inline(_windows(F.col("words"), lengths)))
-    hits = held.join(_sent(cut, cut.count()), ["n", "words"]).groupBy("doc_id", "row").agg(
+    hits = held.join(sent(cut), ["n", "words"]).groupBy("doc_id", "row").agg(
         F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("at"), F.sort_array(F.collect_set("item_id")).alias("items")
     )
     # overlapping and touching occurrences become one span
@@ -121,7 +114,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         "doc_id", F.xxhash64("doc_id", "text").alias("row"),
         F.coalesce(F.size(F.array_remove(F.split("text", _RAW_GAPS), "")), F.lit(0)).alias("n_words"),
     ).withColumn("n_words", F.greatest("n_words", F.lit(0)).cast("long"))
-    found = counted.join(_sent(hits, hits.count()), (F.col("row") == F.col("hit_row")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    found = counted.join(sent(hits), (F.col("row") == F.col("hit_row")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     return found.select(
         "doc_id", "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
@@ -129,6 +122,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, with all their columns. Rows of one id are one
+    document; so are rows without id."""
+    hit = reliable(find_contamination(docs, benchmark).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("hit_id")).distinct())
+    return docs.join(sent(hit), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+
+
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_contamination(docs, benchmark)
     return found.select(

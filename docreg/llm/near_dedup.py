@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docreg.common import reliable
-from docreg.llm.base import as_long, coded_words, mixed, paired, pieces, word_hashes
+from docreg.llm.base import as_long, coded_words, mixed, paired, pieces, sent, word_hashes
 from docreg.llm.components import components
 
 _PIECE_BYTES = 3_000_000
@@ -257,5 +257,18 @@ def _still_mixed(entries: DataFrame, heads: DataFrame, labels: DataFrame) -> Dat
     return reliable(labelled.join(several, "bucket").join(heads.select("id", "n_shingles", "sketch"), "id"))
 
 
+def keep_one(docs: DataFrame, plan: Plan) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its
+    columns. Of rows that repeat an id one stays; rows without id stay."""
+    found = reliable(near_duplicates(docs, plan).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    kept = docs.join(sent(copies), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(sent(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(sent(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 def dedup_digest(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return near_duplicates(docs, plan).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docreg.llm import crf
 from docreg.llm.base import coded_words, pieces
-from docreg.llm.sample import labelled_sample, logistic, probability, share_of_ones
+from docreg.llm.sample import filtered, labelled_sample, logistic, probability, share_of_ones
 
 PER_CLASS = 1_500
 _PIECE_BYTES = 6_000_000
@@ -167,3 +167,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, n_lines long, bad_lines array<int>")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per_class: int = PER_CLASS, bar: float = 0.5) -> DataFrame:
+    """The documents whose score reaches ``bar``, with all their columns."""
+    sample, sizes = labelled_sample(docs, labels, "quality", F.lit(True) if may_learn is None else may_learn, per_class)
+    return filtered(docs, fit(sample, share_of_ones(sizes)), lambda score: score >= bar)

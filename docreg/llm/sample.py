@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docreg.llm.base import pieces
+
 #: A sampled text is at most so many characters long, so a sample has a size bound.
 LONGEST = 200_000
 
@@ -28,6 +33,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     return sorted({(r["text"], r["label"]) for r in found}, key=lambda x: (str(x[1]), x[0])), sizes
 
 
+def filtered(docs: DataFrame, model, keep: Callable[[np.ndarray], np.ndarray], piece_bytes: int = 6_000_000) -> DataFrame:
+    """The rows whose score by ``model`` is to be kept, unchanged and in place."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", piece_bytes):
+                yield part.filter(pa.array(keep(model.score(*model.mark(part.column("text").to_pylist())))))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def share_of_ones(sizes: dict) -> float:
     """Share of label 1 among all rows that may be learned from."""
     return sizes.get(1, 0) / max(1, sum(sizes.values()))

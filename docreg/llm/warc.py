@@ -29,12 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreg.common import reliable, work_path
+from docreg.llm.base import sent
 
 LEAST_BYTES = 100
 #: Bytes of payload in one archive file, on average; a file is read as a whole.
 ARCHIVE_BYTES = 16_000_000
-#: Tables of up to so many short rows are sent to all tasks; larger ones are shuffled.
-SENT_ROWS = 100_000
 _END = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -80,9 +79,8 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST
     path = path or work_path(pages.sparkSession, "archives")
     shared = reliable(revisits(pages, least))
     size = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")).first()
-    shared = F.broadcast(shared) if shared.count() <= SENT_ROWS else shared
     per_file = max(1, int(archive_bytes / max(1.0, (size["bytes"] or 0) / max(1, size["n"]))))
-    records(pages, shared).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages, sent(shared)).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
