@@ -85,7 +85,7 @@ def plan_curriculum(
     rounds = F.sequence(F.lit(0), F.lit(most_repeats - 1))
     words = lambda r: F.greatest(F.least(whole - r * F.col("source_size") - F.col("offset"), F.col("size")), F.lit(0))
     used = (F.lit(1.0) - F.col("lean"))
-    part = lambda r: (r * F.col("source_size") + F.col("offset")) / F.col("target")
+    part = lambda r: (r * F.col("source_size") + F.col("offset")) / F.nullif(F.col("target"), F.lit(0.0))
     position = lambda r: F.lit(2.0) * part(r) / (used + F.sqrt(used * used + F.lit(4.0) * F.col("lean") * part(r)))
     copies = F.filter(F.transform(rounds, lambda r: F.struct(words(r).alias("words"), position(r).alias("position"))), lambda c: c["words"] > 0)
     return placed.select(

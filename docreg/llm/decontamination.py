@@ -126,7 +126,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns. Rows of one id are one
     document; so are rows without id."""
     hit = reliable(find_contamination(docs, benchmark).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(sent(hit), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(sent(hit), docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ LEAST_BYTES = 100
 ARCHIVE_BYTES = 16_000_000
 _END = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\x00-\x08\x0a-\x1f\x7f]*)")
 _MEMBER = b"\x1f\x8b\x08"
 _LONGEST_HEAD = 1 << 16
 
@@ -98,10 +99,13 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise Damage("header does not end")
     fields: dict[str, str] = {}
     for line in data[start.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+        field = _FIELD.fullmatch(line)
+        if not field:
             raise Damage("malformed header line")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        try:
+            fields[field[1].lower().decode()] = field[2].decode()
+        except UnicodeDecodeError as problem:
+            raise Damage("malformed header line") from problem
     if not fields.get("content-length", "").isdigit():
         raise Damage("no length")
     body, stop = end + 4, end + 4 + int(fields["content-length"])
