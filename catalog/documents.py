@@ -175,7 +175,7 @@ SELECT c_custkey AS doc_id, f.field_key, f.words, CASE f.field_key
   c_custkey%9=0 AS unaligned, f.field_key='4a' AND c_custkey%3=2 AS odd
 FROM customer CROSS JOIN (VALUES ('1',[0,1]),('2',[2,3]),('3',[4,5,6]),('4a',[7,8]),('4b',[9,10,11,12,13,14]),('4c',[15,16,17]),
   ('5',[18,19]),('8',[20,21,22]),('13a',[23,24]),('13b',[25,26]),('13c',[27,28]),('13d',[]::INT[]),('15',[29])) AS f(field_key, words)),
-means AS (SELECT f.doc_id, f.field_key, (sum(CAST(round(conf*1000000) AS BIGINT))::DOUBLE/1000000.0)/count(*) AS m
+means AS (SELECT f.doc_id, f.field_key, sum(CAST(CAST(conf AS VARCHAR) AS DECIMAL(38,20)))::DOUBLE/count(*) AS m
   FROM fields f JOIN card_words w ON f.doc_id=w.doc_id AND list_contains(f.words, w.word_no) GROUP BY 1, 2)"""
 
 _mod = lambda m, k: f"CASE WHEN app_id%{m}=0 THEN '' ELSE '{k}:'||CAST(app_id AS VARCHAR) END"
@@ -222,7 +222,7 @@ QUERIES = {
     "f11_mrz_candidates": (_candidates, f"WITH {_CANDIDATES} SELECT * FROM candidates"),
     "t3_last_two": (_last_two, f"WITH {_PAIRS} SELECT * FROM zones"),
     "p1_validate_mrz": (_validate, f"""WITH {_PARSED}, {i.MRZ_WORDS}, means AS (SELECT doc_id,
-  (sum(CAST(round(conf*1000000) AS BIGINT))::DOUBLE/1000000.0)/count(*) AS m FROM mrz_words GROUP BY doc_id)
+  sum(CAST(CAST(conf AS VARCHAR) AS DECIMAL(38,20)))::DOUBLE/count(*) AS m FROM mrz_words GROUP BY doc_id)
 SELECT p.*, CAST(strptime(date_of_birth,'%d/%m/%Y') AS DATE) AS birth_day, CAST(strptime(expiry_date,'%d/%m/%Y') AS DATE) AS expiry_day,
   NOT valid OR m < 0.6 AS names_flagged, NOT valid OR m < 0.6 AS review FROM parsed p JOIN means USING (doc_id)"""),
     "a12_mrz_quality": (_quality, f"""WITH {_PARSED} SELECT issuing_country, count(*) AS documents,

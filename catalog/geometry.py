@@ -13,7 +13,7 @@ from docreg.plans.text_lines import text_lines
 from docreg.sources import reference as ref
 from docreg.sources.annotations import flatten_annotations
 
-_MEAN = "(sum(CAST(round(conf*1000000) AS BIGINT))::DOUBLE/1000000.0)/count(*)"
+_MEAN = "sum(CAST(CAST(conf AS VARCHAR) AS DECIMAL(38,20)))::DOUBLE/count(*)"
 
 # lines of pages whose words all have the same height: islands in y
 _LINES = """numbered AS (
@@ -38,10 +38,6 @@ def _group_lines(spark, sf):
     return lines.group_lines(i.words(spark, sf)).select("doc_id", "word_no", "line_no")
 
 
-def _line_spans_only(spark, sf):
-    return lines.group_lines(i.words(spark, sf), exact=False).select("doc_id", "word_no", "line_no")
-
-
 def _line_boxes(spark, sf):
     return lines.line_boxes(lines.group_lines(i.words(spark, sf)))
 
@@ -76,7 +72,8 @@ def _rotated(spark, sf):
         (-1 - F.col("doc_id")).alias("doc_id"), "word_no", "text", "conf",
         F.col("y0").alias("x0"), F.col("x0").alias("y0"), F.col("y1").alias("x1"), F.col("x1").alias("y1"),
     )
-    return w.rotated_pages(words.unionByName(turned))
+    own = i.table(spark, sf, "documents").select("doc_id")
+    return w.rotated_pages(words.unionByName(turned), pages=own.unionByName(own.select((-1 - F.col("doc_id")).alias("doc_id"))))
 
 
 def _strip_inline_label(spark, sf):
@@ -145,7 +142,11 @@ def _orientation(spark, sf):
     words = i.label_words(spark, sf)
     turned = words.withColumn("doc_id", -1 - F.col("doc_id")).withColumn("y0", 400 - F.col("y0")).withColumn("y1", F.col("y0") + 14)
     anchors = labels.label_table(spark, [(a, a, None) for a in labels.ORDERED_ANCHORS])
-    return labels.orientation_ok(labels.find_label_lines(words.unionByName(turned), anchors))
+    own = i.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"))
+    # a third set of pages holds no words at all
+    blank_pages = own.select((F.col("doc_id") + 1000000000).alias("doc_id"))
+    pages = own.unionByName(own.select((-1 - F.col("doc_id")).alias("doc_id"))).unionByName(blank_pages)
+    return labels.orientation_ok(labels.find_label_lines(words.unionByName(turned), anchors), pages=pages)
 
 
 def _assign_regions(spark, sf):
@@ -154,12 +155,14 @@ def _assign_regions(spark, sf):
 
 
 def _nested(words: DataFrame) -> DataFrame:
-    """Reader responses built from words: one paragraph per printed line."""
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    """Reader responses built from words: one paragraph per printed line. As in a
+    response, numbers that are 0 are left out, and so are some empty lists."""
+    some = lambda c: F.nullif(F.col(c), F.lit(0))
+    corner = lambda x, y: F.struct(some(x).alias("x"), some(y).alias("y"))
     word = F.struct(
         "word_no",
         F.transform(F.split("text", ""), lambda s: F.struct(s.alias("text"))).alias("symbols"),
-        (F.col("conf") * 2).alias("confidence"),
+        F.nullif(F.col("conf") * 2, F.lit(0.0)).alias("confidence"),
         F.struct(F.array(corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")).alias("vertices")).alias("bounding_box"),
     )
     pick = lambda x: F.struct(x["symbols"].alias("symbols"), x["confidence"].alias("confidence"), x["bounding_box"].alias("bounding_box"))
@@ -168,8 +171,9 @@ def _nested(words: DataFrame) -> DataFrame:
     )
     listed = F.array_sort(F.collect_list(F.struct("row_no", "paragraph")))
     block = F.struct(F.transform(listed, lambda p: p["paragraph"]).alias("paragraphs"))
-    page = F.struct(F.array(block).alias("blocks"))
-    return paragraphs.groupBy("doc_id").agg(F.struct(F.lit("t").alias("text"), F.array(page).alias("pages")).alias("annotation"))
+    bare = F.struct(F.lit(None).cast("array<struct<words:array<struct<symbols:array<struct<text:string>>,confidence:double,bounding_box:struct<vertices:array<struct<x:int,y:int>>>>>>>").alias("paragraphs"))
+    page = F.struct(F.array(bare, block).alias("blocks"))
+    return paragraphs.groupBy("doc_id").agg(F.struct(F.lit("t").alias("text"), F.array(F.struct(F.lit(None).cast("array<struct<paragraphs:array<struct<words:array<struct<symbols:array<struct<text:string>>,confidence:double,bounding_box:struct<vertices:array<struct<x:int,y:int>>>>>>>>>").alias("blocks")), page).alias("pages")).alias("annotation"))
 
 
 def _flatten_annotations(spark, sf):
@@ -197,7 +201,6 @@ QUERIES = {
   coalesce(min(CASE WHEN conf >= 0.3 THEN text END),'') AS value, {_MEAN} AS mean FROM words GROUP BY 1, 2)
 SELECT doc_id, row_no, value, mean < 0.6 OR value = '' OR doc_id%10=0 AS flagged FROM reads"""),
     "w1_group_lines": (_group_lines, f"WITH {i.WORDS}, {_LINES.format(source='words')} SELECT doc_id, word_no, line_no FROM numbered"),
-    "w1_group_lines_by_span": (_line_spans_only, f"WITH {i.WORDS}, {_LINES.format(source='words')} SELECT doc_id, word_no, line_no FROM numbered"),
     "a2_line_boxes": (_line_boxes, f"WITH {i.WORDS}, {_LINES.format(source='words')} {_BOXES}"),
     "a3_rebuild_text": (_rebuild_text, f"""WITH {i.WORDS}, {_LINES.format(source='words')}
 SELECT doc_id, string_agg(text,' ' ORDER BY line_no, x0, word_no) AS text FROM numbered GROUP BY doc_id"""),
@@ -214,7 +217,8 @@ SELECT * FROM doubled ANTI JOIN beaten USING (doc_id, word_no)"""),
   UNION ALL SELECT -1-doc_id, text, y1-y0, x1-x0 FROM words),
 counts AS (SELECT doc_id, count(*) FILTER (length(text)>=3) AS n_words,
   count(*) FILTER (length(text)>=3 AND h > w*1.3::DOUBLE) AS n_tall FROM pages2 GROUP BY doc_id)
-SELECT doc_id, n_words, n_tall, n_words >= 3 AND n_tall >= n_words*0.6::DOUBLE AS rotated FROM counts"""),
+SELECT doc_id, coalesce(n_words,0) AS n_words, coalesce(n_tall,0) AS n_tall, coalesce(n_words >= 3 AND n_tall >= n_words*0.6::DOUBLE, FALSE) AS rotated
+FROM (SELECT doc_id FROM documents UNION ALL SELECT -1-doc_id FROM documents) LEFT JOIN counts USING (doc_id)"""),
     "w2_strip_inline_label": (_strip_inline_label, f"""WITH {i.WORDS}, {_GAPPED},
 gaps AS (SELECT *, row_number() OVER o AS pos, lead(x0) OVER o - x1 AS gap FROM gapped WINDOW o AS (PARTITION BY doc_id, row_no ORDER BY x0, word_no)),
 split AS (SELECT doc_id, row_no, pos AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, row_no ORDER BY gap DESC, pos DESC) AS nth
@@ -251,7 +255,9 @@ SELECT doc_id, skipping, line_no, text FROM kept WHERE stops=0 AND line_no < 2""
     "a5_orientation_ok": (_orientation, f"""WITH {_ROWS}, {_FOUND}, n AS (SELECT doc_id, count(*) AS n FROM (
   SELECT doc_id, label FROM found WHERE nth=1 AND label IN ('father','first','nationality')
   UNION ALL SELECT doc_id, 'place' FROM printed WHERE lower(text) LIKE '%place%') GROUP BY doc_id)
-SELECT doc_id, n::INT AS n_anchors, TRUE AS upright FROM n UNION ALL SELECT -1-doc_id, n::INT, n < 2 FROM n"""),
+, all_ AS (SELECT c_custkey AS doc_id, coalesce(n,0)::INT AS n FROM customer LEFT JOIN n ON n.doc_id=c_custkey)
+SELECT doc_id, n AS n_anchors, TRUE AS upright FROM all_ UNION ALL SELECT -1-doc_id, n, n < 2 FROM all_
+UNION ALL SELECT doc_id+1000000000, 0, TRUE FROM all_"""),
     "j1_assign_regions": (_assign_regions, f"""WITH {i.CARD_WORDS}
 SELECT doc_id, word_no, r.k AS field_key FROM card_words JOIN (VALUES {_REGIONS}) AS r(k,a,b,c,d)
  ON (x0+x1)/2.0 >= trunc(a*1000) AND (x0+x1)/2.0 < trunc(c*1000) AND (y0+y1)/2.0 >= trunc(b*600) AND (y0+y1)/2.0 < trunc(d*600)"""),

@@ -18,16 +18,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores, such as
-    one small test file. A table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def run(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
     """Run SQL that names its tables plainly."""
-    bound = {n: spread(table(spark, sf, n)) for n in names}
+    bound = {n: table(spark, sf, n) for n in names}
     for n in names:
         sql = sql.replace(f" {n}\n", f" {{{n}}}\n").replace(f" {n} ", f" {{{n}}} ")
     return spark.sql(sql, **bound)
@@ -40,7 +33,7 @@ SELECT doc_id, CAST(line_no AS BIGINT)*1000000+word_no AS word_no, text,
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)*10 AS INT) AS x0,
   CAST(line_no*20+(word_no*7+doc_id)%3 AS INT) AS y0,
   CAST(line_no*20+(word_no*7+doc_id)%3+12 AS INT) AS y1,
-  CAST((doc_id*7+line_no*13+word_no*31)%101 AS DOUBLE)/100 AS conf
+  CAST((doc_id*7+line_no*13+word_no*31)%129 AS DOUBLE)/128 AS conf
 """
 _SPARK_WORDS = _WORD_COLUMNS + """
 FROM (SELECT doc_id, line_no, word_no, wd AS text
@@ -131,7 +124,7 @@ def mrz_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- zone words: customer → confidences of the words of a zone
 _MRZ_WORDS = """
-SELECT c_custkey AS doc_id, t.word_no, CAST((c_custkey*3+t.word_no*17)%101 AS DOUBLE)/100 AS conf
+SELECT c_custkey AS doc_id, t.word_no, CAST((c_custkey*3+t.word_no*17)%129 AS DOUBLE)/128 AS conf
 FROM customer CROSS JOIN (VALUES (0),(1),(2)) AS t(word_no)
 """
 MRZ_WORDS = f"mrz_words AS ({_MRZ_WORDS})"
@@ -178,7 +171,7 @@ SELECT c_custkey AS doc_id, t.word_no,
     WHEN 'GROUP1' THEN CASE c_custkey%4 WHEN 0 THEN '+' WHEN 1 THEN '0+' WHEN 2 THEN 'At' ELSE 'AB-' END
     WHEN 'SEX' THEN CASE WHEN c_custkey%2=0 THEN 'M' ELSE 'F' END
     ELSE t.text END AS text,
-  CAST((40+(c_custkey*5+t.word_no)%61) AS DOUBLE)/100 AS conf,
+  CAST((52+(c_custkey*5+t.word_no)%77) AS DOUBLE)/128 AS conf,
   t.x0, t.y0, t.x0+t.w AS x1, t.y0+14 AS y1
 FROM customer CROSS JOIN (VALUES
   (0,'L','1.',335,155,12),(1,'SURNAME','',400,155,90),
@@ -226,7 +219,7 @@ def category_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- back words: lineitem → the table on the back, 1000 x 1000 pixels
 _BACK_WORDS = """
-SELECT l_orderkey AS doc_id, ((l_partkey*100000+l_suppkey)*10+l_linenumber)*2+t.side AS word_no,
+SELECT l_orderkey AS doc_id, ((l_partkey*100000000+l_suppkey)*10+l_linenumber)*2+t.side AS word_no,
   CASE WHEN t.side=0 THEN '1/2/20' ELSE '1/2/30' END||CAST(l_linenumber%10 AS STRING) AS text,
   CAST((l_linenumber*7+t.side)%101 AS DOUBLE)/100 AS conf,
   CASE WHEN t.side=0 THEN 540 ELSE 400 END AS x0,
@@ -278,7 +271,7 @@ UNION ALL SELECT o_orderkey, 'Original Document.Category', substr('A, B, C, D',1
 RECORD_KV = f"record_kv AS ({_RECORD_KV})"
 _RECORD_CHANGES = """
 SELECT CASE WHEN o_orderkey%101=0 THEN o_orderkey+10000000 ELSE o_orderkey END AS id,
-  'Surname' AS k, o_orderpriority AS v FROM orders WHERE o_orderkey%5=0 OR o_orderkey%101=0
+  'Surname' AS k, o_orderpriority AS v FROM orders
 """
 RECORD_CHANGES = f"record_changes AS ({_RECORD_CHANGES})"
 _CREATED = "SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING)||'T08:00:00' AS created_at FROM orders\n"
@@ -333,10 +326,9 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- intake: events → documents of applications
 _INTAKE = """
-SELECT DISTINCT user_id*1000+event_id%40 AS app_id, CASE event_type WHEN 'view' THEN 'passport'
-  WHEN 'click' THEN 'front' ELSE 'back' END AS kind
+SELECT DISTINCT user_id*1000+event_id%40 AS app_id, CASE WHEN event_type IN ('view','signup') THEN 'passport'
+  WHEN event_type='click' THEN 'front' ELSE 'back' END AS kind
 FROM events
-WHERE event_type IN ('view','click','purchase')
 """
 INTAKE = f"intake AS ({_INTAKE})"
 

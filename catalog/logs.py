@@ -21,18 +21,25 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return a.format_audit(i.audit(spark, sf), _ATTRS)
 
 
+def _broken(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines, some of them broken in two: the second half is no event."""
+    lines = _lines(spark, sf)
+    torn = F.pmod(F.length("value"), F.lit(10)) == 3
+    return lines.unionByName(lines.where(torn).select(F.concat(F.lit("rest of "), F.col("value")).alias("value")))
+
+
 def _stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
 def _parsed(events: DataFrame) -> DataFrame:
     return events.select(
-        _stamp("ts").alias("ts"), "event", "user", audit_log.attr("record_id"), audit_log.attr("note"), "malformed"
+        _stamp("ts").alias("ts"), "event", "user", audit_log.attr("record_id"), audit_log.attr("note"), "malformed", F.coalesce("line", F.lit("")).alias("line")
     )
 
 
 def _parse(spark, sf):
-    return _parsed(audit_log.parse_audit(_lines(spark, sf)))
+    return _parsed(audit_log.parse_audit(_broken(spark, sf)))
 
 
 def _save_lines(spark, sf):
@@ -54,27 +61,37 @@ def _history(spark, sf):
     return h.select("record_id", _stamp("created").alias("created"), _stamp("last_saved").alias("last_saved"), "saves", "n_users", "created_by")
 
 
-def _corrections(spark, sf):
+def _correction_lines(spark, sf):
     """Events as corrections of a field named after their type."""
     events = i.table(spark, sf, "events").select(
         "ts", F.lit("field_corrected").alias("event"), F.concat(F.lit("u"), "user_id").alias("user"),
         F.col("event_type").alias("field"), F.lit("").alias("old"), F.col("props").alias("new"),
     )
-    lines = a.format_audit(events, ["event", "user", "field", "old", "new"])
-    c = audit_report(lines).corrections
+    return a.format_audit(events, ["event", "user", "field", "old", "new"])
+
+
+def _corrections(spark, sf):
+    c = audit_report(_correction_lines(spark, sf)).corrections
     return c.select("field", "user", "n", _stamp("first").alias("first"), _stamp("last").alias("last"))
 
 
 def _report(spark, sf):
-    """The three reports of one log, counted by kind."""
-    report = audit_report(_lines(spark, sf))
-    size = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("report"), "n")
-    return size(report.prints, "prints").unionByName(size(report.records, "records")).unionByName(size(report.corrections, "corrections"))
+    """All reports of one log that holds prints, saves, corrections and broken lines."""
+    report = audit_report(_broken(spark, sf).unionByName(_correction_lines(spark, sf)))
+    text = lambda c, n: F.coalesce(c.cast("string"), F.lit("")).alias(n)
+    row = lambda df, kind, key, *cols: df.select(F.lit(kind).alias("report"), text(F.col(key), "key"), *[text(c, n) for c, n in zip(cols, "abcd")])
+    col = F.col
+    return (
+        row(report.prints, "prints", "record_id", col("document"), col("previewed"), col("dispatched"), col("failed"))
+        .unionByName(row(report.records, "records", "record_id", _stamp("created"), _stamp("last_saved"), col("saves"), col("created_by")))
+        .unionByName(row(report.corrections, "corrections", "field", col("user"), col("n"), _stamp("first"), _stamp("last")))
+        .unionByName(row(report.rejects, "rejects", "line", F.lit(""), F.lit(""), F.lit(""), F.lit("")))
+    )
 
 
 def _streamed(spark, sf):
     root = work_path(spark, "audit")
-    _lines(spark, sf).repartition(5).write.text(f"{root}/in")
+    _broken(spark, sf).repartition(5).write.text(f"{root}/in")
     stream_audit(spark, f"{root}/in", f"{root}/events", f"{root}/state", files_per_batch=2).awaitTermination()
     return _parsed(spark.read.parquet(f"{root}/events"))
 
@@ -117,7 +134,9 @@ def _reader(spark, sf):
 
 
 _TS = "strftime(ts,'%Y-%m-%d %H:%M:%S')"
-_EVENTS = f"WITH {i.AUDIT} SELECT {_TS} AS ts, event, usr AS user, record_id, note, FALSE AS malformed FROM audit"
+_EVENTS = f"""WITH {i.AUDIT_LINES}
+SELECT {_TS} AS ts, event, usr AS user, record_id, note, FALSE AS malformed, '' AS line FROM audit
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, TRUE, 'rest of '||value FROM audit_lines WHERE length(value)%10=3"""
 _PRINTS = """SELECT record_id, 'booklet' AS document, count(*) FILTER (event='print_rendered') AS previewed,
   count(*) FILTER (event='print_dispatched') AS dispatched, count(*) FILTER (event='print_dispatch_failed') AS failed
 FROM audit WHERE event LIKE 'print%' GROUP BY record_id"""
@@ -136,8 +155,11 @@ UNION ALL SELECT '2026-01-01 08:00:00 event=field_corrected user=u1 record_id='|
     "a11_record_history": (_history, f"""WITH {i.AUDIT}, saved AS (SELECT record_id, usr, {_TS} AS t FROM audit WHERE event='record_saved')
 SELECT record_id, min(t) AS created, max(t) AS last_saved, count(*) AS saves, count(DISTINCT usr) AS n_users, arg_min(usr, t||usr) AS created_by FROM saved GROUP BY record_id"""),
     "a11_corrections": (_corrections, f"""SELECT event_type AS field, 'u'||user_id AS user, count(*) AS n, min({_TS}) AS first, max({_TS}) AS last FROM events GROUP BY 1, 2"""),
-    "p7_audit_report": (_report, f"""WITH {i.AUDIT}, prints AS ({_PRINTS}) SELECT 'prints' AS report, count(*) AS n FROM prints
-UNION ALL SELECT 'records', count(DISTINCT record_id) FROM audit WHERE event='record_saved' UNION ALL SELECT 'corrections', 0"""),
+    "p7_audit_report": (_report, f"""WITH {i.AUDIT_LINES}, prints AS ({_PRINTS}), saved AS (SELECT record_id, usr, {_TS} AS t FROM audit WHERE event='record_saved')
+SELECT 'prints' AS report, record_id AS key, document AS a, CAST(previewed AS VARCHAR) AS b, CAST(dispatched AS VARCHAR) AS c, CAST(failed AS VARCHAR) AS d FROM prints
+UNION ALL SELECT 'records', record_id, min(t), max(t), CAST(count(*) AS VARCHAR), arg_min(usr, t||usr) FROM saved GROUP BY record_id
+UNION ALL SELECT 'corrections', event_type, 'u'||user_id, CAST(count(*) AS VARCHAR), min({_TS}), max({_TS}) FROM events GROUP BY event_type, user_id
+UNION ALL SELECT 'rejects', 'rest of '||value, '', '', '', '' FROM audit_lines WHERE length(value)%10=3"""),
     "s3_intake_status": (_intake, f"""WITH {i.INTAKE}, have AS (SELECT app_id, bool_or(kind='passport') AS p, bool_or(kind='front') AS f, bool_or(kind='back') AS b FROM intake GROUP BY app_id)
 SELECT app_id, concat_ws(',', CASE WHEN NOT p THEN 'passport' END, CASE WHEN NOT f THEN 'front' END, CASE WHEN NOT b THEN 'back' END) AS missing, p AND f AND b AS complete FROM have"""),
     "s1_k3_word_dumps": (_dumps, f"""WITH {i.WORDS} SELECT source AS run, CAST(doc_id AS VARCHAR) AS region,

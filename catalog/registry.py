@@ -86,8 +86,7 @@ def _upsert(spark, sf):
 
 
 def _neighbours(spark, sf):
-    """Small slices, so that every slice edge is crossed."""
-    return r.neighbours(i.records(spark, sf), id_slice=500)
+    return r.neighbours(i.records(spark, sf))
 
 
 def _first_last(spark, sf):
@@ -96,14 +95,14 @@ def _first_last(spark, sf):
 
 def _numbered(spark, sf):
     records = i.records(spark, sf).select("id", r.field("Receipt.Number").alias("receipt"), r.field("Issued Document.Number").alias("issued"))
-    receipts = r.assign_numbers(records, "receipt", start=700, id_slice=500)
-    return r.assign_numbers(receipts, "issued", start=1, prefix="IDL-", id_slice=500)
+    receipts = r.assign_numbers(records, "receipt", start=700)
+    return r.assign_numbers(receipts, "issued", start=1, prefix="IDL-")
 
 
 def _change_log(spark, sf):
     """Line items as versions of their order's record."""
     items = i.table(spark, sf, "lineitem")
-    version = (F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    version = (F.col("l_partkey") * 100000000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
     return items.select(
         F.col("l_orderkey").alias("id"), version.alias("version"),
         F.timestamp_seconds(F.col("l_partkey")).alias("ts"),
@@ -123,7 +122,7 @@ def _insert(spark, sf):
         F.col("c_custkey").alias("seq"), F.lit("2026-01-01T08:00:00").alias("created_at"),
         F.create_map(F.lit("Surname"), F.col("c_name")).alias("fields"),
     )
-    grown = r.insert_records(base, new, id_slice=100)
+    grown = r.insert_records(base, new)
     return grown.select("id", "created_at", *_flat(grown, "surname"))
 
 
@@ -139,16 +138,32 @@ def _stored(spark, sf):
     return back.select("id", "created_at", *_flat(back, "surname", "first_name", "issued", "receipt", "category"))
 
 
-def _save_batch(spark, sf):
-    """Changes with the issued number kept, so that most of them pass."""
-    changes = i.table(spark, sf, "orders").select(
-        F.when(F.col("o_orderkey") % 101 == 0, F.col("o_orderkey") + 10000000).otherwise(F.col("o_orderkey")).alias("id"),
+def _batch(spark, sf):
+    """Every order as a change, every customer as a new record, and a second,
+    later version of some changes."""
+    orders = i.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    changes = orders.select(
+        F.when(key % 101 == 0, key + 10000000).otherwise(key).alias("id"), F.lit(1).alias("version"), F.lit(None).cast("long").alias("seq"),
         F.create_map(
-            F.lit("Surname"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")),
-            F.lit("Issued Document.Number"), F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise("N1"),
+            F.lit("Surname"), F.when(key % 7 == 0, "").otherwise(F.col("o_orderpriority")),
+            F.lit("Issued Document.Number"), F.when(key % 9 == 0, " ").otherwise("N1"),
         ).alias("fields"),
     )
-    saved = save_batch(i.records(spark, sf), changes)
+    later = orders.where("o_orderkey % 5 = 0").select(
+        F.when(key % 101 == 0, key + 10000000).otherwise(key).alias("id"), F.lit(2).alias("version"), F.lit(None).cast("long").alias("seq"),
+        F.create_map(F.lit("Surname"), F.lit("LATER"), F.lit("Issued Document.Number"), F.lit("N2")).alias("fields"),
+    )
+    new = i.table(spark, sf, "customer").select(
+        F.lit(None).cast("long").alias("id"), F.lit(1).alias("version"), F.col("c_custkey").alias("seq"),
+        F.create_map(F.lit("Surname"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")), F.lit("Issued Document.Number"), F.lit("N3")).alias("fields"),
+    )
+    return changes.unionByName(later).unionByName(new)
+
+
+def _save_batch(spark, sf):
+    """All outputs: records, differences, rejects and audit lines."""
+    saved = save_batch(i.records(spark, sf), _batch(spark, sf), "u1", "2026-01-02T08:00:00")
     row = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), "id", *cols)
     text = lambda c, n: (F.col(c) if isinstance(c, str) else c).alias(n)
     none = F.lit("")
@@ -156,17 +171,23 @@ def _save_batch(spark, sf):
         row(saved.records, "record", text("created_at", "a"), text(r.field("Surname"), "b"), text(r.field("First Name"), "c"))
         .unionByName(row(saved.diffs, "diff", text("field", "a"), text("old", "b"), text("new", "c")))
         .unionByName(row(saved.rejects, "reject", text("reason", "a"), none.alias("b"), none.alias("c")))
+        .unionByName(saved.lines.select(F.lit("line").alias("kind"), F.lit(None).cast("long").alias("id"), text("value", "a"), none.alias("b"), none.alias("c")))
     )
 
 
 def _streamed(spark, sf):
     """The change log of line items, streamed in files, against orders as base."""
     root = work_path(spark, "registry")
-    i.records(spark, sf).filter("id % 10 <> 3").write.parquet(f"{root}/base")
-    _change_log(spark, sf).repartition(5, "id").write.parquet(f"{root}/in")
-    record_stream.stream_records(spark, f"{root}/in", root, f"{root}/state", files_per_batch=2).awaitTermination()
-    now = record_stream.current_records(spark, root)
-    out = record_stream.rejected_changes(spark, root)
+    # ids ending in 3 are shifted, so that their changes meet no record
+    shifted = F.when(F.col("id") % 10 == 3, F.col("id") + 10000000).otherwise(F.col("id"))
+    i.records(spark, sf).withColumn("id", shifted).write.parquet(f"{root}/base")
+    # two streams with a checkpoint each, then the log is folded into a new base
+    for half in (0, 1):
+        _change_log(spark, sf).where(F.col("id") % 2 == half).repartition(5, "id").write.parquet(f"{root}/in{half}")
+        record_stream.stream_records(spark, f"{root}/in{half}", root, f"{root}/state{half}", files_per_batch=2).awaitTermination()
+    record_stream.compact_records(spark, root, f"{root}/next")
+    now = record_stream.current_records(spark, f"{root}/next")
+    out = record_stream.rejected_changes(spark, f"{root}/next")
     return now.select("id", "created_at", *_flat(now, "surname"), F.lit(False).alias("rejected")).unionByName(
         out.select("id", F.lit(None).cast("string").alias("created_at"), *_flat(out, "surname"), F.lit(True).alias("rejected"))
     )
@@ -196,7 +217,8 @@ _REASON = "CASE WHEN trim(surname)='' THEN 'Surname is required' WHEN trim(issue
 _MARKS = ", ".join(f"CASE WHEN list_contains(list_transform(string_split(category,','), lambda x: trim(x)),'{c}') THEN 'X' ELSE '' END AS category_{c}" for c in r.CLASSES)
 _FORM_OWN = {"surname": "surname", "first_name": "first_name", "orig_category": "category", "issued_number": "issued"}
 _LIST = "SELECT id, split_part(created_at,'T',1) AS created, surname, first_name, '' AS original_document_number, issued AS issued_document_number FROM wide"
-_LOG = """change_log AS (SELECT l_orderkey AS id, (l_partkey*100000+l_suppkey)*10+l_linenumber AS version, l_partkey AS ts FROM lineitem)"""
+_QUOTED = "CASE WHEN {c}='' THEN '\"\"' WHEN regexp_matches({c}, '[\\s\"]') THEN '\"'||replace({c},'\"','\\\"')||'\"' ELSE {c} END"
+_LOG = """change_log AS (SELECT l_orderkey AS id, (l_partkey*100000000+l_suppkey)*10+l_linenumber AS version, l_partkey AS ts FROM lineitem)"""
 
 QUERIES = {
     "f3_search_records": (_search, f"""WITH {i.RECORDS} SELECT DISTINCT id FROM (SELECT id, v FROM record_kv UNION ALL SELECT id, CAST(id AS VARCHAR) FROM created
@@ -229,15 +251,24 @@ UNION ALL SELECT (SELECT max(id) FROM wide)+row_number() OVER (ORDER BY c_custke
     "t5_get_records": (_get, f"WITH {i.CREATED} SELECT id, created_at FROM created WHERE id IN (SELECT l_orderkey FROM lineitem)"),
     "s4_stored_records": (_stored, f"WITH {_WIDE} SELECT id, created_at, surname, first_name, issued, receipt, category FROM wide"),
     "p6_save_batch": (_save_batch, f"""WITH {_WIDE}, raw AS (SELECT CASE WHEN o_orderkey%101=0 THEN o_orderkey+10000000 ELSE o_orderkey END AS id,
-  CASE WHEN o_orderkey%7=0 THEN '' ELSE o_orderpriority END AS s, CASE WHEN o_orderkey%9=0 THEN ' ' ELSE 'N1' END AS n FROM orders),
-good AS (SELECT * FROM raw WHERE s<>'' AND trim(n)<>'')
+  CASE WHEN o_orderkey%5=0 THEN 'LATER' WHEN o_orderkey%7=0 THEN '' ELSE o_orderpriority END AS s,
+  CASE WHEN o_orderkey%5=0 THEN 'N2' WHEN o_orderkey%9=0 THEN ' ' ELSE 'N1' END AS n FROM orders),
+good AS (SELECT * FROM raw WHERE s<>'' AND trim(n)<>''),
+fresh AS (SELECT (SELECT max(id) FROM wide)+row_number() OVER (ORDER BY c_custkey) AS id, c_name AS s FROM customer WHERE c_custkey%7<>0),
+diffs AS (SELECT id, 'Surname' AS field, surname AS old, s AS new FROM good JOIN wide USING (id) WHERE surname<>s
+  UNION ALL SELECT id, 'Issued Document.Number', issued, n FROM good JOIN wide USING (id) WHERE issued<>n),
+saves AS (SELECT id, 'update' AS mode FROM good SEMI JOIN wide USING (id) UNION ALL SELECT id, 'insert' FROM fresh),
+head AS (SELECT id, '2026-01-02 08:00:00 event=record_saved user=u1 record_id='||id||' mode='||mode||' changed_field_count='||(SELECT count(*) FROM diffs d WHERE d.id=s.id) AS line FROM saves s)
 SELECT 'record' AS kind, w.id, created_at AS a, CASE WHEN g.id IS NULL THEN surname ELSE g.s END AS b, CASE WHEN g.id IS NULL THEN first_name ELSE '' END AS c
   FROM wide w LEFT JOIN good g ON w.id=g.id
-UNION ALL SELECT 'diff', id, 'Surname', surname, s FROM good JOIN wide USING (id) WHERE surname<>s
-UNION ALL SELECT 'diff', id, 'Issued Document.Number', issued, n FROM good JOIN wide USING (id) WHERE issued<>n
+UNION ALL SELECT 'record', id, '2026-01-02T08:00:00', s, '' FROM fresh
+UNION ALL SELECT 'diff', id, field, old, new FROM diffs
 UNION ALL SELECT 'reject', id, CASE WHEN s='' THEN 'Surname is required' ELSE 'Issued Document.Number is required' END, '', '' FROM raw WHERE s='' OR trim(n)=''
-UNION ALL SELECT 'reject', id, 'unknown id', '', '' FROM good ANTI JOIN wide USING (id)"""),
-    "x2_stream_records": (_streamed, f"""WITH {_WIDE}, {_LOG}, base AS (SELECT * FROM wide WHERE id%10<>3),
+UNION ALL SELECT 'reject', NULL, 'Surname is required', '', '' FROM customer WHERE c_custkey%7=0
+UNION ALL SELECT 'reject', id, 'unknown id', '', '' FROM good ANTI JOIN wide USING (id)
+UNION ALL SELECT 'line', NULL, line, '', '' FROM head
+UNION ALL SELECT 'line', NULL, '2026-01-02 08:00:00 event=field_corrected user=u1 record_id='||id||' field='||{_QUOTED.format(c='field')}||' old='||{_QUOTED.format(c='old')}||' new='||{_QUOTED.format(c='new')}, '', '' FROM diffs"""),
+    "x2_stream_records": (_streamed, f"""WITH {_WIDE}, {_LOG}, base AS (SELECT * REPLACE (CASE WHEN id%10=3 THEN id+10000000 ELSE id END AS id) FROM wide),
 latest AS (SELECT id, max(version) AS version FROM change_log GROUP BY id)
 SELECT b.id, created_at, CASE WHEN version IS NULL THEN surname ELSE 'S'||CAST(version AS VARCHAR) END AS surname, FALSE AS rejected FROM base b LEFT JOIN latest USING (id)
 UNION ALL SELECT id, NULL, 'S'||CAST(version AS VARCHAR), TRUE FROM change_log ANTI JOIN base USING (id)"""),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 #: Columns of a word table beside its page key.
 WORD_COLUMNS = ["word_no", "text", "conf", "x0", "y0", "x1", "y1"]
 
-#: Confidences are summed as whole millionths, so a mean does not depend on the
-#: order in which partial sums arrive.
-_CONF_UNIT = 1_000_000
+#: Confidences are summed as decimals that keep every digit a double prints, so a
+#: mean does not depend on the order in which partial sums arrive.
+_CONF_DIGITS = "decimal(28,20)"
 
 
 def col(c: Column | str) -> Column:
@@ -34,18 +34,19 @@ def trimmed(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
-def conf_units(c: Column | str = "conf") -> Column:
-    return F.round(col(c) * _CONF_UNIT).cast("long")
+def conf_sum(c: Column | str = "conf") -> Column:
+    """Aggregate: exact sum of confidences."""
+    return F.sum(col(c).cast(_CONF_DIGITS))
 
 
-def mean_of_units(total: Column, n: Column) -> Column:
-    """Mean confidence from summed millionths; 0.0 for an empty group."""
-    return F.coalesce(F.when(n > 0, total / F.lit(float(_CONF_UNIT)) / n), F.lit(0.0))
+def mean_of_sum(total: Column, n: Column) -> Column:
+    """Mean confidence from an exact sum; 0.0 for an empty group."""
+    return F.coalesce(F.when(n > 0, total.cast("double") / n), F.lit(0.0))
 
 
 def mean_conf(c: Column | str = "conf") -> Column:
     """Aggregate: mean confidence of a group."""
-    return mean_of_units(F.sum(conf_units(c)), F.count(col(c)))
+    return mean_of_sum(conf_sum(c), F.count(col(c)))
 
 
 def computed(df: DataFrame, *columns: Column) -> DataFrame:

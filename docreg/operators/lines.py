@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreg.common import box_height, computed, conf_units, mean_of_units
+from docreg.common import box_height, computed, conf_sum, mean_of_sum
 from docreg.functions import text as tx
 
 LINE_SLACK = 4
@@ -77,20 +77,18 @@ def line_spans(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int =
 
 
 def group_lines(
-    words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK, exact: bool = True
+    words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK
 ) -> DataFrame:
     """Add ``line_no`` (from 0, top to bottom): a word, taken by its top, joins
     the first line whose box widened by ``slack`` holds its vertical center, or
     opens a line.
 
     Where lines stand apart the number follows from the spans alone. Blocks in
-    which lines touch depend on the order of their words; with ``exact`` those
-    blocks, and only those, are walked word by word."""
+    which lines touch depend on the order of their words; those blocks, and only
+    those, are walked word by word."""
     keys = list(keys)
     on = [*keys, "y0", "y1"]
     spans = line_spans(words, keys, slack)
-    if not exact:
-        return words.join(spans.select(*on, "line_no"), on).select(*words.columns, "line_no")
     apart = words.join(spans.filter(~F.col("_mixed")).select(*on, "line_no"), on).select(*words.columns, "line_no")
     touching = (
         words.join(spans.filter("_mixed").select(*on, "_block", "_first_line"), on)
@@ -110,12 +108,11 @@ def joined_text(order: Sequence[str], text: str = "text", separator: str = " ")
 
 def line_boxes(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per line: box, height (at least 1), text and mean confidence."""
-    units = F.sum(conf_units())
     return lines.groupBy(*keys, "line_no").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         joined_text(["x0", "word_no"]).alias("text"),
         F.count(F.lit(1)).alias("n_words"),
-        mean_of_units(units, F.count(F.lit(1))).alias("conf"),
+        mean_of_sum(conf_sum(), F.count(F.lit(1))).alias("conf"),
     ).withColumn("height", box_height())
 
 
@@ -159,7 +156,7 @@ def value_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("x0", "word_no", "text")))
     listed = group_lines(words, keys).groupBy(*keys, "line_no").agg(
         F.transform(items, lambda i: i["text"]).alias("_words"),
-        F.sum(conf_units()).alias("units"),
+        conf_sum().alias("conf_total"),
         F.count(F.lit(1)).alias("n_words"),
     )
     joined = computed(listed, F.array_join("_words", " ").alias("text"))
@@ -195,5 +192,5 @@ def value_of(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One read per band: text without Arabic runs, mean confidence over its words."""
     return lines.groupBy(*keys).agg(
         tx.prefer_latin(joined_text(["line_no"])).alias("value"),
-        mean_of_units(F.sum("units"), F.sum("n_words")).alias("conf"),
+        mean_of_sum(F.sum("conf_total"), F.sum("n_words")).alias("conf"),
     )

@@ -7,11 +7,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docreg.common import blank, text_or_blank, trimmed
 
-#: Rows of ids per slice: ids are numbered densely, so a slice has a bounded size.
+#: Ids per slice. Slices are sliced again, until one slice holds all ids there can be.
 ID_SLICE = 1 << 20
+_ID_RANGE = 1 << 64
 
 LISTED = ["Surname", "First Name", "Original Document.Number", "Issued Document.Number"]
 REQUIRED = {"Surname": "Surname is required", "Issued Document.Number": "Issued Document.Number is required"}
@@ -32,19 +34,27 @@ def _with(overrides: dict[str, Column], fields: str = "fields") -> Column:
     return F.map_concat(kept, F.create_map(*[x for n in names for x in (F.lit(n), overrides[n])]))
 
 
+def created_text(records: DataFrame) -> Column:
+    """Time of creation in ISO form, from a text or a time stamp column."""
+    kind = records.schema["created_at"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    return F.col("created_at").cast("string")
+
+
 def search_records(records: DataFrame, needle: str) -> DataFrame:
     """Records whose id, time of creation or any field value holds the text,
     without regard to case. A blank text matches all."""
     needle = needle.strip().lower()
     if not needle:
         return records
-    values = F.concat(F.map_values("fields"), F.array(F.col("id").cast("string"), F.col("created_at").cast("string")))
+    values = F.concat(F.map_values("fields"), F.array(F.col("id").cast("string"), created_text(records)))
     return records.filter(F.exists(values, lambda v: F.contains(F.lower(F.coalesce(v, F.lit(""))), F.lit(needle))))
 
 
 def list_view(records: DataFrame, newest_first: bool = False) -> DataFrame:
     """The listing: id, day of creation and four fields."""
-    day = F.split(F.col("created_at").cast("string"), "T")[0]
+    day = F.split(created_text(records), "T")[0]
     names = [k.lower().replace(" ", "_").replace(".", "_") for k in LISTED]
     view = records.select("id", day.alias("created"), *[field(k).alias(n) for k, n in zip(LISTED, names)])
     return view.orderBy(F.desc("id")) if newest_first else view
@@ -154,15 +164,30 @@ def unknown_ids(changes: DataFrame, base: DataFrame) -> DataFrame:
     return changes.join(base.select("id"), "id", "left_anti")
 
 
+def one_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, repeated): of several changes to one id the last ``version``
+    counts. Without versions there is no telling which is meant: such changes are
+    returned as repeated. Changes without id are new records and pass."""
+    plain = changes.where(F.col("id").isNull())
+    named = changes.where(F.col("id").isNotNull())
+    if "version" in changes.columns:
+        rest = [c for c in changes.columns if c != "id"]
+        last = named.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("_last"))
+        return last.select("id", "_last.*").select(*changes.columns).unionByName(plain), named.limit(0)
+    often = named.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
+    return named.join(often, "id", "left_anti").select(*changes.columns).unionByName(plain), named.join(often, "id", "left_semi").select(*changes.columns)
+
+
 def upsert_records(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new base, rejected): a change replaces the whole map of its record and
-    leaves ``created_at``. Changes to unknown ids are returned, not applied.
-    ``changes`` has at most one row per id (see ``latest_records``)."""
+    leaves ``created_at``. Changes to unknown ids are returned, not applied, and so
+    are repeated changes to one id that no ``version`` settles."""
+    changes, repeated = one_per_id(changes)
     update = changes.select("id", F.struct("fields").alias("_change"))
     new = base.join(update, "id", "left").withColumn(
         "fields", F.when(F.col("_change").isNotNull(), F.col("_change.fields")).otherwise(F.col("fields"))
     )
-    return new.select(*base.columns), unknown_ids(changes, base)
+    return new.select(*base.columns), unknown_ids(changes, base).unionByName(repeated)
 
 
 def latest_records(changes: DataFrame) -> DataFrame:
@@ -176,43 +201,67 @@ def latest_records(changes: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(records: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
-    """Previous and next id of every record; NULL at the ends.
-
-    Ids are sorted slice by slice; only one row per slice meets the others."""
-    sliced = records.select("id", F.floor(F.col("id") / id_slice).alias("_slice"))
-    inside = Window.partitionBy("_slice").orderBy("id")
-    ends = sliced.groupBy("_slice").agg(F.min("id").alias("_head"), F.max("id").alias("_tail"))
-    across = Window.orderBy("_slice")
-    ends = ends.select(
-        "_slice", F.lag("_tail").over(across).alias("_before"), F.lead("_head").over(across).alias("_after")
-    )
-    return (
-        sliced.withColumn("previous_id", F.lag("id").over(inside))
-        .withColumn("next_id", F.lead("id").over(inside))
-        .join(ends, "_slice")
-        .select("id", F.coalesce("previous_id", "_before").alias("previous_id"),
-                F.coalesce("next_id", "_after").alias("next_id"))
+def _levels(id_slice: int) -> int:
+    """How often ids are sliced until one slice holds all there can be."""
+    levels, span = 0, _ID_RANGE
+    while span > id_slice:
+        levels, span = levels + 1, -(-span // id_slice)
+    return levels
+
+
+def _beside(rows: DataFrame, id_slice: int, levels: int) -> DataFrame:
+    """Rows (_at, _head, _tail) with the tail before and the head after each in
+    order of ``_at``. Rows meet inside their slice; the ends of slices meet the
+    same way one level up, so no window holds more rows than a slice has ids."""
+    look = lambda order: (F.lag("_tail").over(order).alias("_before"), F.lead("_head").over(order).alias("_after"))
+    if levels == 0:
+        return rows.select("_at", *look(Window.orderBy("_at")))
+    sliced = rows.withColumn("_slice", F.floor(F.col("_at") / id_slice))
+    ends = sliced.groupBy("_slice").agg(F.min_by("_head", "_at").alias("_head"), F.max_by("_tail", "_at").alias("_tail"))
+    above = _beside(ends.withColumnRenamed("_slice", "_at"), id_slice, levels - 1)
+    above = above.select(F.col("_at").alias("_slice"), F.col("_before").alias("_far_before"), F.col("_after").alias("_far_after"))
+    inside = sliced.select("_at", "_slice", *look(Window.partitionBy("_slice").orderBy("_at")))
+    return inside.join(above, "_slice").select(
+        "_at", F.coalesce("_before", "_far_before").alias("_before"), F.coalesce("_after", "_far_after").alias("_after")
     )
 
 
+def neighbours(records: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
+    """Previous and next id of every record; NULL at the ends."""
+    rows = records.select(F.col("id").alias("_at"), F.col("id").alias("_head"), F.col("id").alias("_tail"))
+    found = _beside(rows, id_slice, _levels(id_slice))
+    return found.select(F.col("_at").alias("id"), F.col("_before").alias("previous_id"), F.col("_after").alias("next_id"))
+
+
 def first_and_last(records: DataFrame) -> DataFrame:
     """Where browsing starts without a current record: next → first, previous → last."""
     return records.agg(F.max("id").alias("previous_id"), F.min("id").alias("next_id"))
 
 
+def _ahead(counts: DataFrame, id_slice: int, levels: int) -> DataFrame:
+    """Rows (_slice, _n) with the sum of ``_n`` of all earlier slices, level by
+    level as in ``_beside``."""
+    before = lambda order: F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if levels <= 0:
+        return counts.select("_slice", before(Window.orderBy("_slice")).alias("_ahead"))
+    sliced = counts.withColumn("_outer", F.floor(F.col("_slice") / id_slice))
+    above = _ahead(sliced.groupBy(F.col("_outer").alias("_slice")).agg(F.sum("_n").alias("_n")), id_slice, levels - 1)
+    above = above.select(F.col("_slice").alias("_outer"), F.col("_ahead").alias("_far"))
+    inside = sliced.select("_slice", "_outer", before(Window.partitionBy("_outer").orderBy("_slice")).alias("_near"))
+    return inside.join(above, "_outer").select("_slice", (F.col("_near") + F.col("_far")).alias("_ahead"))
+
+
 def _running_number(rows: DataFrame, order: str, id_slice: int) -> DataFrame:
     """``_number`` from 1 by ``order``: counted per slice, then shifted by the
     sizes of the earlier slices."""
     sliced = rows.withColumn("_slice", F.floor(F.col(order) / id_slice))
     counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = _ahead(counts, id_slice, _levels(id_slice) - 1)
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
     return (
         sliced.withColumn("_rank", rank).join(offsets, "_slice")
-        .withColumn("_number", F.col("_offset") + F.col("_rank"))
-        .drop("_slice", "_rank", "_offset")
+        .withColumn("_number", F.col("_ahead") + F.col("_rank"))
+        .drop("_slice", "_rank", "_ahead")
     )
 
 
@@ -229,10 +278,15 @@ def assign_numbers(
     return records.filter(~to_number).unionByName(fresh)
 
 
-def insert_records(base: DataFrame, new: DataFrame, order: str = "seq", id_slice: int = ID_SLICE) -> DataFrame:
-    """Append new records (``order``, ``created_at``, ``fields``), numbered on
-    from the highest id."""
+def new_records(base: DataFrame, new: DataFrame, order: str = "seq", id_slice: int = ID_SLICE) -> DataFrame:
+    """New records (``order``, ``created_at``, ``fields``) numbered on from the
+    highest id."""
     numbered = _running_number(new, order, id_slice)
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     rows = numbered.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_number"))
-    return base.unionByName(rows.select(*base.columns))
+    return rows.select(*base.columns)
+
+
+def insert_records(base: DataFrame, new: DataFrame, order: str = "seq", id_slice: int = ID_SLICE) -> DataFrame:
+    """The base with new records added, see ``new_records``."""
+    return base.unionByName(new_records(base, new, order, id_slice))

@@ -52,14 +52,18 @@ def avg_confidence(words: DataFrame, pages: DataFrame, keys: Sequence[str] = ("d
     )
 
 
-def rotated_pages(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Pages whose words are mostly taller than wide."""
+def rotated_pages(words: DataFrame, keys: Sequence[str] = ("doc_id",), pages: DataFrame | None = None) -> DataFrame:
+    """Pages whose words are mostly taller than wide. With ``pages``, a page
+    without words has a row too: it is not rotated."""
     long_word = F.length("text") >= SIDEWAYS_MIN_LENGTH
     tall = (F.col("y1") - F.col("y0")) > (F.col("x1") - F.col("x0")) * F.lit(SIDEWAYS_ASPECT)
     counts = words.groupBy(*keys).agg(
         F.count_if(long_word).alias("n_words"), F.count_if(long_word & tall).alias("n_tall")
     )
     sideways = (F.col("n_words") >= SIDEWAYS_MIN_WORDS) & (F.col("n_tall") >= F.col("n_words") * F.lit(SIDEWAYS_SHARE))
+    if pages is not None:
+        none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_tall")]
+        counts = pages.select(*keys).distinct().join(counts, list(keys), "left").select(*keys, *none)
     return counts.withColumn("rotated", sideways)
 
 

@@ -14,10 +14,12 @@ class AuditReport(NamedTuple):
     prints: DataFrame
     records: DataFrame
     corrections: DataFrame
+    rejects: DataFrame
 
 
 def audit_report(lines: DataFrame) -> AuditReport:
-    """Log lines (column ``value``) → the three reports."""
-    parsed = parse_audit(lines).filter("NOT malformed")
-    events = parsed.select("ts", "event", "user", attr("record_id"), attr("field"))
-    return AuditReport(print_reconciliation(events), record_history(events), corrections(events))
+    """Log lines (column ``value``) → the three reports, and the lines that are
+    no events."""
+    parsed = parse_audit(lines)
+    events = parsed.filter("NOT malformed").select("ts", "event", "user", attr("record_id"), attr("field"))
+    return AuditReport(print_reconciliation(events), record_history(events), corrections(events), parsed.filter("malformed").select("line"))

@@ -18,22 +18,30 @@ ANNOTATION = (
 
 def _word(w: Column) -> Column:
     corners = w["bounding_box"]["vertices"]
-    xs, ys = F.transform(corners, lambda v: v["x"]), F.transform(corners, lambda v: v["y"])
+    # a response leaves out numbers that are 0
+    place = lambda axis: F.transform(corners, lambda v: F.coalesce(v[axis], F.lit(0)))
+    xs, ys = place("x"), place("y")
+    bound = lambda of, all_: F.coalesce(of(all_), F.lit(0))
     return F.struct(
-        F.array_join(F.transform(w["symbols"], lambda s: s["text"]), "").alias("text"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), w["confidence"])).alias("conf"),
-        F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"),
+        F.coalesce(F.array_join(F.transform(w["symbols"], lambda s: F.coalesce(s["text"], F.lit(""))), ""), F.lit("")).alias("text"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(w["confidence"], F.lit(0.0)))).alias("conf"),
+        bound(F.array_min, xs).alias("x0"), bound(F.array_min, ys).alias("y0"),
+        bound(F.array_max, xs).alias("x1"), bound(F.array_max, ys).alias("y1"),
     )
 
 
+def _members(of: Column, member: str) -> Column:
+    """The members of all elements; an element without its list has none."""
+    lists = F.transform(of, lambda e: e[member])
+    return F.flatten(F.filter(lists, lambda found: found.isNotNull()))
+
+
 def flatten_annotations(df: DataFrame, keys: Sequence[str] = ("doc_id",), annotation: str = "annotation") -> DataFrame:
     """Words of each response in document order (``word_no``), empty words
     dropped, boxes from the corner points, confidence kept within 0..1. A
-    response without text gives no rows. All within the row: no shuffle."""
+    response without text gives no rows. A list that is left out is empty, a
+    number that is left out is 0. All within the row: no shuffle."""
     pages = F.when(~blank(f"{annotation}.text"), F.col(f"{annotation}.pages"))
-    blocks = F.flatten(F.transform(pages, lambda p: p["blocks"]))
-    paragraphs = F.flatten(F.transform(blocks, lambda b: b["paragraphs"]))
-    raw = F.flatten(F.transform(paragraphs, lambda p: p["words"]))
+    raw = _members(_members(_members(pages, "blocks"), "paragraphs"), "words")
     words = F.filter(F.transform(raw, _word), lambda w: w["text"] != "")
     return df.select(*keys, F.posexplode(words).alias("word_no", "_w")).select(*keys, "word_no", "_w.*")

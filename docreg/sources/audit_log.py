@@ -24,9 +24,10 @@ def _value(raw: Column, escaped: Column) -> Column:
 
 
 def parse_audit(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(ts, event, user, attrs, malformed) of each line. Lines in the old form,
-    which escapes only quotes, and marked lines are both read; a line without a
-    time stamp is kept as ``malformed``."""
+    """(ts, event, user, attrs, malformed, line) of each line. Lines in the old
+    form, which escapes only quotes, and marked lines are both read; a line
+    without a time stamp is kept as ``malformed``, with its text in ``line``, so
+    the second half of a broken line is not lost."""
     split = computed(lines.select(value), F.regexp_extract(value, _LINE, 1).alias("_ts"), F.regexp_extract(value, _LINE, 2).alias("_rest"))
     found = computed(
         split,
@@ -46,6 +47,7 @@ def parse_audit(lines: DataFrame, value: str = "value") -> DataFrame:
         F.try_element_at("_attrs", F.lit("user")).alias("user"),
         F.map_filter("_attrs", lambda k, v: ~k.isin("event", "user")).alias("attrs"),
         F.col("ts").isNull().alias("malformed"),
+        F.when(F.col("ts").isNull(), F.col(value)).alias("line"),
     )
 
 

@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 _FIELDS = "map<string, string>"
 
 
+def _keyed(df: DataFrame, key: str | None) -> DataFrame:
+    """The rows with the key as data of a one-row table: a literal could be read
+    in every plan and event log."""
+    if key is None:
+        return df
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(key,)], "_key string")))
+
+
 def encode_records(records: DataFrame, key: str | None = None) -> DataFrame:
     payload = F.to_json("fields")
     if key is not None:
-        payload = F.aes_encrypt(payload, F.lit(key))
-    return records.select("id", "created_at", payload.alias("payload"))
+        payload = F.aes_encrypt(payload, F.col("_key"))
+    return _keyed(records, key).select("id", "created_at", payload.alias("payload"))
 
 
 def decode_records(stored: DataFrame, key: str | None = None) -> DataFrame:
     payload = F.col("payload")
     if key is not None:
-        payload = F.aes_decrypt(payload, F.lit(key)).cast("string")
-    return stored.select("id", "created_at", F.from_json(payload, _FIELDS).alias("fields"))
+        payload = F.aes_decrypt(payload, F.col("_key")).cast("string")
+    return _keyed(stored, key).select("id", "created_at", F.from_json(payload, _FIELDS).alias("fields"))
 
 
 def write_records(records: DataFrame, path: str, key: str | None = None) -> None:

@@ -1,47 +1,74 @@
-"""Word-dump files: one JSON array of words per page region."""
+"""Word-dump files: JSON arrays of words per page region."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCHEMA = "array<struct<text: string, confidence: double, box: array<int>>>"
+_WORDS = "array<struct<text: string, confidence: double, box: array<int>>>"
+_LINE = f"struct<region: string, words: {_WORDS}>"
 _PLAIN = r"([^/]+)/([^/]+)_words\.json$"
-_WRITTEN = r"run=([^/]+)/region=([^/]+)/[^/]+$"
+_RUN = r"run=([^/]+)/[^/]+$"
+MALFORMED = "malformed words"
 
 
-def read_word_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """The words table of a folder of dumps. Run and region come from the file
-    path: ``<run>/<region>_words.json``, or the folders ``write_word_dumps``
-    writes. ``word_no`` is the place in the file."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
+def _files(spark: SparkSession, path: str, names: str, whole: bool) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+    return reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _dumps(spark: SparkSession, path: str) -> DataFrame:
+    """(run, region, value, words): every region of a folder; ``words`` is NULL
+    where the text is no array of words. Run and region come from
+    ``<run>/<region>_words.json``, or from the folder and the line that
+    ``write_word_dumps`` writes."""
     # a path is percent-encoded once, the name of a partition folder once more
-    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    written = lambda i: decoded(decoded(F.regexp_extract("file", _WRITTEN, i)))
-    plain = lambda i: decoded(F.regexp_extract("file", _PLAIN, i))
-    part = lambda i: F.coalesce(F.nullif(written(i), F.lit("")), plain(i))
-    words = files.select(
-        part(1).alias("run"), part(2).alias("region"),
-        F.posexplode(F.from_json("value", _SCHEMA)).alias("word_no", "w"),
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    plain = _files(spark, path, "*_words.json", True).select(
+        decoded(F.regexp_extract("file", _PLAIN, 1)).alias("run"), decoded(F.regexp_extract("file", _PLAIN, 2)).alias("region"),
+        "value", F.from_json("value", _WORDS).alias("words"),
     )
-    box = {name: F.col("w.box")[i].alias(name) for i, name in enumerate(["x0", "y0", "x1", "y1"])}
-    return words.select(
-        "run", "region", "word_no", F.col("w.text").alias("text"), F.col("w.confidence").alias("conf"), *box.values()
+    line = F.from_json("value", _LINE)
+    written = _files(spark, path, "part-*", False).select(
+        decoded(decoded(F.regexp_extract("file", _RUN, 1))).alias("run"), line["region"].alias("region"), "value", line["words"].alias("words")
     )
+    return plain.unionByName(written)
+
+
+def _good() -> Column:
+    """An array in which every word has a text and four corners."""
+    complete = lambda w: w.isNotNull() & w["text"].isNotNull() & w["confidence"].isNotNull() & (F.coalesce(F.size(w["box"]), F.lit(0)) == 4)
+    return F.col("words").isNotNull() & F.forall("words", lambda w: F.coalesce(complete(w), F.lit(False)))
+
+
+def read_word_dumps(spark: SparkSession, path: str) -> DataFrame:
+    """The words table of a folder of dumps; ``word_no`` is the place in the
+    array. A region that cannot be read has its row in ``bad_word_dumps``."""
+    words = _dumps(spark, path).where(_good()).select("run", "region", F.posexplode("words").alias("word_no", "w"))
+    box = {name: F.col("w.box")[i].alias(name) for i, name in enumerate(["x0", "y0", "x1", "y1"])}
+    return words.select("run", "region", "word_no", F.col("w.text").alias("text"), F.col("w.confidence").alias("conf"), *box.values())
+
+
+def bad_word_dumps(spark: SparkSession, path: str) -> DataFrame:
+    """(run, region, value, error) of every region whose words cannot be read."""
+    return _dumps(spark, path).where(~F.coalesce(_good(), F.lit(False))).select("run", "region", "value", F.lit(MALFORMED).alias("error"))
 
 
 def dump_payloads(words: DataFrame) -> DataFrame:
     """(run, region, value): the JSON array of each region's words, confidences
     to three places. A region without words has no row."""
-    item = F.struct(
-        "text", F.round("conf", 3).alias("confidence"), F.array("x0", "y0", "x1", "y1").alias("box")
-    )
+    listed = _listed(words)
+    return listed.select("run", "region", F.to_json("words").alias("value"))
+
+
+def _listed(words: DataFrame) -> DataFrame:
+    item = F.struct("text", F.round("conf", 3).alias("confidence"), F.array("x0", "y0", "x1", "y1").alias("box"))
     listed = F.array_sort(F.collect_list(F.struct("word_no", item.alias("item"))))
-    return words.groupBy("run", "region").agg(F.to_json(F.transform(listed, lambda w: w["item"])).alias("value"))
+    return words.groupBy("run", "region").agg(F.transform(listed, lambda w: w["item"]).alias("words"))
 
 
 def write_word_dumps(words: DataFrame, path: str) -> None:
-    dump_payloads(words).write.partitionBy("run", "region").mode("append").text(path)
+    """One folder per run, one line per region: the number of files follows the
+    number of tasks, not of pages."""
+    line = F.to_json(F.struct("region", "words"))
+    _listed(words).select("run", line.alias("value")).write.partitionBy("run").mode("append").text(path)

@@ -1,13 +1,15 @@
 """Record changes applied as they arrive.
 
-State is the base table plus an append-only log of accepted changes, one folder
-per batch. A batch is written with overwrite, so a repeated batch replaces
-itself; the cost of a batch follows its own size, not that of the registry."""
+State is the base table plus an append-only log of changes, one folder per batch of
+a stream. A batch is written once, with overwrite, so a repeated batch replaces
+itself; its folder carries the stream's own id, which lies in the checkpoint, so a
+new checkpoint never touches the batches of an earlier one. Which changes apply is
+decided on reading, so ids that join the base later are found. The cost of a batch
+follows its own size; ``compact_records`` folds the log into a new base."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -20,13 +22,11 @@ def stream_records(
     spark: SparkSession, src: str, dst: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
     """Change files (parquet, schema ``CHANGES``) under ``src`` go to
-    ``dst/changes``, those with ids ``dst/base`` lacks to ``dst/rejects``."""
+    ``dst/changes``, in one write per batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        base_ids = batch.sparkSession.read.parquet(f"{dst}/base").select("id")
-        known = batch.join(base_ids, "id", "left_semi")
-        known.write.mode("overwrite").parquet(f"{dst}/changes/batch={batch_id}")
-        unknown_ids(batch, base_ids).write.mode("overwrite").parquet(f"{dst}/rejects/batch={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(f"{dst}/changes/stream={stream}/batch={batch_id}")
 
     changes = spark.readStream.schema(StructType.fromDDL(CHANGES)).option("maxFilesPerTrigger", files_per_batch).parquet(src)
     return (
@@ -36,15 +36,24 @@ def stream_records(
     )
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(StructType.fromDDL(CHANGES)).parquet(path)
+def _log(spark: SparkSession, dst: str) -> DataFrame:
+    log = spark.read.schema(StructType.fromDDL(CHANGES)).option("recursiveFileLookup", "true").parquet(f"{dst}/changes")
+    return log.select("id", "version", "ts", "fields")
 
 
 def current_records(spark: SparkSession, dst: str) -> DataFrame:
-    """The base with the latest accepted change of each id."""
-    latest = latest_records(_log(spark, f"{dst}/changes")).select("id", "fields")
+    """The base with the latest change of each id it holds."""
+    latest = latest_records(_log(spark, dst)).select("id", "fields")
     return upsert_records(spark.read.parquet(f"{dst}/base"), latest)[0]
 
 
 def rejected_changes(spark: SparkSession, dst: str) -> DataFrame:
-    return _log(spark, f"{dst}/rejects").select("id", "version", "ts", F.col("fields"))
+    """Changes to ids that the base does not hold."""
+    return unknown_ids(_log(spark, dst), spark.read.parquet(f"{dst}/base"))
+
+
+def compact_records(spark: SparkSession, dst: str, to: str) -> None:
+    """Fold the log into a new base below ``to``. Changes to unknown ids stay a
+    log there, so none is lost; point readers and the stream to ``to`` next."""
+    current_records(spark, dst).write.parquet(f"{to}/base")
+    rejected_changes(spark, dst).write.parquet(f"{to}/changes/stream=compacted/batch=0")

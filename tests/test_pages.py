@@ -43,12 +43,6 @@ def test_lines_equal_the_first_fit_rule(words_of, heights):
         assert [got[p["no"]] for p in page] == [numbers[i] for i in range(len(page))]
 
 
-def test_spans_alone_agree_where_heights_are_equal(words_of):
-    words = words_of(random_rows(2, 60, 30, [12]))
-    pick = lambda exact: sorted((r.word_no, r.line_no) for r in lines.group_lines(words, exact=exact).collect())
-    assert pick(True) == pick(False)
-
-
 @pytest.mark.parametrize("seed", [3, 4])
 def test_dedupe_equals_greedy_suppression(words_of, seed):
     rng = random.Random(seed)
