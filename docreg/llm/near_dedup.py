@@ -6,8 +6,10 @@
 2. Texts with equal sets are one class; only one member of a class goes on.
 3. Classes that share a band of samples are candidates. A band's bucket links its
    members to one center, not to each other. Sketches drop the candidates that are
-   too far (5.5 standard deviations), full sets confirm the rest, and
-   components are formed.
+   too far, full sets confirm the rest, and components are formed. The sketch of the
+   samples is judged 5.5 standard deviations above the threshold; a second odd
+   sketch, of the whole set, differs in no more bits than the sets in shingles, so
+   it only drops pairs that are certainly apart.
 4. Buckets that still hold several components are looked through in whole: each
    pair of members of different components is compared by sketch, in blocks of
    bounded size, and what the sketches leave is confirmed on full sets. So no link
@@ -50,6 +52,7 @@ class Plan:
     bands: int = 30
     rows: int = 4
     bits: int = 512
+    set_bits: int = 1024
 
     @property
     def samples(self) -> int:
@@ -63,6 +66,15 @@ class Plan:
         return int(np.ceil(2 * (self.samples * miss + 5.5 * np.sqrt(self.samples * miss * (1 - miss)))))
 
 
+    def may_link(self, n_a, n_b, bits: np.ndarray) -> np.ndarray:
+        """Which pairs sizes and sketches leave, from the XOR of their sketches."""
+        words = self.bits // 64
+        samples = np.bitwise_count(bits[:, :words]).sum(axis=1, dtype=np.int64)
+        shingles = np.bitwise_count(bits[:, words:]).sum(axis=1, dtype=np.int64)
+        near = 100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b)
+        return near & (samples <= self.most_apart()) & ((100 + self.percent) * shingles <= (100 - self.percent) * (n_a + n_b))
+
+
 def _sets(texts: list[str | None], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Size of each text's shingle set, and the sets' hashes one after another."""
     counts, codes, words = coded_words(texts)
@@ -90,7 +102,7 @@ def _signatures(sizes: np.ndarray, h: np.ndarray, plan: Plan) -> tuple[np.ndarra
     begin = (np.cumsum(sizes) - sizes)[full]
     n = len(begin)
     if not n:
-        return np.zeros((0, 2), _U64), np.zeros((0, plan.bands), _U64), np.zeros((0, plan.bits // 8), np.uint8)
+        return np.zeros((0, 2), _U64), np.zeros((0, plan.bands), _U64), np.zeros((0, (plan.bits + plan.set_bits) // 64), _U64)
     with np.errstate(over="ignore"):
         names = np.stack([np.add.reduceat(mixed(h ^ _U64(k)), begin) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
         seeds = mixed(np.arange(1, 2 * plan.samples + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
@@ -103,7 +115,11 @@ def _signatures(sizes: np.ndarray, h: np.ndarray, plan: Plan) -> tuple[np.ndarra
             bands[:, band] = paired(bands[:, band] + _U64(band + 1), least)
             place = mixed(least + seeds[2 * i]) % _U64(plan.bits)
             sketch[row, (place >> _U64(6)).astype(np.int64)] ^= _U64(1) << (place & _U64(63))
-    return names, bands, sketch.view(np.uint8)
+        # parity of the set's own shingles: how often each place of a text is hit, odd or even
+        place = (mixed(h) % _U64(plan.set_bits)).astype(np.int64) + np.repeat(np.arange(n), sizes[full]) * plan.set_bits
+        odd = (np.bincount(place, minlength=n * plan.set_bits) & 1).astype(np.uint8).reshape(n, -1)
+        own = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+    return names, bands, np.column_stack([sketch, own])
 
 
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -149,14 +165,12 @@ def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
 def _near(pairs: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs (a, b, n_a, n_b, sketch_a, sketch_b), those that sizes and sketches
     do not rule out."""
-    most, percent = plan.most_apart(), plan.percent
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            near = (np.bitwise_count(left ^ right).sum(axis=1) <= most) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            yield batch.select(["a", "b"]).filter(pa.array(plan.may_link(n_a, n_b, left ^ right)))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(keep, f"a {kind}, b {kind}")
@@ -176,7 +190,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
 def _mixed_pairs(members: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of different components within buckets, as far as sketches leave them.
     A bucket is dealt in blocks; each two blocks of it meet in one task."""
-    most, percent = plan.most_apart(), plan.percent
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n_members")), "bucket")
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     own = sized.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("blocks", blocks)
@@ -194,8 +207,7 @@ def _mixed_pairs(members: DataFrame, plan: Plan) -> DataFrame:
         a, b = [], []
         for x in left:
             near = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
-            near = near[100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x])]
-            near = near[np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1) <= most] if len(near) else near
+            near = near[plan.may_link(n[near], n[x], sketch[near] ^ sketch[x])]
             a.append(np.full(len(near), ids[x]))
             b.append(ids[near])
         join = lambda parts: np.concatenate(parts) if parts else ids[:0]
