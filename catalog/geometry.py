@@ -206,13 +206,22 @@ SELECT doc_id, row_no, value, mean < 0.6 OR value = '' OR doc_id%10=0 AS flagged
 SELECT doc_id, string_agg(text,' ' ORDER BY line_no, x0, word_no) AS text FROM numbered GROUP BY doc_id"""),
     "a1_avg_confidence": (_avg_confidence, f"""WITH {i.WORDS}, means AS (SELECT doc_id, {_MEAN} AS m FROM words GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m, 0.0::DOUBLE) AS avg_conf FROM documents d LEFT JOIN means USING (doc_id)"""),
-    "j2_dedupe_overlaps": (_dedupe, f"""WITH {i.DOUBLED}, boxed AS (SELECT *, word_no//1000000 AS row_no FROM doubled),
-sized AS (SELECT b.doc_id, b.word_no, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS inter,
+    # pairs by cells of 128 pixels on a printed line, then each line's pairs in order of the worse box
+    "j2_dedupe_overlaps": (_dedupe, f"""WITH RECURSIVE {i.DOUBLED},
+boxed AS (SELECT *, word_no//1000000 AS row_no, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, word_no) AS rank FROM doubled WHERE word_no >= 0),
+wide AS (SELECT *, unnest(generate_series(x0//128, x1//128)) AS cell FROM boxed),
+sized AS (SELECT b.doc_id, b.row_no, a.rank AS better, b.rank AS worse, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0)*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0) AS inter,
     (a.x1-a.x0)*(a.y1-a.y0)+(b.x1-b.x0)*(b.y1-b.y0) AS areas
-  FROM boxed a JOIN boxed b ON a.doc_id=b.doc_id AND a.row_no=b.row_no
-   AND (a.conf > b.conf OR (a.conf = b.conf AND a.word_no < b.word_no)) AND a.x0 < b.x1 AND b.x0 < a.x1),
-beaten AS (SELECT DISTINCT doc_id, word_no FROM sized WHERE inter > 0 AND inter::DOUBLE/(areas-inter) >= 0.5)
-SELECT * FROM doubled ANTI JOIN beaten USING (doc_id, word_no)"""),
+  FROM wide a JOIN boxed b ON a.doc_id=b.doc_id AND a.row_no=b.row_no AND a.cell=((b.x0+b.x1)//2)//128 AND a.rank < b.rank),
+edges AS (SELECT *, row_number() OVER (PARTITION BY doc_id, row_no ORDER BY worse, better) AS step FROM sized WHERE inter > 0 AND inter::DOUBLE/(areas-inter) >= 0.5),
+walk(doc_id, row_no, step, gone) AS (
+  SELECT DISTINCT doc_id, row_no, 0::BIGINT, []::BIGINT[] FROM edges
+  UNION ALL
+  SELECT w.doc_id, w.row_no, e.step, CASE WHEN list_contains(gone, e.better) OR list_contains(gone, e.worse) THEN gone ELSE list_append(gone, e.worse) END
+  FROM walk w JOIN edges e ON e.doc_id=w.doc_id AND e.row_no=w.row_no AND e.step=w.step+1),
+beaten AS (SELECT doc_id, unnest(arg_max(gone, step)) AS rank FROM walk GROUP BY doc_id, row_no)
+SELECT doc_id, word_no, text, conf, x0, y0, x1, y1 FROM boxed ANTI JOIN beaten USING (doc_id, rank)
+UNION ALL SELECT doc_id, word_no, text, conf, x0, y0, x1, y1 FROM doubled WHERE word_no < 0"""),
     "a4_rotated_pages": (_rotated, f"""WITH {i.WORDS}, pages2 AS (SELECT doc_id, text, x1-x0 AS w, y1-y0 AS h FROM words
   UNION ALL SELECT -1-doc_id, text, y1-y0, x1-x0 FROM words),
 counts AS (SELECT doc_id, count(*) FILTER (length(text)>=3) AS n_words,

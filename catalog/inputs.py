@@ -52,11 +52,22 @@ WHERE length(text) > 0
 _X1 = "SELECT doc_id, word_no, text, conf, x0, y0, CAST(x0+length(text)*10 AS INT) AS x1, y1 FROM"
 WORDS = f"words AS ({_X1} ({_DUCK_WORDS}))"
 
-# words with a second, weaker detection of some of them next to the first
-_DOUBLED = """
+# words with further detections of some of them: a weaker one beside the word, a
+# chain of two in which only neighbours overlap by half, a copy of the same box and
+# confidence, and a box as large as the page
+_STEP = "CAST(floor((x1-x0)/4.0) AS INT)"
+_DOUBLED = f"""
 SELECT doc_id, word_no, text, conf, x0, y0, x1, y1 FROM words
 UNION ALL
 SELECT doc_id, word_no+500000, text, conf/2, x0+1, y0, x1+1, y1 FROM words WHERE (doc_id+word_no)%17=0
+UNION ALL
+SELECT doc_id, word_no+600000, text, conf/2, x0+{_STEP}, y0, x1+{_STEP}, y1 FROM words WHERE (doc_id+word_no)%19=0
+UNION ALL
+SELECT doc_id, word_no+700000, text, conf/4, x0+2*{_STEP}+1, y0, x1+2*{_STEP}+1, y1 FROM words WHERE (doc_id+word_no)%19=0
+UNION ALL
+SELECT doc_id, word_no+800000, text, conf, x0, y0, x1, y1 FROM words WHERE (doc_id+word_no)%23=0
+UNION ALL
+SELECT doc_id, -1, 'page', CAST(1 AS DOUBLE), 0, 0, 100000, 100000 FROM words GROUP BY doc_id
 """
 DOUBLED = f"{WORDS}, doubled AS ({_DOUBLED})"
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docreg.common import blank, center_y, col, mean_conf, reliable
 from docreg.functions import text as tx
@@ -19,9 +21,6 @@ SIDEWAYS_MIN_WORDS = 3
 SIDEWAYS_ASPECT = 1.3
 SIDEWAYS_SHARE = 0.6
 
-#: Boxes in one cell beyond which the cell is thinned out before pairing.
-CROWD = 512
-
 #: Height of the slices a page is cut into, so that no step takes a whole page.
 SLICE = 64
 
@@ -94,115 +93,85 @@ def _overlap(a: str, b: str):
     return F.when(inter > 0, inter / (area(a) + area(b) - inter)).otherwise(F.lit(0.0))
 
 
-def _cell_of(c: Column | str, size: int) -> Column:
-    return F.floor(col(c) / F.lit(size))
-
-
-def _centered(boxes: DataFrame, cell: tuple[int, int]) -> DataFrame:
-    """Boxes with the cell (``_cx``, ``_cy``) that holds their center."""
-    return boxes.withColumn("_cx", _cell_of((F.col("x0") + F.col("x1")) / 2, cell[0])).withColumn(
-        "_cy", _cell_of((F.col("y0") + F.col("y1")) / 2, cell[1])
-    )
-
-
-def _covering(boxes: DataFrame, cell: tuple[int, int]) -> DataFrame:
-    """Boxes once per cell they cover."""
-    columns = boxes.withColumn("_cx", F.explode(F.sequence(_cell_of("x0", cell[0]), _cell_of("x1", cell[0]))))
-    return columns.withColumn("_cy", F.explode(F.sequence(_cell_of("y0", cell[1]), _cell_of("y1", cell[1]))))
-
-
-def overlapping_pairs(
-    better: DataFrame, worse: DataFrame, keys: Sequence[str], iou: float, cell: tuple[int, int]
-) -> DataFrame:
-    """(page, better, worse) for boxes that overlap by at least ``iou``.
-
-    With an overlap of half or more each box holds the other's center, so one
-    side is placed once, by its center, and the other in every cell it covers."""
-    on = [*keys, "_cx", "_cy"]
-    box = F.struct("rank", "x0", "y0", "x1", "y1")
-    wide = _covering(better, cell).select(*on, box.alias("better"))
-    once = _centered(worse, cell).select(*on, box.alias("worse"))
+def _size_class(low: str, high: str, times: int = 1) -> Column:
+    """Power of four that the extent of a box reaches; exact on whole pixels."""
+    extent = (F.col(high).cast("long") - F.col(low).cast("long")) * times
+    return F.floor((F.length(F.bin(extent)) - 1) / 2).cast("int")
+
+
+def _cells(boxes: DataFrame, low: str, high: str, axis: str, covered: bool) -> DataFrame:
+    """Boxes once per class of cell they may meet a partner in, and there once per
+    cell they cover, or once by their center. A cell is at least as wide as a box of
+    its class, so a box covers two at most, however large it is."""
+    classes = F.array_distinct(F.array(_size_class(low, high), _size_class(low, high, 2)))
+    sized = boxes.withColumn(f"_class_{axis}", F.explode(classes))
+    size = F.pow(F.lit(4.0), F.col(f"_class_{axis}") + 1)
+    cell = lambda at: F.floor(at / size)
+    if covered:
+        spots = F.explode(F.array_distinct(F.array(cell(F.col(low)), cell(F.col(high)))))
+    else:
+        spots = cell((F.col(low).cast("long") + F.col(high).cast("long")) / 2)
+    return sized.withColumn(f"_cell_{axis}", spots)
+
+
+def overlapping_pairs(boxes: DataFrame, keys: Sequence[str], iou: float) -> DataFrame:
+    """(page, better, worse) for boxes (``rank``, corners) that overlap by at least
+    ``iou``, which is half or more.
+
+    Such boxes differ at most by a factor of two in width and height, and each holds
+    the other's center. So they meet in a cell of the larger one's size class: an
+    equi-join on (page, class, cell) whose rows per box have a fixed bound."""
+    on = [*keys, "_class_x", "_class_y", "_cell_x", "_cell_y"]
+    box = F.struct("rank", "x0", "y0", "x1", "y1", _size_class("x0", "x1").alias("cx"), _size_class("y0", "y1").alias("cy"))
+    side = lambda covered, name: _cells(_cells(boxes, "x0", "x1", "x", covered), "y0", "y1", "y", covered).select(*on, box.alias(name))
+    larger = lambda c: F.greatest(f"better.{c}", f"worse.{c}")
     return (
-        wide.join(once, on)
+        side(True, "better").join(side(False, "worse"), on)
+        .filter((F.col("_class_x") == larger("cx")) & (F.col("_class_y") == larger("cy")))
         .filter((F.col("better.rank") < F.col("worse.rank")) & (_overlap("better", "worse") >= iou))
         .select(*keys, F.col("better.rank").alias("better"), F.col("worse.rank").alias("worse"))
     )
 
 
-def settle_crowds(
-    boxes: DataFrame, keys: Sequence[str], iou: float, cell: tuple[int, int], crowd: int = CROWD
-) -> tuple[DataFrame, DataFrame | None]:
-    """(undecided boxes, ranks dropped) after thinning out cells that hold more
-    than ``crowd`` boxes, so that no crowd is ever paired with itself.
+def _plain(value):
+    return tuple(_plain(v) for v in value.values()) if isinstance(value, dict) else value
 
-    On pages with a crowded cell, a box surely stays when it is the best of
-    every cell it covers. Everything it overlaps goes; that join meets each box
-    with the few that stay near it. Repeated while it pays; what is left is
-    decided by pairs."""
-    keys = list(keys)
-    on = [*keys, "_cx", "_cy"]
-    dropped: DataFrame | None = None
-    while True:
-        placed = _centered(boxes, cell)
-        crowds = placed.groupBy(*on).count().filter(F.col("count") > crowd).groupBy(*keys).agg(F.sum("count").alias("n"))
-        if crowds.isEmpty():
-            return boxes, dropped
-        crowds = reliable(crowds)
-        best_of_cell = F.min(F.struct("rank", "x0", "y0", "x1", "y1")).alias("top")
-        tops = reliable(placed.join(crowds.select(*keys), keys, "left_semi").groupBy(*on).agg(best_of_cell))
-        rivals = tops.select(*on, F.col("top.rank").alias("_rival"))
-        staying = (
-            _covering(tops.select(*keys, "top.*"), cell)
-            .join(rivals, on, "left")
-            .groupBy(*keys, "rank", "x0", "y0", "x1", "y1")
-            .agg(F.max(F.coalesce(F.col("_rival") < F.col("rank"), F.lit(False))).alias("_beaten"))
-            .filter(~F.col("_beaten"))
-            .drop("_beaten")
-        )
-        staying = reliable(staying)
-        out = reliable(
-            overlapping_pairs(staying, boxes, keys, iou, cell).select(*keys, F.col("worse").alias("rank")).distinct()
-        )
-        settled = out.unionByName(staying.select(*keys, "rank"))
-        boxes = reliable(boxes.join(settled, [*keys, "rank"], "left_anti"))
-        dropped = out if dropped is None else dropped.unionByName(out)
-        if out.count() * 10 < crowds.agg(F.sum("n")).first()[0]:
-            return boxes, dropped
-
-
-def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Greedy suppression over (page, better, worse): a box goes only if it
-    overlaps a box that stays. Each round keeps every box no undecided better
-    box overlaps and drops its neighbours, until no pair is left."""
+
+def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(page, rank) of the boxes that go: those that overlap a better box that
+    stays. One pass over the pairs of a page, by the worse box: when its turn comes,
+    all better ones are decided. Holds the boxes of one page that are gone."""
     keys = list(keys)
-    dropped: DataFrame | None = None
-    pairs = reliable(pairs)
-    while not pairs.isEmpty():
-        beaten = pairs.select(*keys, F.col("worse").alias("better")).distinct()
-        staying = pairs.select(*keys, "better").distinct().join(beaten, [*keys, "better"], "left_anti")
-        out = reliable(pairs.join(staying, [*keys, "better"], "left_semi").select(*keys, "worse").distinct())
-        ranks = out.withColumnRenamed("worse", "rank")
-        dropped = ranks if dropped is None else dropped.unionByName(ranks)
-        pairs = reliable(
-            pairs.join(out, [*keys, "worse"], "left_anti")
-            .join(out.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti")
-        )
-    return dropped
-
-
-def dedupe_overlaps(
-    words: DataFrame,
-    keys: Sequence[str] = ("doc_id",),
-    iou: float = MIN_OVERLAP,
-    cell: tuple[int, int] = (128, 32),
-    crowd: int = CROWD,
-) -> DataFrame:
-    """Drop second detections of the same glyphs: boxes that overlap a kept,
-    more confident box (ties: the earlier word). Runs its rounds when called.
-
-    Words with the very same box are first reduced to their best, so copies of
-    one word never meet each other; that table is written once and serves both
-    the pairing and the result."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, gone = None, set()
+        for batch in batches:
+            pages = zip(*(batch.column(k).to_pylist() for k in keys))
+            out = []
+            for this, better, worse in zip(pages, batch.column("better").to_pylist(), batch.column("worse").to_pylist()):
+                if this != page:
+                    page, gone = this, set()
+                better, worse = _plain(better), _plain(worse)
+                goes = worse not in gone and better not in gone
+                if goes:
+                    gone.add(worse)
+                out.append(goes)
+            yield batch.select([*keys, "worse"]).filter(pa.array(out, pa.bool_()))
+
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, "worse", "better")
+    fields = {f.name: f for f in pairs.schema.fields}
+    schema = T.StructType([fields[k] for k in [*keys, "worse"]])
+    return ordered.mapInArrow(decide, schema).withColumnRenamed("worse", "rank")
+
+
+def dedupe_overlaps(words: DataFrame, keys: Sequence[str] = ("doc_id",), iou: float = MIN_OVERLAP) -> DataFrame:
+    """Drop second detections of the same glyphs: boxes that overlap a kept, more
+    confident box (ties: the earlier word).
+
+    Words with the very same box are first reduced to their best, with partial
+    aggregation, so copies of one word never meet each other; that table is written
+    once and serves both the pairing and the result. Boxes without area overlap
+    nothing and stay."""
     if iou < 0.5:
         raise ValueError("the cell join needs an overlap of at least one half")
     keys = list(keys)
@@ -215,9 +184,5 @@ def dedupe_overlaps(
         .agg(F.min(F.struct(rank.alias("rank"), *rest)).alias("_best"))
         .select(*keys, *box, "_best.*")
     )
-    undecided, crowded_out = settle_crowds(best.filter(has_area).select(*keys, "rank", *box), keys, iou, cell, crowd)
-    beaten = suppressed(overlapping_pairs(undecided, undecided, keys, iou, cell), keys)
-    gone = [d for d in (crowded_out, beaten) if d is not None]
-    for dropped in gone:
-        best = best.join(dropped, [*keys, "rank"], "left_anti")
-    return best.select(*words.columns)
+    gone = suppressed(overlapping_pairs(best.filter(has_area).select(*keys, "rank", *box), keys, iou), keys)
+    return best.join(gone, [*keys, "rank"], "left_anti").select(*words.columns)

@@ -1,28 +1,19 @@
-"""Page operators against the plain rules, on many small random pages."""
+"""Page operators: against recursive SQL on random pages, by hand, and by properties."""
 
 import random
 
-import plain
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docreg.common import list_order
 from docreg.operators import labels, lines, words as w
 from docreg.plans.labelled_fields import LabelSpecs, extract_labelled
+from sql_rules import KEPT, LINES, solve
 
 VOCABULARY = ["Republic", "First", "name", "Father", "her", "Nationality", "ANCHORLAND", "Place", "of", "birth", "ace",
               "Authority", "GIVEN", "PARENT", "TOWN", "EL", "12/03/2020", "26:07", "Fa", "ther", "noise", "SU"]
 
 
-def as_dicts(rows):
-    names = ["doc_id", "text", "conf", "x0", "y0", "x1", "y1"]
-    pages = {}
-    for no, row in enumerate(rows):
-        pages.setdefault(row[0], []).append({**dict(zip(names, row)), "no": no})
-    return pages
-
-
 def random_rows(seed, pages, size, heights, step=1, width=600, depth=300):
     rng = random.Random(seed)
     rows = []
@@ -38,13 +29,27 @@ def random_rows(seed, pages, size, heights, step=1, width=600, depth=300):
 def test_lines_equal_the_first_fit_rule(words_of, heights):
     rows = random_rows(1, 80, 30, heights)
     got = {r.word_no: r.line_no for r in lines.group_lines(words_of(rows)).collect()}
-    for page in as_dicts(rows).values():
-        numbers = plain.line_numbers(page)
-        assert [got[p["no"]] for p in page] == [numbers[i] for i in range(len(page))]
+    assert got == dict(solve(rows, LINES))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_dedupe_equals_greedy_suppression(words_of, seed):
+def test_lines_do_not_depend_on_row_order(words_of):
+    words = words_of(random_rows(11, 40, 40, [8, 12, 30]))
+    run = lambda df: sorted((r.word_no, r.line_no) for r in lines.group_lines(df).collect())
+    assert run(words) == run(words.orderBy(F.desc("word_no")).repartition(5))
+
+
+def test_words_of_one_height_band(words_of):
+    """Worked out by hand. Slack is 4 pixels below a line."""
+    rows = [
+        (1, "a", 0.9, 0, 0, 10, 12),  # line 0, bottom 12
+        (1, "b", 0.9, 20, 9, 30, 21),  # middle 15: 12 + 4 reaches it, line 0, bottom 21
+        (1, "c", 0.9, 40, 20, 50, 32),  # middle 26 > 25: line 1
+        (1, "d", 0.9, 60, 20, 70, 28),  # middle 24: line 0 again
+    ]
+    assert sorted((r.text, r.line_no) for r in lines.group_lines(words_of(rows)).collect()) == [("a", 0), ("b", 0), ("c", 1), ("d", 0)]
+
+
+def double_rows(seed):
     rng = random.Random(seed)
     rows = []
     for doc in range(60):
@@ -53,16 +58,48 @@ def test_dedupe_equals_greedy_suppression(words_of, seed):
             x += rng.choice([0, 1, 4, 9, 15, 60])
             y = rng.choice([0, 0, 2, 5, 40])
             rows.append((doc, "w", rng.choice([0.5, 0.7, 0.7, 0.9]), x, y, x + rng.choice([0, 30, 40]), y + 14))
-    got = {r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect()}
-    assert got == {p["no"] for page in as_dicts(rows).values() for p in plain.without_doubles(page)}
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_dedupe_equals_greedy_suppression(words_of, seed):
+    rows = double_rows(seed)
+    assert {r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect()} == {n for n, in solve(rows, KEPT)}
+
 
+def iou(a, b):
+    wide, high = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+    both = max(wide, 0) * max(high, 0)
+    return both / ((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - both) if both else 0
+
+
+def test_kept_boxes_stand_apart_and_dropped_ones_do_not(words_of):
+    """Properties: no two kept boxes overlap by half, and every dropped box does
+    with a better one that is kept."""
+    rows = double_rows(5)
+    kept = {r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect()}
+    for doc in range(60):
+        own = [(n, r) for n, r in enumerate(rows) if r[0] == doc]
+        for n, r in own:
+            rivals = [m for m, o in own if m in kept and m != n and iou(r, o) >= 0.5]
+            if n in kept:
+                assert not rivals
+            else:
+                assert any((-rows[m][2], m) < (-r[2], n) for m in rivals)
 
-def test_long_chain_needs_many_rounds(words_of):
+
+def test_long_chain_is_decided_in_one_pass(words_of):
     """Each box overlaps only the next weaker one: every second box stays."""
     rows = [(1, "w", 0.9 - i / 100, i * 10, 0, i * 10 + 40, 14) for i in range(12)]
-    pages = as_dicts(rows)
-    got = sorted(r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect())
-    assert got == sorted(p["no"] for p in plain.without_doubles(pages[1]))
+    assert sorted(r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_boxes_of_any_size_meet_few_cells(spark):
+    """A box as large as the page, and one pixel: the rows of the join are bounded."""
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 100_000, 100_000), (1, 1, 1, 1, 99_000, 99_999), (1, 2, 5, 5, 6, 6)], "doc_id long, rank int, x0 int, y0 int, x1 int, y1 int")
+    spread = w._cells(w._cells(boxes, "x0", "x1", "x", True), "y0", "y1", "y", True)
+    assert max(r["count"] for r in spread.groupBy("rank").count().collect()) <= 16
+    assert [(r.better, r.worse) for r in w.overlapping_pairs(boxes, ["doc_id"], 0.5).collect()] == [(0, 1)]
 
 
 def test_copies_of_one_box_never_pair(spark):
@@ -77,17 +114,15 @@ def test_copies_of_one_box_never_pair(spark):
     assert kept.count() == 60001
 
 
-@pytest.mark.parametrize("crowd", [3, 60])
-def test_crowded_cells_are_thinned_exactly(words_of, crowd):
-    """Jittered detections of a few glyphs, far more than a cell may hold."""
-    rng = random.Random(crowd)
+def test_crowds_of_near_copies(words_of):
+    """Jittered detections of a few glyphs."""
+    rng = random.Random(60)
     rows = [(9, "w", 0.9, 40 * i, 500, 40 * i + 30, 514) for i in range(6)]
     for doc in range(3):
         for _ in range(250):
             x, y = rng.choice([0, 25, 60, 130]) + rng.randint(-4, 4), rng.choice([0, 14]) + rng.randint(-3, 3)
             rows.append((doc, "w", rng.choice([0.3, 0.5, 0.7, 0.9]), x, y, x + rng.randint(25, 35), y + rng.randint(10, 16)))
-    got = {r.word_no for r in w.dedupe_overlaps(words_of(rows), crowd=crowd).collect()}
-    assert got == {p["no"] for page in as_dicts(rows).values() for p in plain.without_doubles(page)}
+    assert {r.word_no for r in w.dedupe_overlaps(words_of(rows)).collect()} == {n for n, in solve(rows, KEPT)}
 
 
 def test_hot_page_of_lines(spark):
@@ -110,37 +145,65 @@ def test_overlap_must_be_at_least_half(words_of):
         w.dedupe_overlaps(words_of([(1, "a", 0.9, 0, 0, 10, 10)]), iou=0.3)
 
 
-def test_label_lines_equal_the_plain_search(words_of, spark):
-    rows = random_rows(5, 150, 25, [10, 14, 20], step=7, depth=700)
-    wanted = [("father", "father", None), ("place", "place", "birth"), ("any_place", "place", None), ("value", "anchorland", None)]
-    found = labels.find_label_lines(words_of(rows), labels.label_table(spark, wanted)).collect()
-    got = {(r.doc_id, r.label): (r.y0, r.y1, r.x0, r.text) for r in found}
-    expected = {}
-    for doc, page in as_dicts(rows).items():
-        for label, keyword, confirm in wanted:
-            line = plain.label_line(page, keyword, confirm)
-            if line:
-                top, bottom, left, _ = plain.box(line)
-                expected[doc, label] = (top, bottom, left, plain.text_of([line]))
-    assert got == expected
-    assert {k[1] for k in expected} == {l[0] for l in wanted}
-
-
-def test_extraction_equals_the_plain_rules(words_of, spark):
-    """All tiers on crowded random pages, with doubled words in between."""
-    rows = random_rows(6, 250, 40, [12, 14, 18], step=15, width=400, depth=500)
-    words = words_of(rows)
-    hints = words.select("doc_id").distinct().withColumn(
-        "given_names", F.when(F.col("doc_id") % 5 == 0, "").otherwise("GIVEN OTHER")
-    )
-    reads = extract_labelled(words, hints, LabelSpecs(nationality_value="anchorland")).collect()
-    got = {(r.doc_id, r.field_key): r.value for r in reads}
-    tiers = {(r.field_key, r.tier) for r in reads}
-    for doc, page in as_dicts(rows).items():
-        given = "" if doc % 5 == 0 else "given"
-        father, place = plain.page_fields(plain.without_doubles(page), given, "anchorland")
-        assert (doc, got[doc, "father_name"], got[doc, "place_of_birth"]) == (doc, father, place)
-    assert tiers >= {("father_name", 1), ("father_name", 2), ("father_name", 3), ("place_of_birth", 1), ("place_of_birth", 2)}
+def page(*words, doc=1):
+    """Words (text, x0, y0) of 14 pixels height and 8 pixels a letter."""
+    return [(doc, t, 0.9, x, y, x + 8 * len(t), y + 14) for t, x, y in words]
+
+
+LABEL_PAGES = [
+    # the first hit in reading order gives the line; words of its row join up to a wide gap
+    ([("Father", 10, 50), ("name", 70, 51), ("far", 400, 50), ("Father", 10, 90)], ("f", "father", None), [(10, 50, "Father name")]),
+    # a confirm word picks the line that also holds it
+    ([("Place", 10, 20), ("of", 60, 20), ("issue", 80, 20), ("Place", 10, 60), ("of", 60, 60), ("birth", 80, 60)], ("p", "place", "birth"), [(10, 60, "Place of birth")]),
+    # a label split in two words; the whole word further down wins all the same
+    ([("Fa", 10, 20), ("ther", 30, 20)], ("f", "father", None), [(10, 20, "Fa ther")]),
+    ([("Fa", 10, 20), ("ther", 30, 20), ("FATHER", 10, 90)], ("f", "father", None), [(10, 90, "FATHER")]),
+    ([("noise", 10, 20)], ("f", "father", None), []),
+]
+
+
+def test_label_lines_by_hand(words_of, spark):
+    rows = [r for doc, (words, _, _) in enumerate(LABEL_PAGES) for r in page(*words, doc=doc)]
+    found = labels.find_label_lines(words_of(rows), labels.label_table(spark, [("f", "father", None), ("p", "place", "birth")])).collect()
+    for doc, (_, label, expected) in enumerate(LABEL_PAGES):
+        assert [(r.x0, r.y0, r.text) for r in found if r.doc_id == doc and r.label == label[0]] == expected, doc
+
+
+FATHER, PLACE = ("Father", 10, 100), [("Place", 10, 160), ("of", 60, 160), ("birth", 80, 160)]
+
+
+PAGES = [
+    # values below their labels
+    ([FATHER, ("PARENT", 10, 125), *PLACE, ("TOWN", 10, 185), ("EAST", 60, 185)], "", "PARENT", "TOWN EAST"),
+    # two lines at most, and only up to a line that looks like a label or a date
+    ([FATHER, ("ONE", 10, 118), ("TWO", 10, 140), ("SIX", 10, 162)], "", "ONE TWO", ""),
+    ([FATHER, ("PARENT", 10, 125), ("Sex", 10, 150)], "", "PARENT", ""),
+    ([FATHER, ("12/03/2020", 10, 125), ("PARENT", 10, 150)], "", "", ""),
+    # too far to the left, too far below, beyond a wide gap
+    ([("Father", 200, 100), ("LEFT", 150, 125), ("PARENT", 205, 125)], "", "PARENT", ""),
+    ([FATHER, ("LOW", 10, 230)], "", "", ""),
+    ([FATHER, ("PARENT", 10, 125), ("FAR", 300, 125)], "", "PARENT", ""),
+    # what stands above the header counts for nothing
+    ([("Father", 10, 5), ("WRONG", 10, 30), ("Republic", 10, 60), FATHER, ("PARENT", 10, 125)], "", "PARENT", ""),
+    # no father label: between the first name's label and the nationality's, without the first line
+    ([("First", 10, 60), ("GIVEN", 10, 85), ("PARENT", 10, 120), ("Nationality", 10, 150)], "", "PARENT", ""),
+    # no labels but the value of the nationality: the place follows, a label of its own is passed over
+    ([("ANCHORLAND", 10, 100), ("Place", 10, 125), ("TOWN", 10, 150)], "", "", "TOWN"),
+    # the father between the given name and that value
+    ([("GIVEN", 10, 60), ("PARENT", 10, 85), ("ANCHORLAND", 10, 110)], "GIVEN OTHER", "PARENT", ""),
+    ([("GIVEN", 10, 60), ("PARENT", 10, 85), ("ANCHORLAND", 10, 110)], "", "", ""),
+    # the surer of two detections of one word
+    ([FATHER, ("PARENT", 10, 125), ("PARENI", 11, 125)], "", "PARENT", ""),
+]
+
+
+def test_extraction_by_hand(words_of, spark):
+    rows = [r for doc, (words, *_) in enumerate(PAGES) for r in page(*words, doc=doc)]
+    rows = [(*r[:2], 0.7, *r[3:]) if r[1] == "PARENI" else r for r in rows]
+    hints = spark.createDataFrame([(doc, p[1]) for doc, p in enumerate(PAGES)], "doc_id long, given_names string")
+    reads = {(r.doc_id, r.field_key): r.value for r in extract_labelled(words_of(rows), hints, LabelSpecs(nationality_value="anchorland")).collect()}
+    got = [(reads[doc, "father_name"], reads[doc, "place_of_birth"]) for doc in range(len(PAGES))]
+    assert got == [(father, place) for _, _, father, place in PAGES]
 
 
 def test_extraction_does_not_depend_on_row_order(words_of, spark):
@@ -151,12 +214,15 @@ def test_extraction_does_not_depend_on_row_order(words_of, spark):
     assert run(words) == run(words.orderBy(F.desc("text"), "conf"))
 
 
-def test_column_run_equals_the_plain_rule(words_of):
-    rows = random_rows(8, 80, 12, [8, 14], width=900)
-    got = {r.word_no for r in lines.column_run(list_order(words_of(rows))).select("word_no.no").withColumnRenamed("no", "word_no").collect()}
-    for page in as_dicts(rows).values():
-        listed = sorted(page, key=lambda p: (-p["conf"], p["no"]))
-        assert {p["no"] for p in page} & got == {p["no"] for p in plain.run_of(listed)}
+def test_column_run_by_hand(words_of):
+    cases = [
+        ([(0, 30), (40, 60), (100, 120)], 3),  # gaps of 10 and 40, three heights are 42
+        ([(0, 30), (73, 90), (95, 99)], 1),  # 43 is too far, and all that follows goes
+        ([(0, 90), (10, 20), (125, 130)], 3),  # measured from the furthest right so far
+    ]
+    rows = [(doc, f"w{n}", 0.9, a, 0, b, 14) for doc, (spans, _) in enumerate(cases) for n, (a, b) in enumerate(spans)]
+    got = sorted((r.doc_id, r.text) for r in lines.column_run(words_of(rows)).collect())
+    assert got == [(doc, f"w{n}") for doc, (_, kept) in enumerate(cases) for n in range(kept)]
 
 
 @pytest.mark.parametrize(
