@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as i
 from docreg.operators import categories, forms
-from docreg.plans import labelled_fields, mrz_validation as mrz, source_merge
+from docreg.plans import autofill, labelled_fields, mrz_validation as mrz, source_merge
 from docreg.plans.category_table import extract_categories
 from docreg.plans.layout_fields import extract_layout
 from docreg.sources.reference import CATEGORY_CLASS, category_table
@@ -103,6 +103,30 @@ def _merge_errors(spark, sf):
     return source_merge.merge_errors(*_sides(spark, sf)).select("app_id", F.array_join("errors", "; ").alias("errors"))
 
 
+def _autofill(spark, sf):
+    """Passports, fronts and backs of applications; every tenth passport belongs to
+    an application of its own, most backs stand alone."""
+    own = F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 1000000000).otherwise(F.col("doc_id"))
+    moved = lambda df: df.withColumn("doc_id", own)
+    customer, orders = i.table(spark, sf, "customer"), i.table(spark, sf, "orders")
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    fail = lambda df, doc, side, field, no, error: df.select(doc.alias("doc_id"), F.lit(side).alias("side"), F.lit(field).cast("string").alias("field_key"), F.lit(no).cast("long").alias("read_no"), F.lit(error).alias("error"))
+    passport = F.when(key % 10 == 3, key + 1000000000).otherwise(key)
+    failures = (
+        fail(customer.where(key % 17 == 0), passport, "passport", None, 2, "blurred")
+        .unionByName(fail(customer.where(key % 34 == 0), passport, "passport", None, 1, "unreadable"))
+        .unionByName(fail(customer.where(key % 34 == 0), passport, "passport", None, 3, "blurred"))
+        .unionByName(fail(customer.where(key % 19 == 0), key, "front", "5", 1, "region lost"))
+        .unionByName(fail(orders.where(order % 12 == 0), order, "back", None, 1, "no table found"))
+    )
+    done = autofill.autofill(
+        moved(i.mrz_pages(spark, sf)), moved(i.mrz_words(spark, sf)), moved(i.label_words(spark, sf)), i.card_words(spark, sf), i.card_sizes(spark, sf),
+        i.back_words(spark, sf), i.back_sizes(spark, sf), i.AS_OF, labelled_fields.LabelSpecs(nationality_value="anchorland"), failures,
+    )
+    named = done.errors.select("app_id", F.array_join("errors", "; ").alias("errors"))
+    return done.form.join(named, "app_id").join(done.summary.withColumnRenamed("flagged", "n_flagged"), "app_id")
+
+
 def _applicable(spark, sf):
     return forms.applicable_fields(_merge(spark, sf)).select("app_id", "field_key")
 
@@ -216,6 +240,54 @@ merged AS ({' UNION ALL '.join(rows)})"""
 
 
 _MERGED = _merged_sql()
+
+
+def _autofill_sql() -> str:
+    rows = []
+    keys = ["1", "2", "3", "4a", "4b", "4c", "5", "8", "13b", "13c"]
+
+    def add(key: str, value: str, flagged: str, source: str) -> None:
+        rows.append(f"SELECT app_id, '{key}' AS field_key, {value} AS value, {flagged} AS flagged, {source} AS source, errors FROM sides")
+
+    def first(key: str, value: str, flagged: str, other: str, mark: bool = False) -> None:
+        licence = "TRUE" if mark else f"v{other}='' OR f{other}"
+        add(key, f"CASE WHEN {value}<>'' THEN {value} ELSE v{other} END", f"CASE WHEN {value}<>'' THEN {flagged} ELSE {licence} END",
+            f"CASE WHEN {value}<>'' THEN 'passport' WHEN v{other}<>'' THEN 'license' ELSE '' END")
+
+    first("Surname", "surname", "names_flagged", "1")
+    first("First Name", "given_names", "names_flagged", "2")
+    first("Father''s Name", "father", "FALSE", "13c")
+    add("Mother''s Name", "''", "TRUE", "''")
+    first("Date of B.", "birth", "FALSE", "3", True)
+    first("Place of B.", "place", "FALSE", "3", True)
+    for key, k in source_merge.LICENCE_ONLY.items():
+        add(key, f"v{k}", f"f{k}", f"CASE WHEN v{k}<>'' THEN 'license' ELSE '' END")
+    add("Original Document.Category", "CASE WHEN no_back THEN '' ELSE classes END", "no_back OR classes=''", "CASE WHEN no_back THEN '' ELSE 'license' END")
+    for key in forms.NEVER_FILLED:
+        add(key, "''", "FALSE", "''")
+    wide = ", ".join(f"max(value) FILTER (field_key='{k}') AS v{k}, bool_or(flagged) FILTER (field_key='{k}') AS f{k}" for k in keys)
+    whole = ", ".join(f"coalesce(v{k},'') AS v{k}, coalesce(f{k},TRUE) AS f{k}" for k in keys)
+    return f"""{_PARSED}, {i.MRZ_WORDS}, zone_means AS (SELECT doc_id, sum(CAST(CAST(conf AS VARCHAR) AS DECIMAL(38,20)))::DOUBLE/count(*) AS zm FROM mrz_words GROUP BY doc_id),
+{_CARD}, {_CLASSES},
+p AS (SELECT CASE WHEN c_custkey%10=3 THEN c_custkey+1000000000 ELSE c_custkey END AS app_id, surname, given_names, NOT valid OR zm < 0.6 AS names_flagged,
+  CASE WHEN birth_valid THEN coalesce(date_of_birth,'') ELSE '' END AS birth, 'PARENT'||CAST(c_custkey%97 AS VARCHAR) AS father,
+  'TOWN'||CAST(c_nationkey AS VARCHAR)||CASE WHEN c_custkey%13=0 THEN '' ELSE ' noise' END AS place,
+  CASE WHEN c_custkey%34=0 THEN 'unreadable; blurred' WHEN c_custkey%17=0 THEN 'blurred' END AS p_error
+  FROM customer JOIN parsed ON parsed.doc_id=c_custkey JOIN zone_means ON zone_means.doc_id=c_custkey),
+reads AS (SELECT doc_id AS app_id, field_key, CASE WHEN lost THEN '' ELSE value END AS value,
+  lost OR coalesce(m, 0.0) < 0.6 OR (value='' AND field_key<>'13b') OR unaligned OR odd AS flagged
+  FROM (SELECT *, field_key='5' AND doc_id%19=0 AS lost FROM fields LEFT JOIN means USING (doc_id, field_key))),
+f AS (SELECT app_id, {wide}, CASE WHEN app_id%19=0 THEN 'region lost' END AS f_error FROM reads GROUP BY app_id),
+cells AS (SELECT DISTINCT l_orderkey AS app_id, {list(CATEGORY_CLASS)}[(l_partkey%11+1)::INT] AS category FROM lineitem WHERE l_partkey%3<>0 OR l_suppkey%3<>0),
+b AS (SELECT o_orderkey AS app_id, coalesce(c,'') AS classes, CASE WHEN o_orderkey%12=0 THEN 'no table found' END AS b_error FROM orders LEFT JOIN (
+  SELECT app_id, string_agg(DISTINCT class, ', ' ORDER BY class) AS c FROM cells JOIN classes USING (category) GROUP BY app_id) x ON x.app_id=o_orderkey),
+sides AS (SELECT app_id, coalesce(surname,'') AS surname, coalesce(given_names,'') AS given_names, coalesce(names_flagged,TRUE) AS names_flagged, coalesce(birth,'') AS birth,
+  coalesce(father,'') AS father, coalesce(place,'') AS place, {whole}, coalesce(classes,'') AS classes, classes IS NULL OR b_error IS NOT NULL AS no_back,
+  concat_ws('; ', 'Passport: '||p_error, 'License front: '||f_error, 'License back: '||b_error) AS errors
+  FROM p FULL JOIN f USING (app_id) FULL JOIN b USING (app_id)),
+filled_form AS ({' UNION ALL '.join(rows)})"""
+
+
 _MASK = "field_key <> 'Original Document.Place of Issue'"
 
 QUERIES = {
@@ -247,6 +319,8 @@ SELECT o_orderkey AS doc_id, coalesce(c,'') AS classes, c IS NULL OR o_orderkey%
     "j9_never_held": (_never_held, f"""WITH {i.CATEGORY_READS} SELECT doc_id, category FROM category_reads
 GROUP BY doc_id, category HAVING NOT bool_or(issue<>'' OR expiry<>'')"""),
     "p5_merge_sources": (_merge, f"WITH {_MERGED} SELECT * FROM merged"),
+    "p5_autofill": (_autofill, f"""WITH {_autofill_sql()} SELECT *, count(*) FILTER (field_key <> 'Original Document.Place of Issue' AND value<>'') OVER (PARTITION BY app_id) AS filled,
+  count(*) FILTER (field_key <> 'Original Document.Place of Issue' AND flagged) OVER (PARTITION BY app_id) AS n_flagged FROM filled_form"""),
     "p5_merge_errors": (_merge_errors, """SELECT c_custkey AS app_id, concat_ws('; ', CASE WHEN c_custkey%17=0 THEN 'Passport: unreadable' END,
   CASE WHEN c_custkey%19=0 THEN 'License front: no card found' END, CASE WHEN c_custkey%10=0 THEN 'License back: no table found' END) AS errors FROM customer"""),
     "f6_applicable_fields": (_applicable, f"WITH {_MERGED} SELECT app_id, field_key FROM merged WHERE {_MASK} AND (value<>'' OR flagged)"),
