@@ -179,8 +179,8 @@ def _near(pairs: DataFrame, plan: Plan) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) that are linked by their full sets. Only texts of candidates are
     read again, and each set is built once."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = reliable(full_sets(docs.join(ids, "doc_id", "left_semi"), plan))
+    ids = reliable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = reliable(full_sets(docs.join(sent(ids), "doc_id", "left_semi"), plan))
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     joint = F.size("set_a") + F.size("set_b") - common
