@@ -9,6 +9,7 @@ from catalog import inputs as i
 from docreg.common import WORD_COLUMNS, mean_conf
 from docreg.operators import labels, lines, words as w
 from docreg.operators.layout import assign_regions
+from docreg.plans import readings
 from docreg.plans.text_lines import text_lines
 from docreg.sources import reference as ref
 from docreg.sources.annotations import flatten_annotations
@@ -149,6 +150,20 @@ def _orientation(spark, sf):
     return labels.orientation_ok(labels.find_label_lines(words.unionByName(turned), anchors), pages=pages)
 
 
+def _page_readings(spark, sf):
+    """Even pages are first read on their side; every fourth is then read upside down."""
+    words = i.label_words(spark, sf)
+    key = F.col("doc_id")
+    side = words.select("doc_id", "word_no", "text", "conf", F.col("y0").alias("x0"), F.col("x0").alias("y0"), F.col("y1").alias("x1"), F.col("x1").alias("y1"))
+    down = words.withColumn("y0", 400 - F.col("y0")).withColumn("y1", F.col("y0") + 14)
+    as_ = lambda df, n: df.select(*words.columns, F.lit(n).alias("attempt"))
+    tries = [as_(words.where(key % 2 == 1), 0), as_(side.where(key % 2 == 0), 0), as_(down.where(key % 4 == 0), 1), as_(words.where(key % 4 != 0), 1), as_(words, 2)]
+    every = tries[0].unionByName(tries[1]).unionByName(tries[2]).unionByName(tries[3]).unionByName(tries[4])
+    # the last documents have an attempt without any words
+    bare = i.table(spark, sf, "customer").select((F.col("c_custkey") + 1000000000).alias("doc_id"), F.lit(0).alias("attempt"))
+    return readings.page_readings(every, every.select("doc_id", "attempt").distinct().unionByName(bare))
+
+
 def _assign_regions(spark, sf):
     regions = ref.region_table(spark, ref.FRONT_REGIONS)
     return assign_regions(i.card_words(spark, sf), i.card_sizes(spark, sf), regions).select("doc_id", "word_no", "field_key")
@@ -267,6 +282,11 @@ SELECT doc_id, skipping, line_no, text FROM kept WHERE stops=0 AND line_no < 2""
 , all_ AS (SELECT c_custkey AS doc_id, coalesce(n,0)::INT AS n FROM customer LEFT JOIN n ON n.doc_id=c_custkey)
 SELECT doc_id, n AS n_anchors, TRUE AS upright FROM all_ UNION ALL SELECT -1-doc_id, n, n < 2 FROM all_
 UNION ALL SELECT doc_id+1000000000, 0, TRUE FROM all_"""),
+    "a5_page_readings": (_page_readings, f"""WITH {_ROWS}, {_FOUND}, n AS (SELECT doc_id, count(*) AS n FROM (
+  SELECT doc_id, label FROM found WHERE nth=1 AND label IN ('father','first','nationality')
+  UNION ALL SELECT doc_id, 'place' FROM printed WHERE lower(text) LIKE '%place%') GROUP BY doc_id)
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey%2=1 THEN 0 WHEN c_custkey%4=0 AND coalesce(n,0) >= 2 THEN 2 ELSE 1 END AS attempt FROM customer LEFT JOIN n ON n.doc_id=c_custkey
+UNION ALL SELECT c_custkey+1000000000, 0 FROM customer"""),
     "j1_assign_regions": (_assign_regions, f"""WITH {i.CARD_WORDS}
 SELECT doc_id, word_no, r.k AS field_key FROM card_words JOIN (VALUES {_REGIONS}) AS r(k,a,b,c,d)
  ON (x0+x1)/2.0 >= trunc(a*1000) AND (x0+x1)/2.0 < trunc(c*1000) AND (y0+y1)/2.0 >= trunc(b*600) AND (y0+y1)/2.0 < trunc(d*600)"""),

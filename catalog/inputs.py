@@ -316,8 +316,9 @@ def record_changes(spark: SparkSession, sf: str) -> DataFrame:
 # --- audit: events → audit events and lines
 _AUDIT = """
 SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'record_saved' WHEN 'click' THEN 'record_opened'
-    WHEN 'view' THEN 'print_rendered' WHEN 'purchase' THEN 'print_dispatched'
-    ELSE 'print_dispatch_failed' END AS event,
+    WHEN 'view' THEN CASE event_id%3 WHEN 0 THEN 'print' WHEN 1 THEN 'receipt' ELSE 'form' END||'_rendered'
+    WHEN 'purchase' THEN CASE event_id%3 WHEN 0 THEN 'print' WHEN 1 THEN 'receipt' ELSE 'form' END||'_dispatched'
+    ELSE CASE event_id%3 WHEN 0 THEN 'print' WHEN 1 THEN 'receipt' ELSE 'form' END||'_dispatch_failed' END AS event,
   'u'||CAST(user_id AS STRING) AS usr,
   CASE WHEN event_id%50=0 THEN 'unsaved' ELSE CAST(event_id%200 AS STRING) END AS record_id,
   CASE event_id%4 WHEN 0 THEN 'has space' WHEN 1 THEN '' WHEN 2 THEN 'q"uote' ELSE 'plain' END AS note

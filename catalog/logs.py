@@ -11,7 +11,6 @@ from docreg.operators import audit as a
 from docreg.operators.registry import diff_records
 from docreg.plans.audit_report import audit_report
 from docreg.sources import audit_log, intake, word_dumps
-from docreg.sources.images import extract_words
 from docreg.streaming.audit_stream import stream_audit
 
 _ATTRS = ["event", "user", "record_id", "note"]
@@ -112,34 +111,13 @@ def _dumps(spark, sf):
     return word_dumps.read_word_dumps(spark, path)
 
 
-def _line_reader():
-    """A reader of plain text in place of an image reader: words with their
-    place; a text of one line counts as unreadable."""
-
-    def read(content: bytes):
-        lines = content.decode("utf-8").split("\n")
-        if len(lines) == 1:
-            raise ValueError("one line only")
-        for line_no, line in enumerate(lines):
-            for word_no, word in enumerate(line.split(" ")):
-                if word:
-                    yield word, 1.0, word_no * 10, line_no * 20, word_no * 10 + 9, line_no * 20 + 12
-
-    return read
-
-
-def _reader(spark, sf):
-    files = i.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return extract_words(files, _line_reader()).select("path", "word_no", "text", "conf", "x0", "y0", "error")
-
-
 _TS = "strftime(ts,'%Y-%m-%d %H:%M:%S')"
 _EVENTS = f"""WITH {i.AUDIT_LINES}
 SELECT {_TS} AS ts, event, usr AS user, record_id, note, FALSE AS malformed, '' AS line FROM audit
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, TRUE, 'rest of '||value FROM audit_lines WHERE length(value)%10=3"""
-_PRINTS = """SELECT record_id, 'booklet' AS document, count(*) FILTER (event='print_rendered') AS previewed,
-  count(*) FILTER (event='print_dispatched') AS dispatched, count(*) FILTER (event='print_dispatch_failed') AS failed
-FROM audit WHERE event LIKE 'print%' GROUP BY record_id"""
+_PRINTS = """SELECT record_id, CASE split_part(event,'_',1) WHEN 'print' THEN 'booklet' ELSE split_part(event,'_',1) END AS document,
+  count(*) FILTER (event LIKE '%_rendered') AS previewed, count(*) FILTER (event LIKE '%_dispatched') AS dispatched, count(*) FILTER (event LIKE '%_failed') AS failed
+FROM audit WHERE event NOT LIKE 'record%' GROUP BY 1, 2"""
 _QUOTED = "CASE WHEN {c}='' THEN '\"\"' WHEN {c} LIKE '% %' OR {c} LIKE '%\"%' THEN '\"'||replace({c},'\"','\\\"')||'\"' ELSE {c} END"
 
 QUERIES = {
@@ -164,9 +142,4 @@ UNION ALL SELECT 'rejects', 'rest of '||value, '', '', '', '' FROM audit_lines W
 SELECT app_id, concat_ws(',', CASE WHEN NOT p THEN 'passport' END, CASE WHEN NOT f THEN 'front' END, CASE WHEN NOT b THEN 'back' END) AS missing, p AND f AND b AS complete FROM have"""),
     "s1_k3_word_dumps": (_dumps, f"""WITH {i.WORDS} SELECT source AS run, CAST(doc_id AS VARCHAR) AS region,
   (row_number() OVER (PARTITION BY doc_id ORDER BY word_no)-1)::INT AS word_no, w.text, round(conf/8, 3) AS conf, x0, y0, x1, y1 FROM words w JOIN documents USING (doc_id)"""),
-    "g1_extract_words": (_reader, """WITH l AS (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls,1)-1 AS line_no FROM (SELECT doc_id, string_split(text,chr(10)) AS ls FROM documents WHERE contains(text, chr(10)))),
-w AS (SELECT doc_id, line_no, unnest(ws) AS text, generate_subscripts(ws,1)-1 AS pos FROM (SELECT doc_id, line_no, string_split(ln,' ') AS ws FROM l))
-SELECT CAST(doc_id AS VARCHAR) AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos)-1)::INT AS word_no, text, 1.0::DOUBLE AS conf,
-  (pos*10)::INT AS x0, (line_no*20)::INT AS y0, NULL AS error FROM w WHERE length(text) > 0
-UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, 'one line only' FROM documents WHERE NOT contains(text, chr(10))"""),
 }

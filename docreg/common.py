@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +94,31 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_job: ContextVar[str | None] = ContextVar("job folder", default=None)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder below the shared one for all that a job writes on its way. Drop it
+    with ``drop_folder`` once the job's result is written."""
+    path = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _job.set(path)
+    try:
+        yield path
+    finally:
+        _job.reset(token)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a job's folder, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the job's folder, or under the shared folder."""
+    base = _job.get() or shared_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable(df: DataFrame) -> DataFrame:
