@@ -26,10 +26,14 @@ def _last_two(spark, sf):
 
 
 def _validate(spark, sf):
-    """Both outputs of the job; ``review`` tells them apart."""
-    valid, review = mrz.validate_mrz(i.mrz_pages(spark, sf), i.mrz_words(spark, sf), i.AS_OF)
+    """Both outputs of the job; ``review`` tells them apart. Beside each page stands
+    one without a zone, and without words."""
+    pages = i.mrz_pages(spark, sf)
+    bare = pages.select((F.col("doc_id") + 1000000000).alias("doc_id"), F.lit("no zone here").alias("full_text"))
+    valid, review = mrz.validate_mrz(pages.unionByName(bare), i.mrz_words(spark, sf), i.AS_OF)
     both = valid.withColumn("review", F.lit(False)).unionByName(review.withColumn("review", F.lit(True)))
-    return both.select(*_ZONE, F.size("warnings").alias("n_warnings"), "names_flagged", "review")
+    warned = F.coalesce(F.array_join("warnings", "; "), F.lit(""))
+    return both.select(*_ZONE, warned.alias("warnings"), "names_flagged", "review", "avg_conf", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def _zone_readings(spark, sf):
@@ -141,7 +145,7 @@ def _autofill(spark, sf):
 
 
 def _applicable(spark, sf):
-    return forms.applicable_fields(_merge(spark, sf)).select("app_id", "field_key")
+    return forms.applicable_fields(_merge(spark, sf)).select("app_id", "field_key", "value", "flagged", "source")
 
 
 def _run_summary(spark, sf):
@@ -308,8 +312,11 @@ QUERIES = {
     "t3_last_two": (_last_two, f"WITH {_PAIRS} SELECT * FROM zones"),
     "p1_validate_mrz": (_validate, f"""WITH {_PARSED}, {i.MRZ_WORDS}, means AS (SELECT doc_id,
   sum(CAST(CAST(conf AS VARCHAR) AS DECIMAL(38,20)))::DOUBLE/count(*) AS m FROM mrz_words GROUP BY doc_id)
-SELECT p.*, CAST(strptime(date_of_birth,'%d/%m/%Y') AS DATE) AS birth_day, CAST(strptime(expiry_date,'%d/%m/%Y') AS DATE) AS expiry_day,
-  NOT valid OR m < 0.6 AS names_flagged, NOT valid OR m < 0.6 AS review FROM parsed p JOIN means USING (doc_id)"""),
+SELECT p.* EXCLUDE (n_warnings), CAST(strptime(date_of_birth,'%d/%m/%Y') AS DATE) AS birth_day, CAST(strptime(expiry_date,'%d/%m/%Y') AS DATE) AS expiry_day,
+  concat_ws('; ', CASE WHEN NOT number_valid THEN 'document number fails its check digit' END, CASE WHEN NOT birth_valid THEN 'date of birth fails its check digit' END,
+    CASE WHEN NOT expiry_valid THEN 'date of expiry fails its check digit' END) AS warnings,
+  NOT valid OR m < 0.6 AS names_flagged, NOT valid OR m < 0.6 AS review, m AS avg_conf, '' AS error FROM parsed p JOIN means USING (doc_id)
+UNION ALL BY NAME SELECT doc_id+1000000000 AS doc_id, '' AS warnings, TRUE AS names_flagged, TRUE AS review, 0.0::DOUBLE AS avg_conf, 'no two MRZ lines found' AS error FROM mrz_pages"""),
     "p1_zone_readings": (_zone_readings, f"""WITH {i.MRZ_PAGES}
 SELECT doc_id, CASE WHEN doc_id%2=0 THEN 1 WHEN doc_id%3<>0 THEN 2 END AS attempt, CASE WHEN doc_id%2=0 OR doc_id%3<>0 THEN full_text END AS full_text FROM mrz_pages"""),
     "a12_mrz_quality": (_quality, f"""WITH {_PARSED} SELECT issuing_country, count(*) AS documents,
@@ -338,7 +345,7 @@ GROUP BY doc_id, category HAVING NOT bool_or(issue<>'' OR expiry<>'')"""),
   count(*) FILTER (field_key <> 'Original Document.Place of Issue' AND flagged) OVER (PARTITION BY app_id) AS n_flagged FROM filled_form"""),
     "p5_merge_errors": (_merge_errors, """SELECT c_custkey AS app_id, concat_ws('; ', CASE WHEN c_custkey%17=0 THEN 'Passport: unreadable' END,
   CASE WHEN c_custkey%19=0 THEN 'License front: no card found' END, CASE WHEN c_custkey%10=0 THEN 'License back: no table found' END) AS errors FROM customer"""),
-    "f6_applicable_fields": (_applicable, f"WITH {_MERGED} SELECT app_id, field_key FROM merged WHERE {_MASK} AND (value<>'' OR flagged)"),
+    "f6_applicable_fields": (_applicable, f"WITH {_MERGED} SELECT app_id, field_key, value, flagged, source FROM merged WHERE {_MASK} AND (value<>'' OR flagged)"),
     "a6_run_summary": (_run_summary, f"""WITH {_MERGED} SELECT app_id, count(*) FILTER ({_MASK} AND value<>'') AS filled,
   count(*) FILTER ({_MASK} AND flagged) AS flagged FROM merged GROUP BY app_id"""),
     "a7_collect_errors": (_collect_errors, """WITH e AS (SELECT user_id AS doc_id, event_type||' '||CAST(event_id%3 AS VARCHAR) AS error, min(event_id) AS no

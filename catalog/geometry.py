@@ -39,6 +39,12 @@ def _group_lines(spark, sf):
     return lines.group_lines(i.words(spark, sf)).select("doc_id", "word_no", "line_no")
 
 
+def _touching_lines(spark, sf):
+    """Words of mixed heights, so that lines reach into each other."""
+    tall = F.col("y0") + F.element_at(F.array(*[F.lit(h) for h in (14, 34, 54)]), (F.col("word_no") % 3 + 1).cast("int"))
+    return lines.group_lines(i.label_words(spark, sf).withColumn("y1", tall)).select("doc_id", "word_no", "line_no")
+
+
 def _line_boxes(spark, sf):
     return lines.line_boxes(lines.group_lines(i.words(spark, sf)))
 
@@ -216,6 +222,18 @@ QUERIES = {
   coalesce(min(CASE WHEN conf >= 0.3 THEN text END),'') AS value, {_MEAN} AS mean FROM words GROUP BY 1, 2)
 SELECT doc_id, row_no, value, mean < 0.6 OR value = '' OR doc_id%10=0 AS flagged FROM reads"""),
     "w1_group_lines": (_group_lines, f"WITH {i.WORDS}, {_LINES.format(source='words')} SELECT doc_id, word_no, line_no FROM numbered"),
+    # the rule itself, word by word: a word joins the first line whose bottom and slack reach its middle
+    "w1_touching_lines": (_touching_lines, f"""WITH RECURSIVE {i.LABEL_WORDS},
+tall AS (SELECT doc_id, word_no, y0, y0+[14,34,54][(word_no%3+1)::INT] AS y1 FROM label_words),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, word_no) AS pos FROM tall),
+walk(doc_id, pos, word_no, line_no, bottoms) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, NULL::INT, NULL::BIGINT, []::INT[] FROM tall
+  UNION ALL
+  SELECT doc_id, pos, word_no, fit-1, CASE WHEN fit > len(bottoms) THEN list_append(bottoms, y1)
+    ELSE list_concat(list_append(bottoms[1:fit-1], greatest(bottoms[fit], y1)), bottoms[fit+1:]) END
+  FROM (SELECT o.*, w.bottoms, coalesce(list_position(list_transform(w.bottoms, lambda b: b+4 >= (o.y0+o.y1)/2.0), true), len(w.bottoms)+1) AS fit
+    FROM walk w JOIN ordered o ON o.doc_id=w.doc_id AND o.pos=w.pos+1))
+SELECT doc_id, word_no, line_no FROM walk WHERE word_no IS NOT NULL"""),
     "a2_line_boxes": (_line_boxes, f"WITH {i.WORDS}, {_LINES.format(source='words')} {_BOXES}"),
     "a3_rebuild_text": (_rebuild_text, f"""WITH {i.WORDS}, {_LINES.format(source='words')}
 SELECT doc_id, string_agg(text,' ' ORDER BY line_no, x0, word_no) AS text FROM numbered GROUP BY doc_id"""),
