@@ -19,6 +19,15 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def _checked(word: tuple) -> tuple:
+    """A reader's row with the types the table has; a pixel must be whole."""
+    text, conf, *corners = word
+    whole = [int(c) for c in corners]
+    if not isinstance(text, str) or len(whole) != 4 or any(a != b for a, b in zip(whole, corners)):
+        raise ValueError(f"not a word: {word!r}")
+    return text, float(conf), *whole
+
+
 def extract_words(files: DataFrame, reader: Reader) -> DataFrame:
     """Words of each file, plus one row with ``error`` for each file the reader
     fails on; the job goes on. Reading is the costly step, so write the result
@@ -40,7 +49,7 @@ def extract_words(files: DataFrame, reader: Reader) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    words = list(reader(content.as_py()))
+                    words = [_checked(word) for word in reader(content.as_py())]
                     rows.extend((path, i, *word, None) for i, word in enumerate(words))
                 except Exception as problem:  # noqa: BLE001 - one bad file must not end the job
                     rows.append((path, *[None] * 7, str(problem) or type(problem).__name__))

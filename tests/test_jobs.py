@@ -9,7 +9,7 @@ from docreg.common import drop_folder, job_folder, reliable
 from docreg.operators import registry as r
 from docreg.plans.save_batch import save_batch
 from docreg.plans.source_merge import merge_errors, merge_sources
-from docreg.sources import word_dumps
+from docreg.sources import images, word_dumps
 from docreg.sources.records import encode_records
 
 RECORD = "id long, created_at string, fields map<string, string>"
@@ -104,3 +104,12 @@ def test_an_application_with_only_a_failed_front(spark):
     assert merge_errors(passport, reads, back, front).first().errors == ["License front: no card found"]
     form = merge_sources(passport, reads, back, front)
     assert form.select("app_id").distinct().first()[0] == 5 and form.where(F.col("value") != "").isEmpty()
+
+
+def test_a_reader_that_returns_no_words_is_an_error_row(spark):
+    def read(content):
+        yield {b"a": ("w", 0.5, 0, 0, 1, 1), b"b": ("w", 0.5, 1.5, 0, 1, 1), b"c": ("w", "x", 0, 0, 1, 1), b"d": (7, 0.5, 0, 0, 1, 1)}[content]
+
+    files = spark.createDataFrame([(k, k.encode()) for k in "abcd"], "path string, content binary")
+    words, errors = images.split_reads(images.extract_words(files, read))
+    assert [x.path for x in words.collect()] == ["a"] and sorted(x.path for x in errors.collect()) == ["b", "c", "d"]
