@@ -65,8 +65,7 @@ def _layout(spark, sf):
 
 
 def _categories(spark, sf):
-    held = extract_categories(i.back_words(spark, sf), i.back_sizes(spark, sf))
-    return held.select("doc_id", "category", (F.col("issue") != "").alias("has_issue"), (F.col("expiry") != "").alias("has_expiry"))
+    return extract_categories(i.back_words(spark, sf), i.back_sizes(spark, sf)).select("doc_id", "category", "issue", "expiry")
 
 
 def _map_categories(spark, sf):
@@ -331,10 +330,12 @@ UNION ALL SELECT c_custkey, 'place_of_birth', 'TOWN'||CAST(c_nationkey AS VARCHA
   0.9::DOUBLE, CASE WHEN c_custkey%5=0 THEN 2 ELSE 1 END, FALSE FROM customer"""),
     "p3_extract_layout": (_layout, f"""WITH {_CARD} SELECT f.doc_id, f.field_key, f.value, coalesce(m, 0.0::DOUBLE) AS conf,
   coalesce(m, 0.0) < 0.6 OR (f.value='' AND f.field_key<>'13b') OR unaligned OR odd AS flagged FROM fields f LEFT JOIN means USING (doc_id, field_key)"""),
-    "p4_extract_categories": (_categories, f"""WITH cells AS (SELECT l_orderkey AS doc_id, l_partkey%11 AS c, l_partkey%3<>0 AS i, l_suppkey%3<>0 AS e
-  FROM lineitem SEMI JOIN orders ON l_orderkey=o_orderkey)
-SELECT doc_id, {list(CATEGORY_CLASS)}[(c+1)::INT] AS category, bool_or(i) AS has_issue, bool_or(e) AS has_expiry
-FROM cells WHERE i OR e GROUP BY doc_id, c"""),
+    # words of a cell in two rows; those at one place are detections of one word, of which the best stays
+    "p4_extract_categories": (_categories, f"""WITH {i.BACK_WORDS}, placed AS (SELECT doc_id, (y0-120)//50 AS c, (y0-120)%50 AS line, x0=540 AS issue,
+  text, row_number() OVER (PARTITION BY doc_id, x0, y0 ORDER BY conf DESC, word_no) AS nth FROM back_words SEMI JOIN orders ON doc_id=o_orderkey),
+cells AS (SELECT doc_id, c, string_agg(text, ' ' ORDER BY line) FILTER (issue) AS issue, string_agg(text, ' ' ORDER BY line) FILTER (NOT issue) AS expiry
+  FROM placed WHERE nth=1 GROUP BY doc_id, c)
+SELECT doc_id, {list(CATEGORY_CLASS)}[(c+1)::INT] AS category, coalesce(issue,'') AS issue, coalesce(expiry,'') AS expiry FROM cells"""),
     "j3_map_categories": (_map_categories, f"WITH {i.CATEGORY_READS}, {_CLASSES} SELECT doc_id, row_no, category, class, issue, expiry FROM category_reads JOIN classes USING (category)"),
     "a8_held_classes": (_held_classes, f"""WITH {_HELD}, agg AS (SELECT doc_id, string_agg(DISTINCT class, ', ' ORDER BY class) AS c FROM held GROUP BY doc_id)
 SELECT o_orderkey AS doc_id, coalesce(c,'') AS classes, c IS NULL OR o_orderkey%13=0 AS flagged FROM orders LEFT JOIN agg ON doc_id=o_orderkey"""),
