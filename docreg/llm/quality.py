@@ -2,10 +2,11 @@
 field over the lines of a text.
 
 A line is described by its own make-up (kinds of characters, words, repeats) and
-that of the lines before and after it. The labels are per document: first every
-line of a bad document counts as bad; then the field is fitted again with those
-lines of bad documents set to good that the first fit finds good. Forward-backward
-marginals, weighted by line length, make the document's score.
+that of the lines before and after it. The labels are per document: a first fit,
+on each line for itself, takes every line of a bad document as bad; the lines of bad
+documents that it finds good then count as good, all but the worst, and the field
+is fitted on whole texts. Forward-backward marginals, weighted by line length, make
+the document's score.
 
 The fit uses a bounded sample of labelled rows (``per_class`` of each label);
 every text is scored whole.
@@ -17,6 +18,7 @@ scored one by one, so repeated rows get equal scores."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,13 @@ class LineFeatures:
         self.x = np.column_stack([own, before, after, np.ones(len(own))])
         self.size = self.x.shape[1]
 
+    def alone(self) -> LineFeatures:
+        """The same lines without their neighbours."""
+        other = copy(self)
+        other.x = np.column_stack([self.x[:, :_OWN], self.x[:, -1:]])
+        other.size = other.x.shape[1]
+        return other
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return self.x @ weights
 
@@ -135,9 +144,12 @@ def fit(sample: list[tuple[str, int]], prior: float = 0.5) -> Model:
     learn = np.flatnonzero(~rest)
     lines = LineFeatures([texts[i] for i in learn])
     from_bad = np.repeat(good[learn] == 0, lines.counts)
-    chain = crf.train(lines, from_bad.astype(np.int64), lines.counts)
-    p = crf.marginals(crf.Sequences(lines.counts), lines.scores(chain.weights), chain)[0]
-    chain = crf.train(lines, (from_bad & (p >= 0.5)).astype(np.int64), lines.counts)
+    alone = np.ones(len(from_bad), dtype=np.int64)
+    own = lines.alone()
+    first = crf.train(own, from_bad.astype(np.int64), alone)
+    p = crf.marginals(crf.Sequences(alone), own.scores(first.weights), first)[0]
+    worst = np.repeat(np.maximum.reduceat(p, np.cumsum(lines.counts) - lines.counts), lines.counts)
+    chain = crf.train(lines, (from_bad & ((p >= 0.5) | (p == worst))).astype(np.int64), lines.counts)
     model = Model(chain, lines.scale, np.zeros(3))
     tested = np.flatnonzero(rest) if len(set(good[rest].tolist())) == 2 else np.arange(len(texts))
     model.weights = logistic(model.evidence(*model.mark([texts[i] for i in tested])), good[tested], prior)

@@ -211,7 +211,7 @@ def test_quality(spark):
             return "\n".join(" | ".join(prose(rng, ["ka", "to"], 6).split()) for _ in range(rng.randint(1, 5)))
         return "\n".join("!! ".join(prose(rng, ["ka", "to"], 9).upper().split()) for _ in range(rng.randint(1, 5)))
 
-    rows = [(i, (good() if i % 4 else "Kato mi.\n" + bad(i // 4))) for i in range(320)]
+    rows = [(i, (good() if i % 4 else prose(rng, ["ka", "to", "mi", "su"], 8).capitalize() + ".\n" + bad(i // 4))) for i in range(320)]
     labels = [(i, int(i % 4 != 0), 0) for i in range(0, 320) if i % 3]
     odd = [(900, None), (901, ""), (902, "\n\n"), (None, good()), (903, "\n".join(good() for _ in range(4_000))), (4, rows[4][1])]
     docs, marks = docs_of(spark, rows + odd), spark.createDataFrame(labels + [(5, None, 1), (None, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
