@@ -36,7 +36,7 @@ def test_no_pairing_without_a_key(stored):
     boxes = stored.selectExpr("doc_id", "struct(0D AS less, word_no AS no) AS rank", "x0", "y0", "x1", "y1")
     plans = [
         plan(text_lines(stored)), plan(w.words_in_bands(stored, bands_below(lines), ["doc_id"])),
-        plan(w.overlapping_pairs(boxes, boxes, ["doc_id"], 0.5, (128, 32))),
+        plan(w.overlapping_pairs(boxes, ["doc_id"], 0.5)),
     ]
     assert not any(bad in text for text in plans for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"))
 
