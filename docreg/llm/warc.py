@@ -38,7 +38,6 @@ _END = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\x00-\x08\x0a-\x1f\x7f]*)")
 _MEMBER = b"\x1f\x8b\x08"
-_LONGEST_HEAD = 1 << 16
 
 
 def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -94,21 +93,23 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     start = _VERSION.match(data, at)
     if not start:
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", start.end(), at + _LONGEST_HEAD)
-    if end < 0:
-        raise Damage("header does not end")
     fields: dict[str, str] = {}
-    for line in data[start.end() : end].split(b"\r\n"):
-        field = _FIELD.fullmatch(line)
+    line, end = start.end(), data.find(b"\r\n", start.end())
+    # line by line, so a header may be of any length and the first line that is none ends the search
+    while end != line:
+        if end < 0:
+            raise Damage("header does not end")
+        field = _FIELD.fullmatch(data, line, end)
         if not field:
             raise Damage("malformed header line")
         try:
             fields[field[1].lower().decode()] = field[2].decode()
         except UnicodeDecodeError as problem:
             raise Damage("malformed header line") from problem
+        line, end = end + 2, data.find(b"\r\n", end + 2)
     if not fields.get("content-length", "").isdigit():
         raise Damage("no length")
-    body, stop = end + 4, end + 4 + int(fields["content-length"])
+    body, stop = end + 2, end + 2 + int(fields["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damage("record does not end at its length")
     payload = data[body:stop]

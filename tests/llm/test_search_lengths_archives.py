@@ -124,6 +124,14 @@ def test_archives(spark):
     assert warc.archive_digest(pages.where("false")).collect() == []
 
 
+def test_long_addresses_keep_their_rows(spark):
+    urls = {1: "data:text/html," + "a" * 100_000, 2: "http://x/ " + "é" * 30_000, 3: "http://x/WARC/1.1"}
+    pages = spark.createDataFrame([(i, url, f"page {i}") for i, url in urls.items()], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.archive_digest(pages).collect()) == [1, 2, 3]
+    read = {r["page_id"]: r["url"] for r in warc.read_archives(spark, warc.write_archives(pages)).collect()}
+    assert read == {"1": urls[1], "2": "http%3A%2F%2Fx%2F+" + "%C3%A9" * 30_000, "3": urls[3]}
+
+
 def record(page, payload):
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Length: {len(payload)}\r\n\r\n"
     return head.encode() + payload + b"\r\n\r\n"
