@@ -10,7 +10,11 @@ writer makes the archive files, with task commit and any Hadoop file system.
 Reading salvages: a record whose checks fail (version line, header lines, length,
 record end, payload digest, or a gzip member that does not unpack) is left; the
 reader searches for the next version line or gzip member that is valid, goes on
-from there, and reports the bytes in between as a quarantined gap.
+from there, and reports the bytes in between as a quarantined gap. What a gzip
+member holds is salvaged in the same way, also what was unpacked of a member that
+is cut or breaks off; such a member is a gap of the file beside its records. Only
+a member that breaks and holds one record and nothing else is left as a whole:
+its checks are that record's checks.
 
 Defined results: a null page is an empty payload; records of equal payloads whose
 smallest id is shared by repeated rows are all responses; rows without id are
@@ -119,65 +123,125 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     return fields | {"payload": payload}, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The unpacked gzip member that begins at a place, and where it ends."""
-    unpack = zlib.decompressobj(wbits=31)
-    try:
-        content = unpack.decompress(data[at:]) + unpack.flush()
-    except zlib.error as problem:
-        raise Damage("gzip member does not unpack") from problem
-    if not unpack.eof:
-        raise Damage("gzip member is cut")
-    return content, len(data) - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """Walk an archive: ("record", start, end, fields) for every valid record and
-    ("gap", start, end, reason) for the bytes between. Plain records and gzip
-    members may be mixed; a member may hold several records."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What unpacks of the gzip member that begins at a place, where the unpacking
+    stopped, and why if that is not the member's end."""
+    unpack, parts, view = zlib.decompressobj(wbits=31), [], memoryview(data)
+    # a piece that breaks gives nothing, so it is taken again in smaller ones
+    for step in (1 << 20, 1 << 12, 1):
+        while at < len(data) and not unpack.eof:
+            before = unpack.copy()
+            try:
+                parts.append(unpack.decompress(view[at : at + step]))
+            except zlib.error:
+                unpack = before
+                break
+            at = min(at + step, len(data)) - len(unpack.unused_data)
+        else:
+            return b"".join(parts), at, "" if unpack.eof else "gzip member is cut"
+    return b"".join(parts), at, "gzip member does not unpack"
+
+
+def _plain(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Walk the records of an unpacked member."""
     at, lost, reason = 0, None, ""
     while at < len(data):
-        found, end = [], at
         try:
-            if data.startswith(_MEMBER, at):
-                content, end = _member(data, at)
-                inside, within = 0, []
-                while inside < len(content):
-                    fields, inside = _record(content, inside)
-                    within.append(fields)
-                found = within
-            else:
-                fields, end = _record(data, at)
-                found = [fields]
+            fields, end = _record(data, at)
         except Damage as problem:
             if lost is None:
                 lost, reason = at, str(problem)
-            version, member = _VERSION.search(data, at + 1), data.find(_MEMBER, at + 1)
-            at = min([p for p in (version.start() if version else -1, member) if p >= 0], default=len(data))
+            version = _VERSION.search(data, at + 1)
+            at = version.start() if version else len(data)
             continue
         if lost is not None:
             yield "gap", lost, at, reason
             lost = None
-        for fields in found:
-            yield "record", at, end, fields
+        yield "record", at, end, fields
         at = end
     if lost is not None:
         yield "gap", lost, len(data), reason
 
 
+def walk(data: bytes) -> Iterator[tuple[str, int, int, object, int | None, int | None]]:
+    """Walk an archive: ("record", start, end, fields) for every valid record and
+    ("gap", start, end, reason) for the bytes between, each with its range inside
+    the unpacked gzip member or twice None. Plain records and gzip members may be
+    mixed; a member may hold several records. What comes from a member has the
+    member's range in the file. A member that breaks is a gap up to the next valid
+    place; its records and the gaps between them have that range, too, and the
+    gap's range inside begins behind the last of them and is open."""
+    at, lost, reason, behind = 0, None, "", None
+    held: list[tuple[str, int, int, object]] = []
+    # records that a broken member gave, and where its unpacking stopped: stored
+    # blocks hold their content as it is, so the search meets the same bytes again
+    given: set[bytes] = set()
+    until = 0
+
+    def gap(end: int):
+        yield from ((kind, lost, end, found, a, b) for kind, a, b, found in held)
+        yield "gap", lost, end, reason, behind, None
+
+    while at < len(data):
+        why, end, found = "", at, []
+        if data.startswith(_MEMBER, at):
+            content, end, why = _member(data, at)
+            found = list(_plain(content))
+            if why:
+                whole = len(found) == 1 and found[0][1:3] == (0, len(content))
+                while found and found[-1][0] == "gap":
+                    found.pop()
+                fresh = [x for x in found if x[0] == "record" and hashlib.sha256(content[x[1] : x[2]]).digest() not in given] if at < until else found
+                if fresh and not whole:
+                    if lost is not None:
+                        yield from gap(at)
+                    lost, reason, held, behind = at, why, found, found[-1][2]
+                    given = {hashlib.sha256(content[a:b]).digest() for kind, a, b, _ in found if kind == "record"}
+                    until = end
+        else:
+            try:
+                fields, end = _record(data, at)
+                if at < until and hashlib.sha256(data[at:end]).digest() in given:
+                    why = "record was read from its member"
+            except Damage as problem:
+                why = str(problem)
+        if why:
+            if lost is None:
+                lost, reason = at, why
+            version, member = _VERSION.search(data, at + 1), data.find(_MEMBER, at + 1)
+            at = min([p for p in (version.start() if version else -1, member) if p >= 0], default=len(data))
+            continue
+        if lost is not None:
+            yield from gap(at)
+            lost, held, behind = None, [], None
+        if data.startswith(_MEMBER, at):
+            yield from ((kind, at, end, what, a, b) for kind, a, b, what in found)
+        else:
+            yield "record", at, end, fields, None, None
+        at = end
+    if lost is not None:
+        yield from gap(len(data))
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """The same without the ranges inside members."""
+    return (found[:4] for found in walk(data))
+
+
 _PAGE = re.compile(r"^<urn:page:(.*)>$", re.S)
 _ROW = pa.schema([
     ("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("page_id", pa.string()),
     ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
+    ("inner_start", pa.int64()), ("inner_end", pa.int64()),
 ])
 _ROW_TYPES = (
     "kind string, path string, start long, end long, reason string, page_id string, url string, record_type string, refers_to string, "
-    "payload_bytes long, payload_digest string, payload binary"
+    "payload_bytes long, payload_digest string, payload binary, inner_start long, inner_end long"
 )
 
 
-def _row(path: str, kind: str, start: int, end: int, found, with_payload: bool) -> dict:
-    row = {"kind": kind, "path": path, "start": start, "end": end}
+def _row(path: str, kind: str, start: int, end: int, found, inner_start: int | None, inner_end: int | None, with_payload: bool) -> dict:
+    row = {"kind": kind, "path": path, "start": start, "end": end, "inner_start": inner_start, "inner_end": inner_end}
     if kind == "gap":
         return row | {"reason": found}
     named = lambda key: (_PAGE.match(found.get(key, "")) or [None, None])[1]
@@ -195,16 +259,17 @@ def _row(path: str, kind: str, start: int, end: int, found, with_payload: bool)
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every valid record (``kind`` record) and every quarantined gap (``kind``
     gap, with ``reason``) of the archives in a folder: file, byte range, page id,
-    address, type, payload size and digest, and the payload unless left out. An
-    archive file must fit a task's memory and is at most 2 GB."""
+    address, type, payload size and digest, the payload unless left out, and the
+    range inside an unpacked gzip member. An archive file, and what a member of it
+    unpacks to, must fit a task's memory; a file is at most 2 GB."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
                 data, made, size = content.as_py(), [], 0
-                for kind, start, end, found in salvage(data):
-                    made.append(_row(name.as_py(), kind, start, end, found, with_payload))
-                    size += end - start if with_payload else 0
+                for found in walk(data):
+                    made.append(_row(name.as_py(), *found, with_payload))
+                    size += len(made[-1].get("payload") or b"")
                     if len(made) >= 4096 or size > 4_000_000:
                         yield pa.RecordBatch.from_pylist(made, schema=_ROW)
                         made, size = [], 0

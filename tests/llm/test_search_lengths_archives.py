@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -180,6 +181,44 @@ def test_salvage_members():
     assert pages_of(warc.salvage(whole[:-4])) == list("0123")
 
 
+def test_salvage_inside_members():
+    parts = [record(i, random.Random(i).randbytes(3_000)) for i in range(40)]
+    at = [sum(map(len, parts[:i])) for i in range(41)]
+    torn = bytearray(b"".join(parts))
+    torn[at[3] - 60] ^= 1  # a payload byte of record 2
+    torn[at[7] + 3] = 0  # the version line of record 7
+    member = gzip.compress(bytes(torn))
+    found = list(warc.walk(record("a", b"a") + member + record("b", b"b")))
+    assert pages_of(f[:4] for f in found) == ["a", *[str(i) for i in range(40) if i not in (2, 7)], "b"]
+    assert [f[4:] for f in found if f[0] == "gap"] == [(at[2], at[3]), (at[7], at[8])]
+    ends = (len(record("a", b"a")), len(record("a", b"a")) + len(member))
+    assert {f[1:3] for f in found if f[4] is not None} == {ends}
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_members_that_break(level):
+    parts = [record(i, random.Random(i).randbytes(3_000)) for i in range(40)]
+    at = [sum(map(len, parts[:i])) for i in range(41)]
+    whole = gzip.compress(b"".join(parts), level)
+    for after, more in ((b"", []), (record("b", b"b"), ["b"]), (gzip.compress(record("c", b"c")), ["c"])):
+        # the tail is gone: in the middle of a record, or only of the member's checks
+        half = list(warc.walk(whole[: len(whole) // 2] + after))
+        n = len(pages_of(f[:4] for f in half)) - len(more)
+        assert 18 <= n <= 20 and pages_of(f[:4] for f in half) == [*map(str, range(n)), *more]
+        if level:  # what follows a cut stored block is unpacked with it
+            [gap] = [f for f in half if f[0] == "gap"]
+            assert gap[1:3] == (0, len(whole) // 2) and gap[4:] == (at[n], None)
+        assert pages_of(warc.salvage(whole[:-4] + after)) == [*map(str, range(40)), *more]
+        # checks that do not fit: every record is judged by its own
+        wrong = bytearray(whole)
+        wrong[-6] ^= 1
+        assert pages_of(warc.salvage(bytes(wrong) + after)) == [*map(str, range(40)), *more]
+    # a block that does not unpack
+    packer = zlib.compressobj(level, wbits=31)
+    begun = packer.compress(b"".join(parts[:9])) + packer.flush(zlib.Z_FULL_FLUSH)
+    assert pages_of(warc.salvage(begun + b"\xff" * 50 + record("b", b"b"))) == [*map(str, range(9)), "b"]
+
+
 def test_every_cut_keeps_the_other_records():
     parts = [record(i, bytes([65 + i]) * 30) for i in range(3)]
     whole = b"".join(parts)
