@@ -15,8 +15,9 @@ length; their fingerprints are built the same way for that length (one hash belo
 
 Defined results: null texts and texts without words have no windows and are never
 hit; rows of the benchmark that repeat an id are parts of one item, and a null
-item id counts as the empty text; every row of the documents gives one row, also
-if ids or whole rows repeat; an empty benchmark hits nothing."""
+item id counts as the empty text; every row of the documents gives one row and is
+judged by its own text, also if ids or whole rows repeat or ids are null; an empty
+benchmark hits nothing."""
 
 from __future__ import annotations
 
@@ -73,10 +74,9 @@ def _windows(words: Column, lengths: list[int]) -> Column:
     return F.concat(*[each(n) for n in lengths])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per document: (doc_id, n_words, n_hit, spans, items). ``spans`` are
-    the joined hit spans as (start, end) in words, ``items`` the ids, as text, of
-    the benchmark items with a window in the document."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(hit_id, hit_row, spans, items) of every id and text with a hit; ``hit_row``
+    is the hash of both."""
     items = computed(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), words_of(F.col("text")).alias("words"))
     items = reliable(items.where(F.size("words") > 0).select("item_id", "words"))
     short = [r["n"] for r in items.where(F.size("words") < window).select(F.size("words").alias("n")).distinct().collect()]
@@ -109,7 +109,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         .otherwise(F.struct(F.concat(s["done"], F.array(F.struct(s["start"], s["end"]))).alias("done"), x["at"].alias("start"), x["end"].alias("end"))),
         lambda s: F.concat(s["done"], F.array(F.struct(s["start"], s["end"]))),
     )
-    hits = reliable(hits.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row"), joined.alias("spans"), "items"))
+    return reliable(hits.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row"), joined.alias("spans"), "items"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per document: (doc_id, n_words, n_hit, spans, items). ``spans`` are
+    the joined hit spans as (start, end) in words, ``items`` the ids, as text, of
+    the benchmark items with a window in the document."""
+    hits = _hits(docs, benchmark, window, gram)
     counted = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("row"),
         F.coalesce(F.size(F.array_remove(F.split("text", _RAW_GAPS), "")), F.lit(0)).alias("n_words"),
@@ -123,10 +130,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns. Rows of one id are one
-    document; so are rows without id."""
-    hit = reliable(find_contamination(docs, benchmark).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(sent(hit), docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """The documents without a hit, with all their columns. Only rows whose own text
+    is hit go, whatever other rows of their id or without id hold."""
+    hit = _hits(docs, benchmark, WINDOW, GRAM).select("hit_id", "hit_row")
+    own = (F.xxhash64(docs["doc_id"], docs["text"]) == hit["hit_row"]) & docs["doc_id"].eqNullSafe(hit["hit_id"])
+    return docs.join(sent(hit), own, "left_anti")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

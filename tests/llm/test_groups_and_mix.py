@@ -75,6 +75,14 @@ def test_contamination(spark, short):
     assert decontamination.find_contamination(docs_of(spark, rows).where("false"), bench).collect() == []
 
 
+def test_rows_are_kept_by_their_own_text(spark):
+    dirty = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, f"a {dirty}"), (None, "clean one"), (None, None), (9, dirty), (9, "clean two"), (9, "clean two"), (10, dirty), (10, dirty)]
+    bench = spark.createDataFrame([(1, dirty)], "item_id long, text string")
+    kept = decontamination.keep_clean(docs_of(spark, rows), bench).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(i), str(t)) for i, t in rows if dirty not in (t or ""))
+
+
 # --- op6
 
 
