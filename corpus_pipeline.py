@@ -36,8 +36,9 @@ def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, in training order."""
-    return curriculum.mix_digest(docs)
+    """What the mix takes of each document, with the words and the position of every
+    copy, in training order of the first."""
+    return curriculum.mix_digest(docs, "copies")
 
 
 STAGES = [

@@ -101,10 +101,11 @@ def training_order(plan: DataFrame) -> DataFrame:
     return copies.select("doc_id", "source", "copy", F.col("c.words").alias("words"), F.col("c.position").alias("position")).orderBy("position", "doc_id", "copy")
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
+def mix_digest(docs: DataFrame, *more: str) -> DataFrame:
     """One row per document, range-sorted by the position of its first copy;
-    documents that are not taken follow at the end."""
+    documents that are not taken follow at the end. ``more`` are further columns of
+    the plan, such as the copies with the words and the position of each."""
     first = F.get("copies", F.lit(0))["position"]
     return plan_curriculum(docs).select(
-        "doc_id", "size", "source_size", "target", "taken", first.alias("position")
+        "doc_id", "size", "source_size", "target", "taken", first.alias("position"), *more
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")

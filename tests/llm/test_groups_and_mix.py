@@ -257,6 +257,17 @@ def test_curriculum_of_nothing(spark):
     assert curriculum.mix_digest(docs.where("false")).collect() == []
 
 
+def test_the_pipeline_mix_holds_every_copy(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, mix_rows(random.Random(8)))
+    mix = corpus_pipeline.mixed_documents(spark, docs, "").collect()
+    copies = sorted((c["position"], str(r["doc_id"]), at, c["words"]) for r in mix for at, c in enumerate(r["copies"]))
+    order = curriculum.training_order(curriculum.plan_curriculum(docs)).collect()
+    assert copies == sorted((r["position"], str(r["doc_id"]), r["copy"], r["words"]) for r in order)
+    assert any(at for _, _, at, _ in copies)
+
+
 def test_size_counts_ascii_white_space_only(spark):
     rows = [(1, "a b c d\x1ce", "s"), (2, "  a  ", "s"), (3, "\x0b\x0c", "s")]
     got = {r["doc_id"]: r["size"] for r in curriculum.plan_curriculum(docs_of(spark, rows)).collect()}
