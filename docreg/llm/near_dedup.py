@@ -16,7 +16,7 @@
    that any band shows is lost, and a large group of copies, which is one component
    by then, costs no pairs.
 
-Rows of one ``doc_id`` are one document. Defined results: a text with fewer words
+Rows of one ``doc_id`` are one document, except in ``keep_one``. Defined results: a text with fewer words
 than a shingle is one shingle; texts without words have an empty set and are linked
 with nothing; rows without id are linked with nothing and have no component;
 repeated rows are in one component; an empty table gives no rows."""
@@ -269,17 +269,45 @@ def _still_mixed(entries: DataFrame, heads: DataFrame, labels: DataFrame) -> Dat
     return reliable(labelled.join(several, "bucket").join(heads.select("id", "n_shingles", "sketch"), "id"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_key``, which tells id and text apart: the id where all its
+    rows hold one text, else a hash above usual ids. So the center of a bucket is the
+    smallest id, which a group's buckets share more often than a smallest hash."""
+    apart = F.xxhash64("doc_id", "text")
+    hashed = apart.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn("_key", hashed)
+    texts = docs.groupBy("doc_id").agg(F.min(apart).alias("low"), F.max(apart).alias("high"))
+    several = reliable(texts.where((F.col("low") < F.col("high")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_several")))
+    if several.isEmpty():
+        return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    marked = docs.join(sent(several), docs["doc_id"] == several["_several"], "left")
+    return marked.withColumn("_key", F.when(F.col("_several").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(hashed))
+
+
 def keep_one(docs: DataFrame, plan: Plan) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its
-    columns. Of rows that repeat an id one stays; rows without id stay."""
-    found = reliable(near_duplicates(docs, plan).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(sent(copies), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select("doc_id")
+    """One row of each component of texts, the one with the smallest id, with all its
+    columns; of an id's linked texts the one with the smallest hash. Rows are told
+    apart by id and text (by a hash of 62 bits where ids do not), so a text that is linked with none
+    stays, whatever other rows of its id hold; of rows that repeat both the smallest
+    stays. Rows without id are no copies of rows with one, but of each other: one of
+    a component stays, and all without words."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), plan).groupBy(F.col("doc_id").alias("key"))
+    found = found.agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    ids = keyed.select(F.col("_key").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    no_id = F.col("doc_id").isNull()
+    rows = reliable(found.join(ids, "key").select("key", "doc_id", "component_id", "n", no_id.alias("no_id")).where(~(no_id & (F.col("n_shingles") == 0))))
+    first = rows.groupBy("component_id", "no_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    copies = reliable(rows.join(first, "key", "left_anti").select(F.col("key").alias("_key")))
+    repeated = reliable(rows.where(F.col("n") > 1).select(F.col("key").alias("_key")))
+    kept = keyed.join(sent(copies), "_key", "left_anti")
     if repeated.isEmpty():
-        return kept
-    one = kept.join(sent(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sent(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+        return kept.select(*docs.columns)
+    # whole repeats go first, they may be very many
+    one = kept.join(sent(repeated), "_key", "left_semi").select("_key", *docs.columns).distinct()
+    one = one.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.join(sent(repeated), "_key", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def dedup_digest(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:

@@ -152,6 +152,21 @@ def test_near_duplicates(spark, monkeypatch, words, percent, block):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (2, a + " x"), (7, d), (7, d + " x"), (None, c), (None, c), (None, c + " x"), (None, d), (None, ""), (None, ""), (None, None), (8, None), (8, "")]
+    kept = [near_dedup.keep_one(docs_of(spark, some), near_dedup.Plan()).collect() for some in (rows, rows[::-1])]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in kept[0])
+    [seven] = [t for i, t in got if i == "7"]
+    [no_id] = [t for i, t in got if i == "None" and t.startswith(c)]
+    want = [(5, b), (2, a + " x"), (7, seven), (None, no_id), (None, d), (None, ""), (None, ""), (None, None), (8, None), (8, "")]
+    assert got == sorted((str(i), str(t)) for i, t in want)
+    other = spark.createDataFrame([(1, a, "z"), (1, a, "k"), (1, a, "z")], "doc_id long, text string, source string")
+    assert [r["source"] for r in near_dedup.keep_one(other, near_dedup.Plan()).collect()] == ["k"]
+
+
 def test_near_duplicates_of_nothing(spark):
     none = docs_of(spark, [(1, "a")]).where("false")
     assert near_dedup.near_duplicates(none).collect() == []
