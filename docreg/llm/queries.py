@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import curriculum, decontamination, language_id, length_histogram, near_dedup, ngram_lm, quality, topk_search, toxicity, warc
+from docreg.llm import bpe_automaton, curriculum, decontamination, language_id, length_histogram, near_dedup, ngram_lm, quality, spelling, topk_search, toxicity, warc
 from docreg.llm.base import fold, table
 
 
@@ -58,6 +58,14 @@ def archived_pages(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def tokenization_automaton(spark, sf_dir):
+    return bpe_automaton.round_trip_digest(table(spark, sf_dir, "documents"))
+
+
+def pivotal_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce({0},''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
 _BENCH_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -136,6 +144,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id<>first THEN 're
   CASE WHEN page_id<>first THEN first END AS refers_to
 FROM p LEFT JOIN shared USING (payload_digest)"""
 
+#: crc32 over the bytes of an ASCII or UTF-8 text, by its table of 256 remainders.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """Of an SQL expression, in a query that reads the table ``crc``."""
+    hexed = f"hex(encode({text}))"
+    code = f"list_transform(range(0, length({hexed}), 2), lambda i: (instr('0123456789ABCDEF', substr({hexed}, i+1, 1))-1)*16 + instr('0123456789ABCDEF', substr({hexed}, i+2, 1))-1)"
+    return f"xor(list_reduce([4294967295] || {code}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT coalesce(doc_id::VARCHAR,'') AS id, unnest(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+hashed AS (SELECT run, h, (h % length(run))::INT AS cut FROM (SELECT run, {_crc32("id||':'||run")}::BIGINT AS h FROM runs, crc WHERE length(run)>=6)),
+words AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h%199=0 THEN substr(run,1,cut)||substr(run,cut+2) ELSE run END AS word FROM hashed) WHERE length(word)>=6 GROUP BY word HAVING count(*)>=5),
+gaps AS (SELECT word, length(word) AS size, p, substr(word,1,p-1) AS ahead, substr(word,p+1) AS behind FROM (SELECT word, unnest(generate_series(1, length(word))) AS p FROM words)),
+near AS (SELECT DISTINCT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.p=y.p AND x.ahead=y.ahead AND x.behind=y.behind AND x.word<>y.word
+  UNION SELECT x.word, y.word FROM gaps x JOIN words y ON x.ahead||x.behind=y.word UNION SELECT y.word, x.word FROM gaps x JOIN words y ON x.ahead||x.behind=y.word),
+best AS (SELECT a AS word, count(*) AS n_near, min({{'less': -n, 'word': b}}) AS top FROM near JOIN words ON words.word=b GROUP BY a),
+forms AS (SELECT w.word, n, coalesce(n_near,0)::BIGINT AS n_near, CASE WHEN -top.less>=5*n THEN top.word END AS form, CASE WHEN -top.less>=5*n THEN -top.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+far(word, root) AS (SELECT word, word FROM forms UNION SELECT far.word, forms.form FROM far JOIN forms ON forms.word=far.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT far.word, root FROM far JOIN forms ON forms.word=far.root WHERE form IS NULL)
+SELECT word, form, root, n::BIGINT AS n, n_near, form_n::BIGINT AS form_n FROM forms JOIN ends USING (word)"""
+
 QUERIES = {
     "op1_deleted_interpolation": (deleted_interpolation, None),
     "op2_winnowed_hits": (winnowed_hits, CONTAMINATION_SQL),
@@ -147,4 +180,6 @@ QUERIES = {
     "op8_curriculum_mix": (curriculum_mix, CURRICULUM_SQL),
     "op9_exact_top_k": (exact_top_k, TOP_K_SQL),
     "op10_archived_pages": (archived_pages, ARCHIVE_SQL),
+    "op12_tokenization_automaton": (tokenization_automaton, None),
+    "op13_pivotal_spelling": (pivotal_spelling, SPELLING_SQL),
 }
