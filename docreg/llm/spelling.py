@@ -85,8 +85,12 @@ def vocabulary(counts: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST
 
 
 def _grams(words: DataFrame) -> DataFrame:
-    places = F.sequence(F.lit(1), F.length("word") - 1)
-    return words.select("word", F.explode(F.transform(places, lambda p: F.struct(F.col("word").substr(p, F.lit(2)).alias("gram"), p.alias("at")))).alias("g")).select("word", "g.*")
+    """(word, gram, at) of every bigram."""
+    letters = words.select("word", F.split("word", "").alias("letters"))
+    # places by cutting the letters up once: a substring per place would walk the word each time
+    pairs = F.arrays_zip(F.col("letters"), F.slice("letters", F.lit(2), F.size("letters")))
+    each = letters.select("word", F.posexplode(pairs).alias("at", "pair")).select("word", "pair.*", "at").toDF("word", "first", "second", "at")
+    return each.where(F.col("second").isNotNull()).select("word", F.concat("first", "second").alias("gram"), (F.col("at") + 1).alias("at"))
 
 
 def _pivots(rarest: Column) -> Column:
@@ -105,32 +109,36 @@ def _pivots(rarest: Column) -> Column:
 
 
 def rarest_grams(words: DataFrame) -> DataFrame:
-    """(word, last, rarest): the places of the ``PREFIX`` rarest grams, with all
-    occurrences of the last of them, and its rank."""
+    """(word, last, rarest): the places of the ``PREFIX`` rarest grams and the rank of
+    the last of them. Of equal grams the earlier is the rarer; as an edit may move a
+    gram by one place, one more right behind the last is listed too."""
     grams = _grams(words)
     often = reliable(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
     ranked = grams.join(F.broadcast(often), "gram").groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("often", "gram", "at"))).alias("grams")
     )
     last = F.col("grams")[F.least(F.lit(PREFIX), F.size("grams")) - 1]
-    ranked = ranked.select("word", F.struct(last["often"].alias("often"), last["gram"].alias("gram")).alias("last"), "grams")
-    kept = F.filter("grams", lambda g: F.struct(g["often"].alias("often"), g["gram"].alias("gram")) <= F.col("last"))
+    ranked = ranked.select("word", last.alias("last"), F.slice("grams", 1, PREFIX + 1).alias("grams"))
+    moved = lambda g: F.struct(g["often"].alias("often"), g["gram"].alias("gram"), (g["at"] - 1).alias("at"))
+    kept = F.filter("grams", lambda g: (g <= F.col("last")) | (moved(g) <= F.col("last")))
     return ranked.select("word", "last", F.transform(kept, lambda g: g["at"]).alias("rarest"))
 
 
 def _entries(words: DataFrame, places: str) -> DataFrame:
-    """(side, part, size, at, last, word): a gram with all before it, and with all behind."""
-    each = words.select("word", "last", F.length("word").alias("size"), F.explode(places).alias("at"))
+    """(side, part, size, rank, at, last, word): a gram with all before it, and with all
+    behind."""
+    each = words.select("word", "last", F.length("word").alias("size"), F.posexplode(places).alias("rank", "at"))
     ahead = F.struct(F.lit(0).alias("side"), F.col("word").substr(F.lit(1), F.col("at") + 1).alias("part"))
     behind = F.struct(F.lit(1).alias("side"), F.col("word").substr(F.col("at"), F.col("size")).alias("part"))
-    return each.select("word", "last", "size", "at", F.explode(F.array(ahead, behind)).alias("e")).select("word", "last", "size", "at", "e.*")
+    return each.select("word", "last", "size", "rank", "at", F.explode(F.array(ahead, behind)).alias("e")).select("word", "last", "size", "rank", "at", "e.*")
 
 
 def pivotal_grams(entries: DataFrame) -> DataFrame:
     """(word, last, pivots): the places of the two pivots. A gram costs as many entries
     as share what lies before or behind it."""
     sizes = entries.groupBy("side", "part").agg(F.count(F.lit(1)).alias("cost"))
-    costs = entries.join(sizes, ["side", "part"]).groupBy("word", "last", "at").agg(F.sum("cost").alias("cost"))
+    own = entries.where(F.col("rank") < PREFIX)
+    costs = own.join(sizes, ["side", "part"]).groupBy("word", "last", "at").agg(F.sum("cost").alias("cost"))
     placed = costs.groupBy("word", "last").agg(F.array_sort(F.collect_list(F.struct("at", "cost"))).alias("placed"))
     return placed.select("word", "last", _pivots(F.col("placed")).alias("pair")).select("word", "last", F.array("pair.first", "pair.second").alias("pivots"))
 

@@ -151,7 +151,7 @@ def plain_variants(rows):
     return {(w, form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()}
 
 
-@pytest.mark.parametrize("alphabet, size", [("ab", 7), ("abcé", 6), ("aÀÿbcdefgh", 9)])
+@pytest.mark.parametrize("alphabet, size", [("ab", 7), ("aab", 12), ("abcé", 6), ("aÀÿbcdefgh", 9)])
 def test_variants_of_random_words(spark, alphabet, size):
     rng = random.Random(size)
     rows = []
@@ -171,12 +171,12 @@ def test_variants_of_random_words(spark, alphabet, size):
 def test_chains_of_forms_ties_and_odd_rows(spark):
     chain = [("abcdef", 5), ("abcdeg", 25), ("abcdhg", 125), ("abkdhg", 625), ("zzzzzz", 5), ("zzzzzza", 25), ("zzzzzzb", 25), ("y" * 5000, 5), ("y" * 5001, 25)]
     rows = [(None, None, 1), (1, "", 1), (2, "123 ab", 1), *[(k, " ".join([w] * n), 1) for k, (w, n) in enumerate(chain)]]
-    rows += [rows[4], (77, "×÷×÷×÷ " * 6, 2)]
+    rows += [rows[2], (77, "×÷×÷×÷ " * 6, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     got = {tuple(r) for r in sp.spelling_variants(docs).collect()}
     assert got == plain_variants([r[:2] for r in rows])
     found = {r[0]: r for r in got}
-    assert found["zzzzzz"][1] == "zzzzzza" and any(r[2] != r[1] is not None for r in got)
+    assert found["zzzzzz"][1] == "zzzzzza" and found["abcdef"][1:3] == ("abcdeg", "abkdhg")
     assert sp.spelling_variants(docs.limit(0)).count() == 0
 
 
