@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docreg.llm import bpe_automaton, curriculum, decontamination, language_id, length_histogram, near_dedup, ngram_lm, quality, spelling, topk_search, toxicity, warc
+from docreg.llm import bpe_automaton, conversations, curriculum, decontamination, language_id, length_histogram, near_dedup, ngram_lm, quality, spelling, topk_search, toxicity, warc
 from docreg.llm.base import fold, table
 
 
@@ -58,6 +58,10 @@ def archived_pages(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def conversation_repair(spark, sf_dir):
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def tokenization_automaton(spark, sf_dir):
     return bpe_automaton.round_trip_digest(table(spark, sf_dir, "documents"))
 
@@ -169,6 +173,45 @@ far(word, root) AS (SELECT word, word FROM forms UNION SELECT far.word, forms.fo
 ends AS (SELECT far.word, root FROM far JOIN forms ON forms.word=far.root WHERE form IS NULL)
 SELECT word, form, root, n::BIGINT AS n, n_near, form_n::BIGINT AS form_n FROM forms JOIN ends USING (word)"""
 
+_least = lambda *options: "least(" + ", ".join(options) + ")"
+_edit = lambda cost, initial, state: f"{{'c': v{state}.c+{cost}, 'a': '{initial}'||v{state}.a}}"
+_REROLE, _KEEP = "2+cut", "cut"
+_when = lambda test, option: f"CASE WHEN {test} THEN {option} END"
+_OWN = ", ".join([
+    _least(_edit(3, "D", 0), _when("NOT gone", _edit(_REROLE, "R", 2)), _when("NOT gone AND i='s'", _edit(_KEEP, "K", 1)), _when("NOT gone AND i='u'", _edit(_KEEP, "K", 2))) + " AS o0",
+    _least(_edit(3, "D", 1), _when("NOT gone", _edit(_REROLE, "R", 2)), _when("NOT gone AND i='u'", _edit(_KEEP, "K", 2))) + " AS o1",
+    _least(_edit(3, "D", 2), _when("NOT gone", _edit(_REROLE, "R", 3)), _when("NOT gone AND i='a'", _edit(_KEEP, "K", 3))) + " AS o2",
+    _least(_edit(3, "D", 3), _when("NOT gone", _edit(_REROLE, "R", 2)), _when("NOT gone AND i='u'", _edit(_KEEP, "K", 2))) + " AS o3",
+])
+_made = lambda cost, initials, state: f"{{'c': o{state}.c+{cost}, 'a': '{initials}'||o{state}.a}}"
+REPAIR_SQL = rf"""
+WITH RECURSIVE {_CRC},
+hashed AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, {_crc32("coalesce(conv_id::VARCHAR,' ')||':'||coalesce(turn::VARCHAR,' ')")}::BIGINT % 20 AS h FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN h=4 THEN 'user' ELSE role END AS role, CASE WHEN h=1 THEN '' WHEN h=2 THEN translate(text,'.!?','') ELSE text END AS text,
+  unnest(CASE WHEN h=3 THEN [1,2] ELSE [1] END) AS copy FROM hashed WHERE h<>0),
+placed AS (SELECT *, left(role,1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS rn FROM hurt),
+faults AS (SELECT * EXCLUDE (seen), CASE WHEN NOT regexp_matches(text,'[^ 	-
+]') THEN 'blank' WHEN seen>1 THEN 'duplicate' WHEN NOT regexp_matches(text,'[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) AS seen FROM placed)),
+steps AS (SELECT *, fault IN ('blank','duplicate') AS gone, (fault='truncated')::INT AS cut FROM faults),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault='blank') AS blank,
+  count(*) FILTER (fault='duplicate') AS duplicate, count(*) FILTER (fault='truncated') AS truncated FROM faults GROUP BY conv_id),
+illegal AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY rn)||i AS two FROM faults) WHERE two NOT IN ('su','ua','au') GROUP BY conv_id),
+best(conv_id, rn, v0, v1, v2, v3) AS (
+  SELECT conv_id, n+1, {{'c': 0, 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}} FROM counts
+  UNION ALL
+  SELECT conv_id, rn, {_least("o0", _made(2, "I", 2), _made(4, "II", 3))}, {_least("o1", _made(2, "I", 2), _made(4, "II", 3))}, {_least("o2", _made(2, "I", 3))}, {_least("o3", _made(2, "I", 2))}
+  FROM (SELECT s.conv_id, s.rn, {_OWN} FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.rn=b.rn-1)),
+audits AS (SELECT conv_id, v0.c AS cost, v0.a AS audit FROM best WHERE rn=1),
+edits AS (SELECT *, sum((e<>'I')::INT) OVER w AS row, sum((e<>'D')::INT) OVER w - 1 - len(replace(audit,'D',''))%2 AS k
+  FROM (SELECT conv_id, audit, unnest(generate_series(1,len(audit))) AS p, unnest(string_split(audit,'')) AS e FROM audits WHERE audit<>'') WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (SELECT d.conv_id, string_agg(CASE WHEN e='K' THEN s.role WHEN k%2=0 THEN 'user' ELSE 'assistant' END||':'||CASE WHEN e='I' THEN '' ELSE s.text END, chr(10) ORDER BY p) AS repaired
+  FROM edits d LEFT JOIN steps s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.rn=d.row WHERE e<>'D' GROUP BY d.conv_id)
+SELECT a.conv_id, coalesce(gaps,0)::BIGINT AS gaps, coalesce(blank,0)::BIGINT AS blank, coalesce(duplicate,0)::BIGINT AS duplicate, coalesce(truncated,0)::BIGINT AS truncated,
+  coalesce(illegal,0)::BIGINT AS illegal, coalesce(cost,0)::BIGINT AS cost, coalesce(audit,'') AS audit, sha256(coalesce(repaired,'')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN illegal i ON i.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN audits u ON u.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
 QUERIES = {
     "op1_deleted_interpolation": (deleted_interpolation, None),
     "op2_winnowed_hits": (winnowed_hits, CONTAMINATION_SQL),
@@ -180,6 +223,7 @@ QUERIES = {
     "op8_curriculum_mix": (curriculum_mix, CURRICULUM_SQL),
     "op9_exact_top_k": (exact_top_k, TOP_K_SQL),
     "op10_archived_pages": (archived_pages, ARCHIVE_SQL),
+    "op11_conversation_repair": (conversation_repair, REPAIR_SQL),
     "op12_tokenization_automaton": (tokenization_automaton, None),
     "op13_pivotal_spelling": (pivotal_spelling, SPELLING_SQL),
 }
