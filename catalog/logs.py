@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
-from docreg.common import work_path
+from docreg.common import drop_folder, reliable, work_path
 from docreg.operators import audit as a
 from docreg.operators.registry import diff_records
 from docreg.plans.audit_report import audit_report
 from docreg.sources import audit_log, intake, word_dumps
+from docreg.sources.commits import children, move
 from docreg.streaming.audit_stream import stream_audit
+from docreg.streaming.log_ingest import ingest_logs, ingested_events
 
 _ATTRS = ["event", "user", "record_id", "note"]
 
@@ -95,6 +97,54 @@ def _streamed(spark, sf):
     return _parsed(spark.read.parquet(f"{root}/events"))
 
 
+def _put_logs(spark, lines: DataFrame, folder: str, name: str) -> None:
+    """One file per host below the folder, in place of what is there."""
+    staged = work_path(spark, "staged")
+    lines.repartition(1, "host").sortWithinPartitions("host", "event_id", "copy").select("host", "value").write.partitionBy("host").text(staged)
+    for host in children(spark, staged):
+        for part in children(spark, host):
+            if "/part-" in part:
+                target = f"{folder}/{host.rsplit('/', 1)[1]}/{name}"
+                drop_folder(spark, target)
+                move(spark, part, target)
+
+
+def _rotated(spark, sf):
+    """The lines as logs of three hosts, some of them twice, taken in while the logs
+    grow, rotate, are taken again without news and begin anew."""
+    root = work_path(spark, "rotated")
+    events = i.audit(spark, sf)
+    top = events.agg(F.max("event_id").alias("top")).first().top
+    lines = a.format_audit(events, _ATTRS, also=["event_id"]).withColumn("host", F.col("event_id") % 3).withColumn("copy", F.lit(0))
+    lines = lines.unionByName(lines.where("event_id % 7 = 0").withColumn("copy", F.lit(1)))
+    lines = reliable(lines.withColumn("quarter", F.floor(F.col("event_id") * 4 / (top + 1))).select("host", "event_id", "copy", "quarter", "value"))
+    part = lambda low, high: lines.where(F.col("quarter").between(low, high)).drop("quarter")
+    take = lambda: ingest_logs(spark, f"{root}/logs", root)
+    _put_logs(spark, part(0, 0), f"{root}/logs", "audit.log")
+    take()
+    _put_logs(spark, part(0, 1), f"{root}/logs", "audit.log")
+    take()
+    for host in children(spark, f"{root}/logs"):
+        move(spark, f"{host}/audit.log", f"{host}/audit.log.1")
+    _put_logs(spark, part(2, 2), f"{root}/logs", "audit.log")
+    take()
+    for host in children(spark, f"{root}/logs"):
+        move(spark, f"{host}/audit.log.1", f"{host}/audit.log.2")
+        move(spark, f"{host}/audit.log", f"{host}/audit.log.1")
+    _put_logs(spark, part(3, 3), f"{root}/logs", "audit.log")
+    take()
+    take()
+    return _parsed(ingested_events(spark, root))
+
+
+def _broken_notes(spark, sf):
+    """Lines in the old form whose notes hold line breaks, written and read back."""
+    path = work_path(spark, "old_lines")
+    lines = _lines(spark, sf)
+    lines.select(F.replace("value", F.lit("has space"), F.lit("has\n\nspace")).alias("value")).repartition(4).write.text(path)
+    return _parsed(audit_log.read_audit(spark, path))
+
+
 def _intake(spark, sf):
     return intake.intake_status(i.intake(spark, sf))
 
@@ -129,6 +179,10 @@ SELECT '2026-01-01 08:00:00 event=record_saved user=u1 record_id='||c.id||' mode
 UNION ALL SELECT '2026-01-01 08:00:00 event=field_corrected user=u1 record_id='||id||' field=Surname old='||{_QUOTED.format(c='old')}||' new='||{_QUOTED.format(c='new')} FROM diffs"""),
     "s5_parse_audit": (_parse, _EVENTS),
     "x1_stream_audit": (_streamed, _EVENTS),
+    "x1_rotated_logs": (_rotated, f"""WITH {i.AUDIT}
+SELECT {_TS} AS ts, event, usr AS user, record_id, note, FALSE AS malformed, '' AS line FROM audit, range(0, CASE WHEN event_id%7=0 THEN 2 ELSE 1 END) r"""),
+    "s5_broken_notes": (_broken_notes, f"""WITH {i.AUDIT}
+SELECT {_TS} AS ts, event, usr AS user, record_id, replace(note,'has space','has'||chr(10)||chr(10)||'space') AS note, FALSE AS malformed, '' AS line FROM audit"""),
     "a10_print_reconciliation": (_prints, f"WITH {i.AUDIT} {_PRINTS}"),
     "a11_record_history": (_history, f"""WITH {i.AUDIT}, saved AS (SELECT record_id, usr, {_TS} AS t FROM audit WHERE event='record_saved')
 SELECT record_id, min(t) AS created, max(t) AS last_saved, count(*) AS saves, count(DISTINCT usr) AS n_users, arg_min(usr, t||usr) AS created_by FROM saved GROUP BY record_id"""),

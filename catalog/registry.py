@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
-from docreg.common import work_path
+from docreg.common import reliable, work_path
 from docreg.operators import accounts, registry as r
+from docreg.plans.number_ledger import issue_numbers
 from docreg.plans.save_batch import save_batch
 from docreg.sources.records import read_records, write_records
 from docreg.streaming import record_stream
@@ -99,6 +100,24 @@ def _numbered(spark, sf):
     return r.assign_numbers(receipts, "issued", start=1, prefix="IDL-")
 
 
+def _ledger(spark, sf):
+    """Receipt and issued numbers in two batches, and the first batch run again."""
+    root = work_path(spark, "ledger")
+    records = i.records(spark, sf).select("id", r.field("Receipt.Number").alias("receipt"), r.field("Issued Document.Number").alias("issued"))
+
+    def batch(name: str, rows: DataFrame) -> DataFrame:
+        receipts = issue_numbers(rows, "receipt", f"{root}/receipts", name, registry=records)
+        return reliable(issue_numbers(receipts, "issued", f"{root}/issued", name, prefix="IDL-", registry=records))
+
+    first, second = records.where("id % 3 = 0"), records.where("id % 3 <> 0")
+    one, two = batch("one", first), batch("two", second)
+    again = batch("one", first).select("id", F.struct("receipt", "issued").alias("again"))
+    rows = one.join(again, "id").withColumn("same_again", F.col("again") == F.struct("receipt", "issued")).drop("again")
+    rows = rows.unionByName(two.withColumn("same_again", F.lit(True)))
+    often = rows.groupBy("receipt").agg((F.count(F.lit(1)) - 1).alias("twice"))
+    return rows.join(often, "receipt").select("id", "receipt", "issued", "same_again", "twice")
+
+
 def _change_log(spark, sf):
     """Line items as versions of their order's record."""
     items = i.table(spark, sf, "lineitem")
@@ -243,8 +262,12 @@ UNION ALL SELECT id, NULL, v, NULL, TRUE FROM record_changes ANTI JOIN wide USIN
     "w7_neighbours": (_neighbours, "SELECT o_orderkey AS id, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS previous_id, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_id FROM orders SEMI JOIN customer ON o_custkey=c_custkey"),
     "w7_first_and_last": (_first_last, "SELECT max(o_orderkey) AS previous_id, min(o_orderkey) AS next_id FROM orders SEMI JOIN customer ON o_custkey=c_custkey"),
     "w8_assign_numbers": (_numbered, f"""WITH {_WIDE}, n AS (SELECT *, row_number() OVER (PARTITION BY receipt='' ORDER BY id) AS rn, row_number() OVER (PARTITION BY issued='' ORDER BY id) AS iss FROM wide)
-SELECT id, CASE WHEN receipt='' THEN lpad(CAST(699+rn AS VARCHAR),6,'0') ELSE receipt END AS receipt,
-  CASE WHEN issued='' THEN 'IDL-'||lpad(CAST(iss AS VARCHAR),6,'0') ELSE issued END AS issued FROM n"""),
+SELECT id, CASE WHEN receipt='' THEN printf('%06d', greatest(699, (SELECT max(try_cast(receipt AS BIGINT)) FROM wide))+rn) ELSE receipt END AS receipt,
+  CASE WHEN issued='' THEN printf('IDL-%06d', iss) ELSE issued END AS issued FROM n"""),
+    "w8_number_ledger": (_ledger, f"""WITH {_WIDE}, n AS (SELECT *, row_number() OVER (PARTITION BY receipt='' ORDER BY CASE WHEN id%3=0 THEN 0 ELSE 1 END, id) AS rn,
+  row_number() OVER (PARTITION BY issued='' ORDER BY CASE WHEN id%3=0 THEN 0 ELSE 1 END, id) AS iss FROM wide)
+SELECT id, CASE WHEN receipt='' THEN printf('%06d', (SELECT max(try_cast(receipt AS BIGINT)) FROM wide)+rn) ELSE receipt END AS receipt,
+  CASE WHEN issued='' THEN printf('IDL-%06d', iss) ELSE issued END AS issued, TRUE AS same_again, 0 AS twice FROM n"""),
     "w9_latest_records": (_latest, f"""WITH {_LOG} SELECT id, arg_min(ts, version) AS created, max(version) AS version, 'S'||CAST(max(version) AS VARCHAR) AS surname FROM change_log GROUP BY id"""),
     "k1_insert_records": (_insert, f"""WITH {_WIDE} SELECT id, created_at, surname FROM wide
 UNION ALL SELECT (SELECT max(id) FROM wide)+row_number() OVER (ORDER BY c_custkey), '2026-01-01T08:00:00', c_name FROM customer"""),

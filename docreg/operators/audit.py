@@ -34,14 +34,15 @@ def needs_escape(c: Column | str) -> Column:
     return F.coalesce(quoted & special, F.lit(False))
 
 
-def format_audit(events: DataFrame, attrs: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Events as lines ``yyyy-MM-dd HH:mm:ss key=value ...`` in column ``value``."""
+def format_audit(events: DataFrame, attrs: Sequence[str], ts: str = "ts", also: Sequence[str] = ()) -> DataFrame:
+    """Events as lines ``yyyy-MM-dd HH:mm:ss key=value ...`` in column ``value``,
+    behind the columns of ``also``."""
     pairs = [F.concat(F.lit(f"{a}="), quote(a)) for a in attrs]
     marked = F.exists(F.array(*[needs_escape(a) for a in attrs]), lambda m: m)
     line = F.concat_ws(
         " ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), *pairs, F.when(marked, F.lit(ESCAPES))
     )
-    return events.select(line.alias("value"))
+    return events.select(*also, line.alias("value"))
 
 
 def save_lines(saves: DataFrame, diffs: DataFrame) -> DataFrame:

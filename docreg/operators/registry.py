@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -265,16 +265,29 @@ def _running_number(rows: DataFrame, order: str, id_slice: int) -> DataFrame:
     )
 
 
+def number_text(serial: Column, prefix: str = "") -> Column:
+    """A number as it is printed: prefix and six digits, more if it needs more."""
+    digits = F.when(serial < 1_000_000, F.lpad(serial.cast("string"), 6, "0")).otherwise(serial.cast("string"))
+    return F.concat(F.lit(prefix), digits)
+
+
+def number_of(c: Column | str, prefix: str = "") -> Column:
+    """The number in a text of prefix and digits; NULL in any other text."""
+    return F.regexp_extract(trimmed(text_or_blank(c)), rf"^{re.escape(prefix)}(\d{{1,18}})$", 1).try_cast("long")
+
+
 def assign_numbers(
     records: DataFrame, column: str, start: int = 1, prefix: str = "", order: str = "id", id_slice: int = ID_SLICE
 ) -> DataFrame:
     """Give every row whose ``column`` is blank the next number of a sequence,
-    as prefix and six digits; numbered rows keep theirs."""
+    as prefix and six digits; numbered rows keep theirs. The sequence begins at
+    ``start``, or behind the highest number in use if that is more, so none is given
+    twice. ``number_ledger.issue_numbers`` also remembers numbers between batches."""
     to_number = blank(trimmed(text_or_blank(column)))
     numbered = _running_number(records.filter(to_number), order, id_slice)
-    serial = F.col("_number") + (start - 1)
-    digits = F.when(serial < 1_000_000, F.lpad(serial.cast("string"), 6, "0")).otherwise(serial.cast("string"))
-    fresh = numbered.withColumn(column, F.concat(F.lit(prefix), digits)).select(*records.columns)
+    used = records.agg(F.coalesce(F.max(number_of(column, prefix)), F.lit(0)).alias("_used"))
+    serial = F.col("_number") + F.greatest(F.lit(start - 1), F.col("_used"))
+    fresh = numbered.join(F.broadcast(used)).withColumn(column, number_text(serial, prefix)).select(*records.columns)
     return records.filter(~to_number).unionByName(fresh)
 
 

@@ -1,11 +1,13 @@
 """Registry rules that whole-table queries do not reach."""
 
+import os
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from docreg.operators import accounts, registry as r
+from docreg.plans import number_ledger as ledger
 from docreg.plans.save_batch import save_batch
 from docreg.plans.source_merge import merge_sources
 
@@ -98,3 +100,45 @@ def test_missing_sides_leave_marked_blanks(spark):
     assert form[1, "Original Document.Category"] == ("B", False, "license")
     assert form[2, "Original Document.Category"] == ("", True, "")
     assert form[1, "Phone"] == ("", False, "")
+
+
+def test_numbers_in_use_are_not_given_again(spark):
+    rows = spark.createDataFrame([(1, "000007"), (2, ""), (3, "IDL-000900"), (4, None), (5, "12x")], "id long, n string")
+    assert [x.n for x in r.assign_numbers(rows, "n").orderBy("id").collect()] == ["000007", "000008", "IDL-000900", "000009", "12x"]
+    assert [x.n for x in r.assign_numbers(rows, "n", prefix="IDL-").orderBy("id").collect()][1] == "IDL-000901"
+    assert [x.n for x in r.assign_numbers(rows, "n", start=50).orderBy("id").collect()][1] == "000050"
+
+
+def test_ledger_over_batches_and_reruns(spark, tmp_path):
+    root = str(tmp_path / "receipts")
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN lpad(id, 6, '0') ELSE ' ' END AS n").repartition(13)
+    first, second = rows.where("id < 500"), rows.where("id >= 500")
+    numbers = lambda df: {x.id: x.n for x in df.collect()}
+    one = numbers(ledger.issue_numbers(first, "n", root, "a", registry=rows))
+    two = numbers(ledger.issue_numbers(second, "n", root, "b", registry=rows))
+    assert numbers(ledger.issue_numbers(first.repartition(3), "n", root, "a", registry=rows)) == one
+    every = [*one.values(), *two.values()]
+    assert len(set(every)) == len(every) == 1000
+    fresh = [one[i] for i in sorted(one) if i % 10] + [two[i] for i in sorted(two) if i % 10]
+    assert fresh == [f"{991 + k:06d}" for k in range(900)]
+    # a number typed by hand moves the counter on; the other counter stands for itself
+    typed = spark.createDataFrame([(1, "005000"), (2, "")], "id long, n string")
+    assert numbers(ledger.issue_numbers(typed, "n", root, "c"))[2] == "005001"
+    assert numbers(ledger.issue_numbers(typed, "n", str(tmp_path / "issued"), "a", prefix="IDL-"))[2] == "IDL-000001"
+    assert [(x.batch, x.first, x.last) for x in ledger.ledger(spark, root).orderBy("first").collect()] == [("a", 991, 1440), ("b", 1441, 1890), ("c", 5001, 5001)]
+    with pytest.raises(ValueError):
+        ledger.issue_numbers(second.where("id < 600"), "n", root, "a")
+
+
+def test_a_killed_reservation_is_made_again(spark, tmp_path):
+    root = str(tmp_path / "n")
+    assert ledger.reserve(spark, root, "a", 5) == 1
+    assert ledger.reserve(spark, root, "b", 2) == 6
+    os.remove(f"{root}/version=1/_SUCCESS")
+    assert ledger.reserve(spark, root, "b", 3) == 6 and ledger.reserve(spark, root, "c", 1) == 9
+
+
+def test_places_need_one_shuffle_of_the_rows(spark):
+    placed = ledger.placed_rows(spark.range(100, 0, -1).repartition(9), "id")
+    assert {x._place: x.id for x in placed.collect()} == {k: k + 1 for k in range(100)}
+    assert ledger.placed_rows(spark.range(0), "id").count() == 0
