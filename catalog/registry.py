@@ -12,6 +12,7 @@ from docreg.common import reliable, work_path
 from docreg.operators import accounts, registry as r
 from docreg.plans.number_ledger import issue_numbers
 from docreg.plans.save_batch import save_batch
+from docreg.sources.record_store import RecordStore
 from docreg.sources.records import read_records, write_records
 from docreg.streaming import record_stream
 
@@ -212,6 +213,52 @@ def _streamed(spark, sf):
     )
 
 
+def _store(spark, sf, name: str, **options) -> RecordStore:
+    """All records in a store of slices of 4096 ids."""
+    store = RecordStore(spark, work_path(spark, name), slice_ids=4096, **options)
+    store.create(i.records(spark, sf))
+    return store
+
+
+def _store_lookup(spark, sf):
+    """Records of every order that has line items, by their slices, encrypted."""
+    store = _store(spark, sf, "lookup", key="0123456789abcdef")
+    found = store.lookup_all(_all_ids(spark, sf))
+    return found.select("id", "created_at", *_flat(found, "surname", "first_name", "issued", "receipt", "category"))
+
+
+def _store_upsert(spark, sf):
+    """Changes applied to a store, and every customer added as a new record."""
+    store = _store(spark, sf, "upsert")
+    rejected = store.upsert(i.record_changes(spark, sf))
+    top = store.manifest().agg(F.max("high").alias("top"))
+    new = i.table(spark, sf, "customer").join(F.broadcast(top)).select(
+        (F.col("top") + F.col("c_custkey")).alias("id"), F.lit("2026-01-01T08:00:00").alias("created_at"), F.create_map(F.lit("Surname"), F.col("c_name")).alias("fields")
+    )
+    store.insert(new)
+    now = store.records()
+    kept = now.select("id", "created_at", *_flat(now, "surname", "issued"), F.lit(False).alias("rejected"))
+    out = rejected.select("id", F.lit(None).cast("string").alias("created_at"), *_flat(rejected, "surname", "issued"), F.lit(True).alias("rejected"))
+    return kept.unionByName(out)
+
+
+def _store_streamed(spark, sf):
+    """The change log of line items by two streams into a store: some batches wait
+    beside the base, others are merged."""
+    root = work_path(spark, "stored_stream")
+    shifted = F.when(F.col("id") % 10 == 3, F.col("id") + 10000000).otherwise(F.col("id"))
+    log = reliable(_change_log(spark, sf))
+    store = RecordStore(spark, f"{root}/store", slice_ids=4096, most_pending=log.count() // 3)
+    store.create(i.records(spark, sf).withColumn("id", shifted))
+    for half in (0, 1):
+        log.where(F.col("id") % 2 == half).repartition(5, "id").write.parquet(f"{root}/in{half}")
+        record_stream.stream_to_store(store, f"{root}/in{half}", f"{root}/state{half}", files_per_batch=2).awaitTermination()
+    now, every = store.records(), store.rejected().select("id", "version")
+    return now.select("id", "created_at", *_flat(now, "surname"), F.lit(False).alias("rejected")).unionByName(
+        every.select("id", F.lit(None).cast("string").alias("created_at"), F.concat(F.lit("S"), F.col("version")).alias("surname"), F.lit(True).alias("rejected"))
+    )
+
+
 def _list_accounts(spark, sf):
     return accounts.list_accounts(i.accounts(spark, sf))
 
@@ -291,6 +338,15 @@ UNION ALL SELECT 'reject', NULL, 'Surname is required', '', '' FROM customer WHE
 UNION ALL SELECT 'reject', id, 'unknown id', '', '' FROM good ANTI JOIN wide USING (id)
 UNION ALL SELECT 'line', NULL, line, '', '' FROM head
 UNION ALL SELECT 'line', NULL, '2026-01-02 08:00:00 event=field_corrected user=u1 record_id='||id||' field='||{_QUOTED.format(c='field')}||' old='||{_QUOTED.format(c='old')}||' new='||{_QUOTED.format(c='new')}, '', '' FROM diffs"""),
+    "t5_store_lookup": (_store_lookup, f"WITH {_WIDE} SELECT id, created_at, surname, first_name, issued, receipt, category FROM wide WHERE id IN (SELECT l_orderkey FROM lineitem)"),
+    "k1_store_upsert": (_store_upsert, f"""WITH {_WIDE}, {i.RECORD_CHANGES} SELECT w.id, created_at, CASE WHEN c.id IS NULL THEN surname ELSE c.v END AS surname,
+  CASE WHEN c.id IS NULL THEN issued END AS issued, FALSE AS rejected FROM wide w LEFT JOIN record_changes c ON w.id=c.id
+UNION ALL SELECT id, NULL, v, NULL, TRUE FROM record_changes ANTI JOIN wide USING (id)
+UNION ALL SELECT (SELECT max(id) FROM wide)+c_custkey, '2026-01-01T08:00:00', c_name, NULL, FALSE FROM customer"""),
+    "x2_store_stream": (_store_streamed, f"""WITH {_WIDE}, {_LOG}, base AS (SELECT * REPLACE (CASE WHEN id%10=3 THEN id+10000000 ELSE id END AS id) FROM wide),
+latest AS (SELECT id, max(version) AS version FROM change_log GROUP BY id)
+SELECT b.id, created_at, CASE WHEN version IS NULL THEN surname ELSE 'S'||CAST(version AS VARCHAR) END AS surname, FALSE AS rejected FROM base b LEFT JOIN latest USING (id)
+UNION ALL SELECT id, NULL, 'S'||CAST(version AS VARCHAR), TRUE FROM change_log ANTI JOIN base USING (id)"""),
     "x2_stream_records": (_streamed, f"""WITH {_WIDE}, {_LOG}, base AS (SELECT * REPLACE (CASE WHEN id%10=3 THEN id+10000000 ELSE id END AS id) FROM wide),
 latest AS (SELECT id, max(version) AS version FROM change_log GROUP BY id)
 SELECT b.id, created_at, CASE WHEN version IS NULL THEN surname ELSE 'S'||CAST(version AS VARCHAR) END AS surname, FALSE AS rejected FROM base b LEFT JOIN latest USING (id)

@@ -164,15 +164,22 @@ def unknown_ids(changes: DataFrame, base: DataFrame) -> DataFrame:
     return changes.join(base.select("id"), "id", "left_anti")
 
 
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column in a form that can be ordered: a map as its sorted entries."""
+    return F.array_sort(F.map_entries(name)) if isinstance(df.schema[name].dataType, T.MapType) else F.col(name)
+
+
 def one_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled, repeated): of several changes to one id the last ``version``
-    counts. Without versions there is no telling which is meant: such changes are
+    counts, of equal versions the one with the greatest values, so a rerun settles
+    alike. Without versions there is no telling which is meant: such changes are
     returned as repeated. Changes without id are new records and pass."""
     plain = changes.where(F.col("id").isNull())
     named = changes.where(F.col("id").isNotNull())
     if "version" in changes.columns:
         rest = [c for c in changes.columns if c != "id"]
-        last = named.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("_last"))
+        order = F.struct("version", *[_plain(changes, c).alias(c) for c in rest if c != "version"])
+        last = named.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_last"))
         return last.select("id", "_last.*").select(*changes.columns).unionByName(plain), named.limit(0)
     often = named.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
     return named.join(often, "id", "left_anti").select(*changes.columns).unionByName(plain), named.join(often, "id", "left_semi").select(*changes.columns)
@@ -192,12 +199,13 @@ def upsert_records(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
 
 def latest_records(changes: DataFrame) -> DataFrame:
     """Current state from an append-only log (id, version, ts, fields): fields of
-    the last version, time of the first. Aggregated, so an id with very many
-    versions is reduced before any row moves."""
+    the last version, time of the first. Of equal versions the later counts as the
+    last, then the one with the greater fields, and the earlier as the first.
+    Aggregated, so an id with very many versions is reduced before any row moves."""
     return changes.groupBy("id").agg(
-        F.min_by("ts", "version").alias("created_at"),
+        F.min(F.struct("version", "ts"))["ts"].alias("created_at"),
         F.max("version").alias("version"),
-        F.max_by("fields", "version").alias("fields"),
+        F.max_by("fields", F.struct("version", "ts", _plain(changes, "fields").alias("fields"))).alias("fields"),
     )
 
 

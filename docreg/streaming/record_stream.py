@@ -14,8 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from docreg.operators.registry import latest_records, unknown_ids, upsert_records
-
-CHANGES = "id long, version long, ts timestamp, fields map<string, string>"
+from docreg.sources.record_store import CHANGES, RecordStore
 
 
 def stream_records(
@@ -36,6 +35,23 @@ def stream_records(
     )
 
 
+def stream_to_store(store: RecordStore, src: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+    """Change files under ``src`` go to a record store, whose reads cost the base and a
+    bounded number of pending changes. A batch that was killed, before its commit or
+    after it, is not counted twice."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store.apply_batch(stream, batch_id, batch)
+
+    changes = store.spark.readStream.schema(StructType.fromDDL(CHANGES)).option("maxFilesPerTrigger", files_per_batch).parquet(src)
+    return (
+        changes.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def _log(spark: SparkSession, dst: str) -> DataFrame:
     log = spark.read.schema(StructType.fromDDL(CHANGES)).option("recursiveFileLookup", "true").parquet(f"{dst}/changes")
     return log.select("id", "version", "ts", "fields")
