@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
 from docreg.common import drop_folder, reliable, work_path
-from docreg.operators import audit as a
+from docreg.operators import audit as a, history as h
 from docreg.operators.registry import diff_records
 from docreg.plans.audit_report import audit_report
 from docreg.sources import audit_log, intake, word_dumps
 from docreg.sources.commits import children, move
+from docreg.streaming import preview_stream as p
 from docreg.streaming.audit_stream import stream_audit
 from docreg.streaming.log_ingest import ingest_logs, ingested_events
 
@@ -97,6 +100,53 @@ def _streamed(spark, sf):
     return _parsed(spark.read.parquet(f"{root}/events"))
 
 
+def _changes(spark, sf):
+    """Corrections of 40 records, read from log lines: the old value of most is the new
+    one before."""
+    events = i.table(spark, sf, "events").withColumn("record_id", (F.col("event_id") % 40).cast("string"))
+    before = F.lag(F.concat(F.lit("v"), "event_id")).over(Window.partitionBy("record_id", "event_type").orderBy(F.date_trunc("second", "ts"), "event_id"))
+    corrections = events.select(
+        "event_id", "ts", F.lit("field_corrected").alias("event"), F.concat(F.lit("u"), "user_id").alias("user"), "record_id", F.col("event_type").alias("field"),
+        F.when(F.col("event_id") % 13 == 0, "lost").otherwise(F.coalesce(before, F.lit(""))).alias("old"), F.concat(F.lit("v"), "event_id").alias("new"),
+    )
+    lines = a.format_audit(corrections, ["event", "user", "record_id", "field", "old", "new"], also=["event_id"])
+    parsed = audit_log.parse_audit(lines, keep=["event_id"])
+    return parsed.select("ts", "user", F.col("event_id").alias("seq"), *[audit_log.attr(c) for c in ("record_id", "field", "old", "new")])
+
+
+def _change_history(spark, sf):
+    found = h.change_history(_changes(spark, sf))
+    return found.withColumns({c: _stamp(c) for c in ("valid_from", "valid_to")})
+
+
+def _changes_per_record(spark, sf):
+    found = h.changes_per_record(h.change_history(_changes(spark, sf)))
+    return found.withColumns({c: _stamp(c) for c in ("first", "last")})
+
+
+def _values_at(spark, sf):
+    """What corrections had made of the records in the middle of the log's time."""
+    events = i.table(spark, sf, "events")
+    middle = events.agg(F.date_trunc("day", F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("at")).first().at
+    found = h.values_at(h.change_history(_changes(spark, sf)), F.lit(middle))
+    return found.withColumn("valid_from", _stamp("valid_from"))
+
+
+def _open_previews(spark, sf):
+    """Events in order of their days, four files, some events twice, streamed."""
+    root = work_path(spark, "previews")
+    events = reliable(i.audit(spark, sf).select("event_id", F.date_trunc("second", "ts").alias("ts"), "event", "user", "record_id"))
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    step = (ends.high - ends.low) / 4
+    for k in range(4):
+        part = events.where((F.col("ts") >= ends.low + k * step) & ((F.col("ts") < ends.low + (k + 1) * step) if k < 3 else F.lit(True)))
+        part.unionByName(part.where("event_id % 11 = 0")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        p.stream_previews(spark, f"{root}/in", f"{root}/out", f"{root}/state", "INTERVAL 6 HOURS", "2 days").awaitTermination()
+    found = p.first_answers(spark.read.parquet(f"{root}/out"))
+    settled = found.where(F.col("previewed") < F.lit(ends.high - timedelta(days=3)))
+    return settled.withColumns({c: _stamp(c) for c in ("previewed", "answered")})
+
+
 def _put_logs(spark, lines: DataFrame, folder: str, name: str) -> None:
     """One file per host below the folder, in place of what is there."""
     staged = work_path(spark, "staged")
@@ -170,7 +220,26 @@ _PRINTS = """SELECT record_id, CASE split_part(event,'_',1) WHEN 'print' THEN 'b
 FROM audit WHERE event NOT LIKE 'record%' GROUP BY 1, 2"""
 _QUOTED = "CASE WHEN {c}='' THEN '\"\"' WHEN {c} LIKE '% %' OR {c} LIKE '%\"%' THEN '\"'||replace({c},'\"','\\\"')||'\"' ELSE {c} END"
 
+_CHANGES = f"""corrections AS (SELECT *, CASE WHEN event_id%13=0 THEN 'lost' ELSE coalesce(before,'') END AS old FROM (
+  SELECT event_id, date_trunc('second', ts) AS ts, 'u'||user_id AS usr, CAST(event_id%40 AS VARCHAR) AS record_id, event_type AS field, 'v'||event_id AS new,
+    lag('v'||event_id) OVER w AS before, row_number() OVER w AS step, lead(date_trunc('second', ts)) OVER w AS valid_to
+  FROM events WINDOW w AS (PARTITION BY event_id%40, event_type ORDER BY date_trunc('second', ts), event_id)))"""
+
 QUERIES = {
+    "a11_change_history": (_change_history, f"""WITH {_CHANGES} SELECT record_id, field, step, {_TS} AS valid_from, strftime(valid_to,'%Y-%m-%d %H:%M:%S') AS valid_to, new AS value, old, usr AS user,
+  step=1 OR old=before AS intact FROM corrections"""),
+    "a11_changes_per_record": (_changes_per_record, f"""WITH {_CHANGES}, per_field AS (SELECT record_id, field, arg_min(old, step) AS was, arg_max(new, step) AS now FROM corrections GROUP BY 1, 2),
+names AS (SELECT record_id, count(*) AS n_fields, string_agg(field, ',' ORDER BY field) FILTER (was<>now) AS changed_fields FROM per_field GROUP BY 1)
+SELECT record_id, count(*) AS n_corrections, any_value(n_fields) AS n_fields, min({_TS}) AS first, max({_TS}) AS last, count(*) FILTER (step>1 AND old<>before) AS n_breaks,
+  coalesce(any_value(changed_fields),'') AS changed_fields, count(DISTINCT usr) AS n_users FROM corrections JOIN names USING (record_id) GROUP BY record_id"""),
+    "a11_values_at": (_values_at, f"""WITH {_CHANGES} SELECT record_id, field, arg_max(new, step) AS value, arg_max(usr, step) AS user, arg_max({_TS}, step) AS valid_from FROM corrections
+WHERE ts <= (SELECT date_trunc('day', min(ts)+(max(ts)-min(ts))/2) FROM events) GROUP BY record_id, field"""),
+    "a10_open_previews": (_open_previews, f"""WITH {i.AUDIT}, steps AS (SELECT event_id, date_trunc('second', ts) AS ts, coalesce(record_id,'unsaved') AS record_id,
+  CASE split_part(event,'_',1) WHEN 'print' THEN 'booklet' ELSE split_part(event,'_',1) END AS document, event[strpos(event,'_')+1:] AS step FROM audit WHERE event NOT LIKE 'record%'),
+found AS (SELECT p.event_id AS preview_id, p.ts AS previewed, p.record_id, p.document, min({{'answered': s.ts, 'step': s.step}}) FILTER (s.ts IS NOT NULL) AS first FROM steps p
+  LEFT JOIN steps s ON s.step<>'rendered' AND s.record_id=p.record_id AND s.document=p.document AND s.ts>=p.ts AND s.ts<=p.ts+INTERVAL 6 HOURS WHERE p.step='rendered' GROUP BY ALL)
+SELECT preview_id, strftime(previewed,'%Y-%m-%d %H:%M:%S') AS previewed, record_id, document, first.step AS step, strftime(first.answered,'%Y-%m-%d %H:%M:%S') AS answered, first IS NULL AS open
+FROM found WHERE previewed < (SELECT date_trunc('second', max(ts))-INTERVAL 3 DAYS FROM events)"""),
     "k2_format_audit": (_lines, f"WITH {i.AUDIT_LINES} SELECT value FROM audit_lines"),
     "k2_save_lines": (_save_lines, f"""WITH {i.RECORD_KV}, {i.RECORD_CHANGES}, diffs AS (SELECT c.id, coalesce(b.v,'') AS old, c.v AS new FROM record_changes c
   JOIN (SELECT DISTINCT id FROM record_kv) x USING (id) LEFT JOIN record_kv b ON b.id=c.id AND b.k=c.k WHERE coalesce(b.v,'')<>c.v)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
 from docreg.common import reliable, work_path
-from docreg.operators import accounts, registry as r
+from docreg.operators import accounts, registry as r, search_index
 from docreg.plans.number_ledger import issue_numbers
 from docreg.plans.save_batch import save_batch
 from docreg.sources.record_store import RecordStore
@@ -33,6 +34,20 @@ def _search(spark, sf):
     return r.search_records(i.records(spark, sf), " AUto ").select("id")
 
 
+_NEEDLES = [" AUto ", "r#00000001", "T08:0", "d-0000", "no such text", "7", "e m"]
+
+
+def _indexed(spark, sf):
+    """Needles looked up in an index that was written in two batches."""
+    path = work_path(spark, "grams")
+    records = i.records(spark, sf)
+    for half in (0, 1):
+        search_index.write_index(records.where(F.col("id") % 2 == half), path)
+    index = spark.read.parquet(path)
+    found = [search_index.indexed_search(records, index, needle).select(F.lit(needle).alias("needle"), "id") for needle in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _list_view(spark, sf):
     return r.list_view(i.records(spark, sf))
 
@@ -289,6 +304,9 @@ _LOG = """change_log AS (SELECT l_orderkey AS id, (l_partkey*100000000+l_suppkey
 QUERIES = {
     "f3_search_records": (_search, f"""WITH {i.RECORDS} SELECT DISTINCT id FROM (SELECT id, v FROM record_kv UNION ALL SELECT id, CAST(id AS VARCHAR) FROM created
   UNION ALL SELECT id, created_at FROM created) WHERE lower(v) LIKE '%auto%'"""),
+    "f3_indexed_search": (_indexed, f"""WITH {i.RECORDS}, needles AS (SELECT unnest([{", ".join(f"'{n}'" for n in _NEEDLES)}]) AS needle)
+SELECT DISTINCT needle, id FROM (SELECT id, v FROM record_kv UNION ALL SELECT id, CAST(id AS VARCHAR) FROM created
+  UNION ALL SELECT id, created_at FROM created), needles WHERE contains(lower(v), lower(trim(needle)))"""),
     "f4_list_view": (_list_view, f"WITH {_WIDE} {_LIST}"),
     "t1_newest_first": (_newest, f"WITH {_WIDE} {_LIST} ORDER BY id DESC"),
     "f5_validate_records": (_validate, f"WITH {_WIDE} SELECT id, {_REASON} AS reason FROM wide"),
