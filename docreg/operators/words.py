@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,15 +134,18 @@ def overlapping_pairs(boxes: DataFrame, keys: Sequence[str], iou: float) -> Data
     )
 
 
+#: Rounds of parallel decisions before long chains are followed in order.
+ROUNDS = 12
+
+
 def _plain(value):
     return tuple(_plain(v) for v in value.values()) if isinstance(value, dict) else value
 
 
-def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(page, rank) of the boxes that go: those that overlap a better box that
-    stays. One pass over the pairs of a page, by the worse box: when its turn comes,
-    all better ones are decided. Holds the boxes of one page that are gone."""
-    keys = list(keys)
+def _in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(page, worse) of the boxes that go, by one pass over the pairs of a page in order
+    of the worse box: when its turn comes, all better ones are decided. Holds the boxes
+    of one page that are gone."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, gone = None, set()
@@ -161,7 +165,36 @@ def suppressed(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, "worse", "better")
     fields = {f.name: f for f in pairs.schema.fields}
     schema = T.StructType([fields[k] for k in [*keys, "worse"]])
-    return ordered.mapInArrow(decide, schema).withColumnRenamed("worse", "rank")
+    return ordered.mapInArrow(decide, schema)
+
+
+def suppressed(pairs: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
+    """(page, rank) of the boxes that go: those that overlap a better box that stays.
+
+    Decided in rounds, as in a search for independent sets: a box that no undecided box
+    betters stays, those it betters go, and pairs with a decided box are done. Rounds
+    are joins on (page, box), so a page with very many boxes is spread like any other.
+    A group of detections needs one round or two. What ``rounds`` leave are chains of
+    boxes each barely overlapping the next, which no order but theirs decides; their
+    pairs alone are followed one by one."""
+    keys = list(keys)
+    left, gone = reliable(pairs), []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        bettered = left.select(*keys, F.col("worse").alias("better")).distinct().withColumn("_bettered", F.lit(True))
+        marked = reliable(left.join(bettered, [*keys, "better"], "left"))
+        out = reliable(marked.where("_bettered IS NULL").select(*keys, F.col("worse").alias("rank")).distinct())
+        gone.append(out)
+        open_ = marked.where("_bettered").drop("_bettered")
+        for side in ("better", "worse"):
+            open_ = open_.join(out.withColumnRenamed("rank", side), [*keys, side], "left_anti")
+        left = reliable(open_.select(*keys, "better", "worse"))
+    else:
+        if not left.isEmpty():
+            gone.append(_in_order(left, keys).withColumnRenamed("worse", "rank"))
+    none = pairs.limit(0).select(*keys, F.col("worse").alias("rank"))
+    return reduce(DataFrame.unionByName, gone, none)
 
 
 def dedupe_overlaps(words: DataFrame, keys: Sequence[str] = ("doc_id",), iou: float = MIN_OVERLAP) -> DataFrame:

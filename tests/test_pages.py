@@ -252,3 +252,32 @@ def test_pair_across_a_slice_edge(words_of, spark):
     rows = [(1, "Fa", 0.9, 500, 255, 520, 269), (1, "ther", 0.9, 10, 256, 50, 270)]
     found = labels.find_label_lines(words_of(rows), labels.label_table(spark, [("f", "father", None)])).collect()
     assert [(r.label, r.text) for r in found] == [("f", "Fa")]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3, 40])
+def test_rounds_and_order_decide_alike(spark, rounds):
+    """Random conflicts and a long chain, against one pass in order of the rank."""
+    rng = random.Random(rounds)
+    edges = {(p, *sorted(rng.sample(range(40), 2))) for p in range(6) for _ in range(60)} | {(9, k, k + 1) for k in range(60)}
+    pairs = spark.createDataFrame(sorted(edges), "doc_id long, better long, worse long").repartition(5)
+    want = set()
+    for page, better, worse in sorted(edges, key=lambda e: (e[0], e[2], e[1])):
+        if (page, better) not in want:
+            want.add((page, worse))
+    got = [tuple(r) for r in w.suppressed(pairs, ["doc_id"], rounds).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_page_of_many_boxes_is_decided_by_joins(spark):
+    """Groups of four detections on one page: two rounds, all in the engine."""
+    boxes = spark.range(40_000).selectExpr(
+        "7L AS doc_id", "id AS word_no", "'w' AS text", "CAST(1 - (id % 4) / 8 AS DOUBLE) AS conf",
+        "CAST(id DIV 4 % 100 * 50 + id % 4 * 3 AS INT) AS x0", "CAST(id DIV 400 * 30 AS INT) AS y0",
+        "CAST(id DIV 4 % 100 * 50 + id % 4 * 3 + 12 AS INT) AS x1", "CAST(id DIV 400 * 30 + 12 AS INT) AS y1",
+    )
+    kept = w.dedupe_overlaps(boxes)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+    # by quarters of a box: the first stays, the next two overlap it or each other by half
+    assert {r.c for r in kept.groupBy((F.col("word_no") % 4).alias("c")).count().collect()} == {0, 2}
+    assert kept.count() == 20_000
