@@ -15,6 +15,8 @@ from docreg.functions import text as tx
 LINE_SLACK = 4
 RUN_GAP = 3
 MAX_VALUE_LINES = 2
+#: Words of touching lines that are folded as one row.
+BLOCK_WORDS = 4096
 
 
 def _first_fit(keys: list[str], slack: int):
@@ -55,7 +57,7 @@ def line_spans(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int =
     through the page-wide window: their number is bounded by the height of the
     page, whatever number of words it holds."""
     keys = list(keys)
-    spans = words.groupBy(*keys, "y0", "y1").agg(F.min("word_no").alias("_first"))
+    spans = words.groupBy(*keys, "y0", "y1").agg(F.min("word_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*keys).orderBy("y0", "_first")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -72,10 +74,46 @@ def line_spans(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int =
     return numbered.select(
         *keys, "y0", "y1", "line_no", "_block",
         F.min("line_no").over(block).alias("_first_line"),
-        (F.sum("_opens").over(block) > 1).alias("_mixed"),
+        (F.sum("_opens").over(block) > 1).alias("_mixed"), F.sum("_n").over(block).alias("_in_block"),
     )
 
 
+def _folded_lines(order: Column, slack: int) -> Column:
+    """Line numbers, from 0, of the words (y0, y1) of a block in their order: a fold
+    whose state is the lines that a later word can still reach, their number so far,
+    and the numbers given."""
+    line = lambda no, bottom: F.struct(no.cast("int").alias("no"), bottom.cast("int").alias("bottom"))
+    start = F.struct(F.array().cast("array<struct<no:int,bottom:int>>").alias("lines"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("given"))
+
+    def step(state: Column, word: Column) -> Column:
+        top, bottom = word["y0"], word["y1"]
+        reached = F.filter(state["lines"], lambda l: l["bottom"] >= top - slack)
+        fits = F.transform(reached, lambda l: l["bottom"] >= (top + bottom) / F.lit(2.0) - slack)
+        # a one-element array binds what is used more than once
+        found = F.array(F.struct(reached.alias("lines"), F.array_position(fits, F.lit(True)).cast("int").alias("at")))
+
+        def joined(f: Column) -> Column:
+            own = F.when(f["at"] > 0, F.get(f["lines"], f["at"] - 1)["no"]).otherwise(state["n"])
+            grown = F.transform(f["lines"], lambda l, i: F.when(i + 1 == f["at"], line(l["no"], F.greatest(l["bottom"], bottom))).otherwise(l))
+            return F.struct(
+                F.when(f["at"] > 0, grown).otherwise(F.concat(f["lines"], F.array(line(state["n"], bottom)))).alias("lines"),
+                (state["n"] + F.when(f["at"] > 0, 0).otherwise(1)).alias("n"), F.concat(state["given"], F.array(own)).alias("given"),
+            )
+
+        return F.transform(found, joined)[0]
+
+    return F.aggregate(order, start, step, lambda state: state["given"])
+
+
+def _fold_blocks(touching: DataFrame, keys: list[str], columns: list[str], slack: int) -> DataFrame:
+    """The words of touching blocks with their lines, block by block in one row."""
+    rest = [c for c in columns if c not in (*keys, "y0", "word_no")]
+    blocks = touching.groupBy(*keys, "_block", "_first_line").agg(F.array_sort(F.collect_list(F.struct("y0", "word_no", *rest))).alias("_words"))
+    given = blocks.withColumn("_given", _folded_lines(F.col("_words"), slack))
+    each = given.select(*keys, "_first_line", F.explode(F.arrays_zip("_words", "_given")).alias("_each"))
+    return each.select(*keys, "_each._words.*", (F.col("_first_line") + F.col("_each._given")).cast("long").alias("line_no")).select(*columns, "line_no")
+
+
 def group_lines(
     words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK
 ) -> DataFrame:
@@ -85,19 +123,18 @@ def group_lines(
 
     Where lines stand apart the number follows from the spans alone. Blocks in
     which lines touch depend on the order of their words; those blocks, and only
-    those, are walked word by word."""
+    those, are folded word by word, a block of ``BLOCK_WORDS`` words at most as one
+    row. A larger block is streamed through one task in the same order."""
     keys = list(keys)
     on = [*keys, "y0", "y1"]
     spans = line_spans(words, keys, slack)
     apart = words.join(spans.filter(~F.col("_mixed")).select(*on, "line_no"), on).select(*words.columns, "line_no")
-    touching = (
-        words.join(spans.filter("_mixed").select(*on, "_block", "_first_line"), on)
-        .select(*words.columns, "_block", "_first_line")
-        .repartition(*keys, "_block")
-        .sortWithinPartitions(*keys, "_block", "y0", "word_no")
-    )
+    touching = words.join(spans.filter("_mixed").select(*on, "_block", "_first_line", "_in_block"), on)
+    folded = _fold_blocks(touching.where(F.col("_in_block") <= BLOCK_WORDS), keys, words.columns, slack)
+    long = touching.where(F.col("_in_block") > BLOCK_WORDS).select(*words.columns, "_block", "_first_line")
+    streamed = long.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "y0", "word_no")
     schema = T.StructType([*words.schema.fields, T.StructField("line_no", T.LongType())])
-    return apart.unionByName(touching.mapInArrow(_first_fit(keys, slack), schema))
+    return apart.unionByName(folded).unionByName(streamed.mapInArrow(_first_fit(keys, slack), schema))
 
 
 def joined_text(order: Sequence[str], text: str = "text", separator: str = " ") -> Column:

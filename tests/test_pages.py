@@ -32,6 +32,16 @@ def test_lines_equal_the_first_fit_rule(words_of, heights):
     assert got == dict(solve(rows, LINES))
 
 
+@pytest.mark.parametrize("most", [0, 7])
+def test_folded_and_streamed_blocks_are_alike(words_of, monkeypatch, most):
+    monkeypatch.setattr(lines, "BLOCK_WORDS", most)
+    rng = random.Random(most)
+    rows = [(d, f"w{k}", 0.9, k, y := rng.randint(0, 60), k + 5, y + rng.randint(-2, 25)) for d in range(12) for k in range(20)]
+    rows += [(50, "w", 0.9, 0, 0, 5, 10)] * 9
+    got = {r.word_no: r.line_no for r in lines.group_lines(words_of(rows)).collect()}
+    assert got == dict(solve(rows, LINES))
+
+
 def test_lines_do_not_depend_on_row_order(words_of):
     words = words_of(random_rows(11, 40, 40, [8, 12, 30]))
     run = lambda df: sorted((r.word_no, r.line_no) for r in lines.group_lines(df).collect())
