@@ -61,7 +61,7 @@ def _labelled(spark, sf):
 
 
 def _layout(spark, sf):
-    return extract_layout(i.card_words(spark, sf), i.card_sizes(spark, sf))
+    return extract_layout(i.card_words(spark, sf), i.card_sizes(spark, sf)).withColumn("typed", F.col("typed").cast("string"))
 
 
 def _categories(spark, sf):
@@ -329,7 +329,8 @@ SELECT c_custkey AS doc_id, 'father_name' AS field_key, 'PARENT'||CAST(c_custkey
 UNION ALL SELECT c_custkey, 'place_of_birth', 'TOWN'||CAST(c_nationkey AS VARCHAR)||CASE WHEN c_custkey%13=0 THEN '' ELSE ' noise' END,
   0.9::DOUBLE, CASE WHEN c_custkey%5=0 THEN 2 ELSE 1 END, FALSE FROM customer"""),
     "p3_extract_layout": (_layout, f"""WITH {_CARD} SELECT f.doc_id, f.field_key, f.value, coalesce(m, 0.0::DOUBLE) AS conf,
-  coalesce(m, 0.0) < 0.6 OR (f.value='' AND f.field_key<>'13b') OR unaligned OR odd AS flagged FROM fields f LEFT JOIN means USING (doc_id, field_key)"""),
+  coalesce(m, 0.0) < 0.6 OR (f.value='' AND f.field_key<>'13b') OR unaligned OR odd AS flagged,
+  CASE WHEN f.field_key IN ('4a','4b') AND regexp_matches(f.value, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$') THEN CAST(CAST(try_strptime(f.value, '%d/%m/%Y') AS DATE) AS VARCHAR) END AS typed FROM fields f LEFT JOIN means USING (doc_id, field_key)"""),
     # words of a cell in two rows; those at one place are detections of one word, of which the best stays
     "p4_extract_categories": (_categories, f"""WITH {i.BACK_WORDS}, placed AS (SELECT doc_id, (y0-120)//50 AS c, (y0-120)%50 AS line, x0=540 AS issue,
   text, row_number() OVER (PARTITION BY doc_id, x0, y0 ORDER BY conf DESC, word_no) AS nth FROM back_words SEMI JOIN orders ON doc_id=o_orderkey),
