@@ -119,14 +119,14 @@ FROM copies GROUP BY doc_id, size, source_size, target, draw, begun"""
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64*x::DOUBLE)::BIGINT) AS w FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64*x::DOUBLE)::BIGINT) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
-terms AS (SELECT vec_id, unnest(w) AS w, generate_subscripts(w,1) AS t FROM v),
+terms AS (SELECT row, vec_id, unnest(w) AS w, generate_subscripts(w,1) AS t FROM v),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sum(q.w*c.w)::BIGINT AS score
-  FROM terms q JOIN terms c ON q.t=c.t AND q.vec_id<>c.vec_id WHERE q.vec_id%20=0 GROUP BY ALL)
+  SELECT q.row AS query_row, q.vec_id AS query_id, c.row, c.vec_id, sum(q.w*c.w)::BIGINT AS score
+  FROM terms q JOIN terms c ON q.t=c.t AND q.row<>c.row WHERE q.vec_id%20=0 GROUP BY ALL)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
+FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
 NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(

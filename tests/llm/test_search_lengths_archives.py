@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -16,16 +17,15 @@ from docreg.llm import length_histogram, topk_search, warc
 
 
 def plain_top(rows, k=20, scale=64):
-    ok = {}
+    ok = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        w = [math.floor(scale * float(np.float32(x))) for x in v]
-        ok[i] = min(w, ok[i]) if i in ok else w
+        ok.append((i, [math.floor(scale * float(np.float32(x))) for x in v]))
     out = []
-    for q, a in ok.items():
+    for at, (q, a) in enumerate(ok):
         if q % 20 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for other, (i, b) in enumerate(ok) if other != at)
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -59,6 +59,14 @@ def test_top_k_with_few_candidates(spark):
     assert sorted(map(tuple, topk_search.top_k(df).collect())) == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
 
 
+@pytest.mark.parametrize("blocks", [(16_384, 4_096), (2, 3)])
+def test_every_row_of_a_repeated_id_is_a_candidate(spark, blocks):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (20, [3.0, 1.0]), (20, [3.0, 1.0]), (20, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, topk_search.top_k(df, query_block=blocks[0], candidate_block=blocks[1]).collect()))
+    assert got == plain_top(rows) and (0, 3, 1, 8192) in got
+
+
 # --- op7
 
 
