@@ -5,8 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docreg.operators.audit import corrections, print_reconciliation, record_history
+from docreg.operators.history import change_history, changes_per_record
 from docreg.sources.audit_log import attr, parse_audit
 
 
@@ -15,11 +17,16 @@ class AuditReport(NamedTuple):
     records: DataFrame
     corrections: DataFrame
     rejects: DataFrame
+    changes: DataFrame
 
 
 def audit_report(lines: DataFrame) -> AuditReport:
-    """Log lines (column ``value``) → the three reports, and the lines that are
-    no events."""
+    """Log lines (column ``value``) → the reports on prints, records and corrections,
+    the lines that are no events, and what was changed on each record."""
     parsed = parse_audit(lines)
-    events = parsed.filter("NOT malformed").select("ts", "event", "user", attr("record_id"), attr("field"))
-    return AuditReport(print_reconciliation(events), record_history(events), corrections(events), parsed.filter("malformed").select("line"))
+    events = parsed.filter("NOT malformed").select("ts", "event", "user", *[attr(c) for c in ("record_id", "field", "old", "new")])
+    changed = events.where((F.col("event") == "field_corrected") & F.col("record_id").isNotNull())
+    return AuditReport(
+        print_reconciliation(events), record_history(events), corrections(events), parsed.filter("malformed").select("line"),
+        changes_per_record(change_history(changed)),
+    )

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docreg.operators import history as h, registry as r, search_index as x
+from docreg.plans.audit_report import audit_report
 from docreg.streaming import preview_stream as p
 
 T0 = datetime(2026, 1, 1, 8)
@@ -45,6 +46,17 @@ def test_values_and_states_at_a_time(spark, history):
     assert state(8)[1]["Surname"] == "X" and state(3.5)[2] == {"Phone": "1"} and state(-5)[1]["Surname"] == ""
 
 
+def test_the_audit_report_tells_what_was_changed(spark):
+    lines = [
+        "2026-01-01 08:00:00 event=field_corrected user=u record_id=5 field=Surname old=A new=\"B C\"",
+        "2026-01-01 08:01:00 event=field_corrected user=v record_id=5 field=Surname old=X new=D",
+        "2026-01-01 08:01:00 event=field_corrected user=v field=Surname old=X new=D", "2026-01-01 08:02:00 event=record_saved user=v record_id=6",
+    ]
+    report = audit_report(spark.createDataFrame([(line,) for line in lines], "value string"))
+    [got] = report.changes.collect()
+    assert (got.record_id, got.n_corrections, got.n_users, got.n_breaks, got.changed_fields) == ("5", 2, 2, 1, "Surname")
+
+
 def test_late_and_repeated_events_of_a_stream(spark, tmp_path):
     def events(*rows):
         return [(i, at(m), e, "u", rec) for i, m, e, rec in rows]
