@@ -16,7 +16,8 @@
    that any band shows is lost, and a large group of copies, which is one component
    by then, costs no pairs.
 
-Rows of one ``doc_id`` are one document, except in ``keep_one``. Defined results: a text with fewer words
+Rows of one ``doc_id`` are one document, except in ``keep_one``: an id that holds
+several texts ties their components. Defined results: a text with fewer words
 than a shingle is one shingle; texts without words have an empty set and are linked
 with nothing; rows without id are linked with nothing and have no component;
 repeated rows are in one component; an empty table gives no rows."""
@@ -162,6 +163,14 @@ def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, shingles array<long>").where(F.size("shingles") > 0)
 
 
+@dataclass(frozen=True)
+class Texts:
+    """The rows, and the ids that several rows have; None if no id has."""
+
+    rows: DataFrame
+    repeated: DataFrame | None
+
+
 def _near(pairs: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs (a, b, n_a, n_b, sketch_a, sketch_b), those that sizes and sketches
     do not rule out."""
@@ -176,15 +185,20 @@ def _near(pairs: DataFrame, plan: Plan) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(keep, f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: Texts, plan: Plan) -> DataFrame:
     """Pairs (a, b) that are linked by their full sets. Only texts of candidates are
-    read again, and each set is built once."""
+    read again, and each set is built once. Of rows that repeat id and set one goes
+    on, so repeats cost no pairs."""
     ids = reliable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = reliable(full_sets(docs.join(sent(ids), "doc_id", "left_semi"), plan))
+    sets = reliable(full_sets(docs.rows.join(sent(ids), "doc_id", "left_semi"), plan))
+    if docs.repeated is not None:
+        once = sets.join(sent(docs.repeated), "doc_id", "left_semi").distinct()
+        sets = reliable(sets.join(sent(docs.repeated), "doc_id", "left_anti").unionByName(once))
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     joint = F.size("set_a") + F.size("set_b") - common
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(common * 100 >= joint * plan.percent).select("a", "b")
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(common * 100 >= joint * plan.percent).select("a", "b")
+    return found if docs.repeated is None else found.distinct()
 
 
 def _mixed_pairs(members: DataFrame, plan: Plan) -> DataFrame:
@@ -204,13 +218,18 @@ def _mixed_pairs(members: DataFrame, plan: Plan) -> DataFrame:
         ids, comp, n = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        # in order of size, so that a set is compared only with those of like size
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes = n[right]
         a, b = [], []
         for x in left:
-            near = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
+            from_, to = np.searchsorted(sizes, [-(-n[x] * plan.percent // 100), n[x] * 100 // plan.percent + 1])
+            near = right[from_:to]
+            near = near[(comp[near] != comp[x]) & ((ids[near] > ids[x]) | (i != j))]
             near = near[plan.may_link(n[near], n[x], sketch[near] ^ sketch[x])]
             a.append(np.full(len(near), ids[x]))
             b.append(ids[near])
-        join = lambda parts: np.concatenate(parts) if parts else ids[:0]
+        join = lambda parts: pa.array(np.concatenate(parts) if parts else ids[:0], table.schema.field("id").type)
         return pa.table({"a": join(a), "b": join(b)})
 
     pairs = dealt.groupBy("bucket", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
@@ -224,7 +243,7 @@ class Groups:
     links: DataFrame
     labels: DataFrame
 
-    def with_(self, pairs: DataFrame, docs: DataFrame, plan: Plan) -> Groups:
+    def with_(self, pairs: DataFrame, docs: Texts, plan: Plan) -> Groups:
         """Also the links among ``pairs`` that join different components."""
         of = lambda x: self.labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
         apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
@@ -245,6 +264,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     # one row of each class goes on; repeated rows of its id are one
     chosen = named.join(classes, "name").where(F.col("doc_id") == F.col("id"))
     heads = reliable(chosen.dropDuplicates(["name"]).select("id", "n_shingles", "bands", "sketch"))
+    often = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.count("name").alias("named"), F.min("name").alias("low"), F.max("name").alias("high"))
+    often = reliable(often.where("n > 1"))
+    docs = Texts(docs, None if often.isEmpty() else reliable(often.select("doc_id")))
+    # an id that holds several texts ties their classes
+    tied = named.join(often.where((F.col("low") < F.col("high")) | (F.col("named") < F.col("n"))).select("doc_id"), "doc_id").join(classes, "name")
+    tied = tied.where(F.col("id") < F.col("doc_id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
     entries = heads.select("id", F.explode("bands").alias("bucket"))
     centers = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last")).where(F.col("center") < F.col("last"))
     entries = reliable(entries.join(centers, "bucket").select("bucket", "id", "center"))
@@ -252,14 +277,21 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     side = lambda x: heads.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     stars = reliable(_near(stars.join(side("a"), "a").join(side("b"), "b"), plan))
     # first one link per document, then the links that still join something
-    links = reliable(_confirmed(reliable(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), docs, plan))
+    links = _confirmed(reliable(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), docs, plan)
+    links = reliable(links if docs.repeated is None else links.unionByName(tied))
     groups = Groups(links, components(links)).with_(stars, docs, plan)
     groups = groups.with_(_mixed_pairs(_still_mixed(entries, heads, groups.labels), plan), docs, plan)
     # every class, its label, and by its name every document
     classes = classes.join(groups.labels, "id", "left").select("name", F.coalesce("component", "id").alias("component_id"))
-    return signed.join(classes, "name", "left").select(
+    if docs.repeated is not None:
+        # rows without words go with the other rows of their id
+        bare = signed.where(F.col("name").isNull()).select("doc_id", "n_shingles", "name").join(groups.labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        rest = bare.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        signed = signed.where(F.col("name").isNotNull())
+    found = signed.join(classes, "name", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
+    return found if docs.repeated is None else found.unionByName(rest)
 
 
 def _still_mixed(entries: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,19 +302,22 @@ def _still_mixed(entries: DataFrame, heads: DataFrame, labels: DataFrame) -> Dat
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with ``_key``, which tells id and text apart: the id where all its
-    rows hold one text, else a hash above usual ids. So the center of a bucket is the
-    smallest id, which a group's buckets share more often than a smallest hash."""
-    apart = F.xxhash64("doc_id", "text")
+    """(key, doc_id, row): the rows whole, beside a key that tells id and text apart:
+    the id where all its rows hold one text, else a hash behind usual ids. So the
+    center of a bucket is the smallest id, which a group's buckets share more often
+    than a smallest hash. Ids that are no whole numbers are keys as texts."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.col("doc_id").cast("long" if whole else "string")
+    apart = F.xxhash64(own, "text")
     hashed = apart.bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
-        return docs.withColumn("_key", hashed)
-    texts = docs.groupBy("doc_id").agg(F.min(apart).alias("low"), F.max(apart).alias("high"))
-    several = reliable(texts.where((F.col("low") < F.col("high")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_several")))
+    hashed = hashed if whole else F.concat(F.lit("\U0010ffff"), hashed.cast("string"))
+    texts = docs.groupBy(own.alias("several")).agg(F.min(apart).alias("low"), F.max(apart).alias("high"))
+    several = reliable(texts.where((F.col("low") < F.col("high")) & F.col("several").isNotNull()).select("several"))
+    rows = docs.select(own.alias("doc_id"), F.struct("*").alias("row"), hashed.alias("hashed"))
     if several.isEmpty():
-        return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
-    marked = docs.join(sent(several), docs["doc_id"] == several["_several"], "left")
-    return marked.withColumn("_key", F.when(F.col("_several").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(hashed))
+        return rows.select(F.coalesce("doc_id", "hashed").alias("key"), "doc_id", "row")
+    marked = rows.join(sent(several), rows["doc_id"] == several["several"], "left")
+    return marked.select(F.when(F.col("several").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.col("hashed")).alias("key"), "doc_id", "row")
 
 
 def keep_one(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -293,21 +328,20 @@ def keep_one(docs: DataFrame, plan: Plan) -> DataFrame:
     stays. Rows without id are no copies of rows with one, but of each other: one of
     a component stays, and all without words."""
     keyed = _keyed(docs)
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), plan).groupBy(F.col("doc_id").alias("key"))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), plan).groupBy(F.col("doc_id").alias("key"))
     found = found.agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
-    ids = keyed.select(F.col("_key").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    ids = keyed.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     no_id = F.col("doc_id").isNull()
     rows = reliable(found.join(ids, "key").select("key", "doc_id", "component_id", "n", no_id.alias("no_id")).where(~(no_id & (F.col("n_shingles") == 0))))
     first = rows.groupBy("component_id", "no_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
-    copies = reliable(rows.join(first, "key", "left_anti").select(F.col("key").alias("_key")))
-    repeated = reliable(rows.where(F.col("n") > 1).select(F.col("key").alias("_key")))
-    kept = keyed.join(sent(copies), "_key", "left_anti")
+    copies = reliable(rows.join(first, "key", "left_anti").select("key"))
+    repeated = reliable(rows.where(F.col("n") > 1).select("key"))
+    kept = keyed.join(sent(copies), "key", "left_anti")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select("row.*")
     # whole repeats go first, they may be very many
-    one = kept.join(sent(repeated), "_key", "left_semi").select("_key", *docs.columns).distinct()
-    one = one.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return kept.join(sent(repeated), "_key", "left_anti").select(*docs.columns).unionByName(one)
+    one = kept.join(sent(repeated), "key", "left_semi").select("key", "row").distinct().groupBy("key").agg(F.min("row").alias("row"))
+    return kept.join(sent(repeated), "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def dedup_digest(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docreg.llm import curriculum, decontamination, near_dedup
 from docreg.llm.components import components
@@ -167,6 +168,35 @@ def test_one_row_of_each_component_stays(spark):
     assert [r["source"] for r in near_dedup.keep_one(other, near_dedup.Plan()).collect()] == ["k"]
 
 
+def test_an_id_with_several_texts_ties_their_groups(spark):
+    rng = random.Random(6)
+    t, u, v = (" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, t), (9, t), (9, u), (10, u + " x"), (20, v), (21, v), (21, t + " y"), (21, "")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == plain_groups(rows)[0] == dict.fromkeys((3, 9, 10, 20, 21), 3)
+
+
+def test_repeats_of_an_id_cost_no_pairs(spark, monkeypatch):
+    t = " ".join(f"w{i}" for i in range(50))
+    docs = docs_of(spark, [(1, t)] * 10_000 + [(2, t + " x")] * 10_000 + [(3, "other " + t[:100])]).repartition(20)
+    links = []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda *a: links.append(plain(*a)) or links[-1])
+    found = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("component_id").alias("c")).collect()
+    assert {r["doc_id"]: r["c"] for r in found} == {1: 1, 2: 1, 3: 3} and [link.count() for link in links][0] == 1
+
+
+def test_text_ids_and_columns_of_any_name(spark):
+    rows = copies_case(random.Random(5))
+    plan = near_dedup.Plan(words=5, percent=80)
+    named = docs_of(spark, rows).where("doc_id is not null").withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    numbered = near_dedup.keep_one(docs_of(spark, rows), plan).where("doc_id is not null")
+    clash = named.drop("key", "row").selectExpr("*", "'k' AS _key", "'s' AS _several", "1 AS key", "2 AS row", "3 AS several")
+    kept = near_dedup.keep_one(clash, plan)
+    assert kept.columns == clash.columns and {tuple(r) for r in kept.select("_key", "_several", "key", "row", "several").distinct().collect()} == {("k", "s", 1, 2, 3)}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(f"d{r['doc_id']:05d}" for r in numbered.collect())
+
+
 def test_near_duplicates_of_nothing(spark):
     none = docs_of(spark, [(1, "a")]).where("false")
     assert near_dedup.near_duplicates(none).collect() == []
