@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import copy
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from docreg.llm.sample import filtered, labelled_sample, logistic, probability,
 
 PER_CLASS = 1_500
 _PIECE_BYTES = 6_000_000
+#: Lines, and about bytes, whose features are held at once.
+WINDOW, _WINDOW_BYTES = 20_000, 4_000_000
 
 #: Kinds of bytes: members of each kind; all other ASCII bytes are kind 0, bytes of other characters kind 1.
 _KINDS = ["", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\x0b\x0c", ".,;:'\"-", "!?", "|", "#$%&*", "<>{}[]()/\\=_"]
@@ -107,19 +110,62 @@ class LineFeatures:
         return self.x.T @ g
 
 
+@dataclass
+class Marked:
+    """What scoring keeps of the lines of some texts: lines of each text, bytes of each
+    line."""
+
+    counts: np.ndarray
+    length: np.ndarray
+
+
+def _windows(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in runs of at most ``WINDOW`` lines and about ``_WINDOW_BYTES``."""
+    held, size = 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if i - held + 1 >= WINDOW or size >= _WINDOW_BYTES:
+            yield lines[held : i + 1]
+            held, size = i + 1, 0
+    if held < len(lines):
+        yield lines[held:]
+
+
+def _emission(lines: list[str], counts: np.ndarray, scale: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The field's evidence for each line, and the lines' lengths, as ``LineFeatures``
+    has them. A line's features are only kept as what they add to its own evidence and
+    to that of the lines beside it, so memory does not go with the number of features."""
+    shares = weights[: 3 * _OWN].reshape(3, _OWN).T
+    added, length = np.empty((len(lines), 3)), np.empty(len(lines), dtype=np.int32)
+    at = 0
+    for some in _windows(lines):
+        own, size = _line_features(some)
+        added[at : at + len(some)] = np.clip((own - scale[0]) / scale[1], -5, 5) @ shares
+        length[at : at + len(some)] = size
+        at += len(some)
+    joined = np.ones(max(0, len(lines) - 1), dtype=bool)
+    ends = np.cumsum(counts)[:-1]
+    joined[ends[(ends > 0) & (ends < len(lines))] - 1] = False
+    found = added[:, 0] + weights[-1]
+    found[1:] += added[:-1, 1] * joined
+    found[:-1] += added[1:, 2] * joined
+    return found, length
+
+
 class Model:
     """A fitted field (tag 1 is a bad line) and the weights of the score."""
 
     def __init__(self, chain: crf.Chain, scale, weights: np.ndarray):
         self.chain, self.scale, self.weights = chain, scale, weights
 
-    def mark(self, texts: list[str | None]) -> tuple[LineFeatures, np.ndarray]:
-        """Features of the lines, and each line's probability of being bad."""
-        lines = LineFeatures(texts, self.scale)
-        return lines, crf.marginals(crf.Sequences(lines.counts), lines.scores(self.chain.weights), self.chain)[0]
+    def mark(self, texts: list[str | None]) -> tuple[Marked, np.ndarray]:
+        """The lines, and each line's probability of being bad."""
+        lines, counts = _lines(texts)
+        emission, length = _emission(lines, counts, self.scale, self.chain.weights)
+        return Marked(counts, length), crf.marginals(crf.Sequences(counts), emission, self.chain)[0]
 
     @staticmethod
-    def evidence(lines: LineFeatures, bad: np.ndarray) -> np.ndarray:
+    def evidence(lines: Marked, bad: np.ndarray) -> np.ndarray:
         """Per document: log odds of the length-weighted share of good lines, and
         the share itself."""
         if not len(lines.counts):
@@ -130,7 +176,7 @@ class Model:
         near = np.clip(good, 1e-4, 1 - 1e-4)
         return np.column_stack([np.log(near / (1 - near)) / 3, good])
 
-    def score(self, lines: LineFeatures, bad: np.ndarray) -> np.ndarray:
+    def score(self, lines: Marked, bad: np.ndarray) -> np.ndarray:
         return probability(self.evidence(lines, bad), self.weights)
 
 
