@@ -1,6 +1,7 @@
 """Language model, language identification, toxicity, quality: against plain
 recomputation and on held-out texts."""
 
+import itertools
 import math
 import random
 import zlib
@@ -228,3 +229,80 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["score"] >= 0.5 for r in got)
     assert quality.score_quality(docs.where("false"), marks).collect() == []
     assert {r["score"] for r in quality.score_quality(docs, marks.where("false")).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("lengths", [[300], [1, 0, 900, 3, 101, 0, 17, 2000], [150] * 5, [0, 0]])
+def test_long_sequences_are_cut_without_a_change(monkeypatch, lengths):
+    rng = np.random.default_rng(len(lengths))
+    n = sum(lengths)
+    chain = crf.Chain(np.zeros(1), 0.7, rng.normal(size=(2, 2)) * 2)
+    emission = rng.normal(size=n) * 8
+    whole = crf.marginals(crf.Sequences(np.array(lengths)), emission, chain)
+    monkeypatch.setattr(crf, "LONG", 100)
+    cut = crf.marginals(crf.Sequences(np.array(lengths)), emission, chain)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_the_slope_of_the_fit_is_that_of_the_likelihood():
+    """One round of the fit moves along the slope, compared with finite differences."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 1, 6, 3])
+    x, tags = rng.normal(size=(14, 3)), rng.integers(0, 2, 14)
+
+    class Features:
+        size = 3
+
+        def scores(self, w):
+            return x @ w
+
+        def pull(self, g):
+            return x.T @ g
+
+    def likelihood(w):
+        total, at = 0.0, 0
+        for n in lengths:
+            own, e = tags[at : at + n], x[at : at + n] @ w
+            paths = [sum(t * v for t, v in zip(path, e)) for path in itertools.product((0, 1), repeat=int(n))]
+            total += (own * e).sum() - np.log(np.exp(paths).sum())
+            at += n
+        return total / lengths.sum()
+
+    w = np.zeros(3)
+    want = [(likelihood(w + d) - likelihood(w - d)) / 2e-5 for d in np.eye(3) * 1e-5]
+    p = crf.marginals(crf.Sequences(lengths), x @ w, crf.Chain(w))[0]
+    assert np.allclose(Features().pull(tags - p) / lengths.sum(), want, atol=1e-6)
+    assert likelihood(crf.train(Features(), tags, lengths).weights) > likelihood(w)
+
+
+def test_evidence_by_windows_is_that_of_the_features(monkeypatch):
+    texts = ["a b.\n\nc!! d 1 2\n" * 9, None, "", "x", "\n\n", "É é|é\n#"]
+    rng = np.random.default_rng(5)
+    features = quality.LineFeatures(texts)
+    weights = rng.normal(size=features.size)
+    for window in (1, 3, 20_000):
+        monkeypatch.setattr(quality, "WINDOW", window)
+        found, length = quality._emission(*quality._lines(texts), features.scale, weights)
+        assert np.allclose(found, features.scores(weights)) and (length == features.length).all()
+    # a document's score from plain sums over its lines
+    model = quality.Model(crf.Chain(weights, 0.3, rng.normal(size=(2, 2))), features.scale, np.array([0.5, 2.0, -1.0]))
+    marked, bad = model.mark(texts)
+    at = 0
+    for row, n in zip(model.evidence(marked, bad), marked.counts):
+        share = sum((marked.length[i] + 1) * (1 - bad[i]) for i in range(at, at + n)) / sum(marked.length[i] + 1 for i in range(at, at + n))
+        assert np.isclose(row[1], share) and np.isclose(row[0], np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4))) / 3)
+        at += n
+
+
+def test_six_megabytes_of_line_ends():
+    import tracemalloc
+
+    model = quality.fit([("good line here.\nAnother fine one.\n" * 3, 1), ("$$$ ### |||\n!!!\n", 0)] * 10)
+    text = "\n" * 6_000_000
+    tracemalloc.start()
+    try:
+        marked, bad = model.mark([text])
+        assert len(bad) == 6_000_001 and 0 <= model.score(marked, bad)[0] <= 1
+        assert tracemalloc.get_traced_memory()[1] < 500_000_000
+    finally:
+        tracemalloc.stop()
