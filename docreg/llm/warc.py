@@ -38,6 +38,8 @@ from docreg.llm.base import sent
 LEAST_BYTES = 100
 #: Bytes of payload in one archive file, on average; a file is read as a whole.
 ARCHIVE_BYTES = 16_000_000
+#: Fixed value: what a revisit of an equal payload is called.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\x00-\x08\x0a-\x1f\x7f]*)")
@@ -53,8 +55,10 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return shared.where((F.col("n") > 1) & F.col("response_id").isNotNull()).select("payload_digest", "response_id")
 
 
-def records(pages: DataFrame, shared: DataFrame) -> DataFrame:
-    """The text of every record, without its end."""
+def records(pages: DataFrame, shared: DataFrame, written: Column | None = None) -> DataFrame:
+    """The text of every record, without its end, ``written`` at a time (now). Each has
+    an id of its own; that of a record others refer to is its page's alone, so repeated
+    rows of such a page share it."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("string").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
@@ -65,12 +69,16 @@ def records(pages: DataFrame, shared: DataFrame) -> DataFrame:
     size = F.octet_length("payload")
     # an address that holds line ends or other controls is written in percent form
     address = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), F.url_encode("url")).otherwise(F.col("url"))
+    named = lambda page: F.concat(F.lit("<urn:page:"), page, F.lit(">"))
+    own = F.concat(F.lit("?row="), F.uuid())
     optional = lambda made: F.coalesce(made, F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        optional(line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id"), F.lit(">")))),
+        line("WARC-Record-ID", F.when(answers.isNotNull() & ~again, named(answers)).otherwise(F.coalesce(named(F.concat("page_id", own)), F.concat(F.lit("<urn:row"), own, F.lit(">"))))),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp() if written is None else written, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        optional(F.when(again, line("WARC-Profile", F.lit(PROFILE)))),
         optional(line("WARC-Target-URI", address)), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        optional(F.when(again, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), answers, F.lit(">"))))),
+        optional(F.when(again, line("WARC-Refers-To", named(answers)))),
         line("Payload-Length", size.cast("string")), line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "), F.when(again, 0).otherwise(size).cast("string"), F.lit(_END),
     )
@@ -228,7 +236,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     return (found[:4] for found in walk(data))
 
 
-_PAGE = re.compile(r"^<urn:page:(.*)>$", re.S)
+_PAGE = re.compile(r"^<urn:page:(.*?)(?:\?row=[0-9a-f-]{36})?>$", re.S)
 _ROW = pa.schema([
     ("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("page_id", pa.string()),
     ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
