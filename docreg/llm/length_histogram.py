@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docreg.common import reliable
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public vocabulary cuts a text into pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,7 +55,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     that length: documents and tokens of it, documents and tokens at least as
     long, and the tokens kept and lost if every text is cut there."""
     base = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    base = base.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("part", F.floor(F.col("n_tokens") / RANGE))
+    # written, as it is read twice below and encoding is what costs
+    base = reliable(base.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("part", F.floor(F.col("n_tokens") / RANGE)))
     later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     parts = base.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # one row for each 4096 lengths: few, whatever the number of documents

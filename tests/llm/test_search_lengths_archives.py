@@ -250,3 +250,35 @@ def test_damaged_files_are_read_around(spark, tmp_path):
     assert sorted(r["page_id"] for r in got.where("kind = 'record'").collect()) == list("012456")
     gaps = got.where("kind = 'gap'").select((F.col("end") - F.col("start")).alias("n"), "reason").collect()
     assert sorted(g["n"] for g in gaps) == sorted([len(parts[3]) - 30, 4]) and all(g["reason"] for g in gaps)
+
+
+def test_every_record_has_its_mandatory_fields(spark, tmp_path):
+    big = "<p>" + "x" * 200
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (2, "http://b/", big), (3, None, "small"), (3, None, "small"), (None, "http://c/", big), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(pages.repartition(3), str(tmp_path / "w"))
+    seen = []
+    for file in sorted((tmp_path / "w").glob("part-*")):
+        data = file.read_bytes()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            assert version == "WARC/1.1" and len(fields) == len(lines)
+            assert re.fullmatch(r"<urn:[^\s<>]+>", fields["WARC-Record-ID"]) and fields["WARC-Type"] in ("response", "revisit")
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["Content-Length"].isdigit()
+            if fields["WARC-Type"] == "revisit":
+                assert fields["WARC-Profile"] == warc.PROFILE and fields["WARC-Refers-To"] == "<urn:page:1>" and fields["Content-Length"] == "0"
+            size = int(fields["Content-Length"])
+            assert rest[size : size + 4] == b"\r\n\r\n"
+            data = rest[size + 4 :]
+            seen.append(fields["WARC-Record-ID"])
+    assert len(seen) == len(set(seen)) == len(rows) and "<urn:page:1>" in seen
+    back = warc.read_archives(spark, path).where("kind = 'record'")
+    assert sorted(str(r["page_id"]) for r in back.collect()) == sorted(str(r[0]) for r in rows)
+
+
+def test_lengths_are_encoded_once(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a")], "doc_id long, text string")
+    plan = length_histogram.length_histogram(length_histogram.token_lengths(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
