@@ -35,9 +35,9 @@ SELECT doc_id, CAST(line_no AS BIGINT)*1000000+word_no AS word_no, text,
   CAST(line_no*20+(word_no*7+doc_id)%3+12 AS INT) AS y1,
   CAST((doc_id*7+line_no*13+word_no*31)%129 AS DOUBLE)/128 AS conf
 """
-_SPARK_WORDS = _WORD_COLUMNS + """
-FROM (SELECT doc_id, line_no, word_no, wd AS text
-  FROM (SELECT doc_id, line_no, ln FROM documents
+_SPARK_WORDS = _WORD_COLUMNS.replace("doc_id, ", "doc_id, {carried}", 1) + """
+FROM (SELECT doc_id, {carried}line_no, word_no, wd AS text
+  FROM (SELECT doc_id, {carried}line_no, ln FROM {dealt}
         LATERAL VIEW posexplode(split(text, chr(10))) a AS line_no, ln)
   LATERAL VIEW posexplode(split(ln, ' ')) b AS word_no, wd
   WHERE length(wd) > 0)
@@ -72,8 +72,24 @@ SELECT doc_id, -1, 'page', CAST(1 AS DOUBLE), 0, 0, 100000, 100000 FROM words GR
 DOUBLED = f"{WORDS}, doubled AS ({_DOUBLED})"
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    return run(spark, sf, f"{_X1} ({_SPARK_WORDS})", "documents")
+#: Bytes of the documents' files in one part: some million words.
+_DEALT = 4 << 20
+
+
+def _dealt(documents: DataFrame) -> DataFrame:
+    """The documents dealt out by id while they are whole texts: windows and groups of a
+    document's words then need no shuffle of words. The number of parts grows with the
+    table, so a part holds as many words at any size."""
+    size = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.repartition(max(least, int(size) // _DEALT), "doc_id")
+
+
+def words(spark: SparkSession, sf: str, *carried: str) -> DataFrame:
+    """The words, each with the columns ``carried`` of its document."""
+    more = "".join(f"{c}, " for c in carried)
+    sql = f"{_X1.replace('doc_id, ', f'doc_id, {more}', 1)} ({_SPARK_WORDS.replace('{carried}', more)})"
+    return spark.sql(sql, dealt=_dealt(table(spark, sf, "documents").select("doc_id", "text", *carried)))
 
 
 def doubled(spark: SparkSession, sf: str) -> DataFrame:
