@@ -46,7 +46,7 @@ def _touching_lines(spark, sf):
 
 
 def _line_boxes(spark, sf):
-    return lines.line_boxes(lines.group_lines(i.words(spark, sf)))
+    return lines.boxed_lines(i.words(spark, sf))
 
 
 def _rebuild_text(spark, sf):

@@ -16,7 +16,8 @@ WORD_COLUMNS = ["word_no", "text", "conf", "x0", "y0", "x1", "y1"]
 
 #: Confidences are summed as decimals that keep every digit a double prints, so a
 #: mean does not depend on the order in which partial sums arrive.
-_CONF_DIGITS = "decimal(28,20)"
+CONF_DIGITS = "decimal(28,20)"
+CONF_SUM = "decimal(38,20)"
 
 
 def col(c: Column | str) -> Column:
@@ -39,7 +40,7 @@ def trimmed(c: Column | str) -> Column:
 
 def conf_sum(c: Column | str = "conf") -> Column:
     """Aggregate: exact sum of confidences."""
-    return F.sum(col(c).cast(_CONF_DIGITS))
+    return F.sum(col(c).cast(CONF_DIGITS))
 
 
 def mean_of_sum(total: Column, n: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreg.common import box_height, computed, conf_sum, mean_of_sum
+from docreg.common import CONF_DIGITS, CONF_SUM, box_height, computed, conf_sum, mean_of_sum
 from docreg.functions import text as tx
 
 LINE_SLACK = 4
@@ -56,8 +56,12 @@ def line_spans(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int =
     Only the first word of a span can open a line, so spans, not words, go
     through the page-wide window: their number is bounded by the height of the
     page, whatever number of words it holds."""
-    keys = list(keys)
     spans = words.groupBy(*keys, "y0", "y1").agg(F.min("word_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return _numbered(spans, list(keys), slack)
+
+
+def _numbered(spans: DataFrame, keys: list[str], slack: int) -> DataFrame:
+    """Spans (``_first`` word, number ``_n`` of words) with line and block."""
     order = Window.partitionBy(*keys).orderBy("y0", "_first")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -71,8 +75,9 @@ def line_spans(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int =
         .withColumn("_block", F.sum(opens_block.cast("long")).over(so_far))
     )
     block = Window.partitionBy(*keys, "_block")
+    more = [c for c in spans.columns if c not in (*keys, "y0", "y1", "_first", "_n")]
     return numbered.select(
-        *keys, "y0", "y1", "line_no", "_block",
+        *keys, "y0", "y1", *more, "line_no", "_block",
         F.min("line_no").over(block).alias("_first_line"),
         (F.sum("_opens").over(block) > 1).alias("_mixed"), F.sum("_n").over(block).alias("_in_block"),
     )
@@ -130,11 +135,60 @@ def group_lines(
     spans = line_spans(words, keys, slack)
     apart = words.join(spans.filter(~F.col("_mixed")).select(*on, "line_no"), on).select(*words.columns, "line_no")
     touching = words.join(spans.filter("_mixed").select(*on, "_block", "_first_line", "_in_block"), on)
-    folded = _fold_blocks(touching.where(F.col("_in_block") <= BLOCK_WORDS), keys, words.columns, slack)
-    long = touching.where(F.col("_in_block") > BLOCK_WORDS).select(*words.columns, "_block", "_first_line")
+    return apart.unionByName(_touching_lines(touching, keys, words.columns, slack))
+
+
+def _touching_lines(touching: DataFrame, keys: list[str], columns: list[str], slack: int) -> DataFrame:
+    """Words of touching blocks with their lines: short blocks folded, long ones streamed."""
+    folded = _fold_blocks(touching.where(F.col("_in_block") <= BLOCK_WORDS), keys, columns, slack)
+    long = touching.where(F.col("_in_block") > BLOCK_WORDS).select(*columns, "_block", "_first_line")
     streamed = long.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "y0", "word_no")
-    schema = T.StructType([*words.schema.fields, T.StructField("line_no", T.LongType())])
-    return apart.unionByName(folded).unionByName(streamed.mapInArrow(_first_fit(keys, slack), schema))
+    schema = T.StructType([*(long.schema[c] for c in columns), T.StructField("line_no", T.LongType())])
+    return folded.unionByName(streamed.mapInArrow(_first_fit(keys, slack), schema))
+
+
+def gathered_lines(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK) -> DataFrame:
+    """One row per line of ``group_lines``: its number, top, bottom and ``words`` from
+    left to right, for all that makes one value of a line. Words are gathered by span
+    before lines are known, so they are not joined with their lines: where lines stand
+    apart a word is moved once, or not at all if the pages are dealt out already."""
+    keys = list(keys)
+    rest = [c for c in words.columns if c not in (*keys, "x0", "word_no", "text", "y0", "y1")]
+    item = F.struct("x0", "word_no", "text", *rest)
+    listed = words.groupBy(*keys, "y0", "y1").agg(F.collect_list(item).alias("_items"))
+    first = F.array_min(F.transform("_items", lambda w: w["word_no"]))
+    spans = _numbered(listed.select("*", first.alias("_first"), F.size("_items").alias("_n")), keys, slack)
+    apart = spans.filter(~F.col("_mixed")).groupBy(*keys, "line_no").agg(
+        F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_sort(F.flatten(F.collect_list("_items"))).alias("words")
+    )
+    each = spans.filter("_mixed").select("*", F.explode("_items").alias("_item")).select(
+        *keys, "y0", "y1", "_item.*", "_block", "_first_line", "_in_block"
+    )
+    numbered = _touching_lines(each, keys, words.columns, slack)
+    touching = numbered.groupBy(*keys, "line_no").agg(
+        F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_sort(F.collect_list(item)).alias("words")
+    )
+    return apart.unionByName(touching)
+
+
+def _texts() -> Column:
+    return F.array_join(F.transform("words", lambda w: w["text"]), " ")
+
+
+def _conf_total() -> Column:
+    """Exact sum of the confidences of a line's words, of the type of ``conf_sum``."""
+    zero = F.lit(0).cast(CONF_SUM)
+    known = F.filter(F.transform("words", lambda w: w["conf"].cast(CONF_DIGITS)), lambda c: c.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, zero, lambda s, c: (s + c).cast(CONF_SUM)))
+
+
+def boxed_lines(words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK) -> DataFrame:
+    """``line_boxes`` of ``group_lines``, without a join of words and lines."""
+    side = lambda of, c: of(F.transform("words", lambda w: w[c])).alias(c)
+    return gathered_lines(words, keys, slack).select(
+        *keys, "line_no", side(F.array_min, "x0"), "y0", side(F.array_max, "x1"), "y1", _texts().alias("text"),
+        F.size("words").cast("long").alias("n_words"), mean_of_sum(_conf_total(), F.size("words")).alias("conf"),
+    ).withColumn("height", box_height())
 
 
 def joined_text(order: Sequence[str], text: str = "text", separator: str = " ") -> Column:
@@ -155,7 +209,7 @@ def line_boxes(lines: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame
 
 def rebuild_text(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Text of a page or region: lines top to bottom, words left to right."""
-    lines = group_lines(words, keys).groupBy(*keys, "line_no").agg(joined_text(["x0", "word_no"]).alias("text"))
+    lines = gathered_lines(words, keys).select(*keys, "line_no", _texts().alias("text"))
     return lines.groupBy(*keys).agg(joined_text(["line_no"]).alias("text"))
 
 

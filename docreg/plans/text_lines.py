@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from docreg.operators.lines import group_lines, line_boxes
+from docreg.operators.lines import boxed_lines
 from docreg.operators.words import filter_confident
 
 
 def text_lines(words: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    return line_boxes(group_lines(filter_confident(words), keys), keys)
+    return boxed_lines(filter_confident(words), keys)

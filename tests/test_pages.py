@@ -291,3 +291,43 @@ def test_a_page_of_many_boxes_is_decided_by_joins(spark):
     # by quarters of a box: the first stays, the next two overlap it or each other by half
     assert {r.c for r in kept.groupBy((F.col("word_no") % 4).alias("c")).count().collect()} == {0, 2}
     assert kept.count() == 20_000
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning(")
+
+
+def test_gathered_lines_are_the_grouped_ones(spark, words_of):
+    """Lines apart, touching lines and a missing confidence."""
+    rows = [(d, f"w{k}", None if k == 4 else 0.5 + k / 100, 40 - 7 * k, 9 * k + (k * k) % 5, 60 - 7 * k, 9 * k + 4 + (k * 13) % 17) for d in (1, 2) for k in range(5)]
+    rows += [(2, "low", 0.9, 0, 500, 9, 512), (2, "er", 0.8, 20, 501, 29, 513)]
+    words = words_of(rows)
+    expected = lines.line_boxes(lines.group_lines(words))
+    assert sorted(map(str, lines.boxed_lines(words).select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_words_of_documents_are_moved_once(spark, tmp_path):
+    """Documents are dealt out as texts; their words then stay where they are."""
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(1, "a b\nc  d", "x"), (2, "e", "y")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert _shuffles(queries()["s2_flatten_annotations"](spark, str(tmp_path))) == 1
+    # each of the three ways to number lines reads the dealt documents; no other step moves words
+    for name in ("text_lines", "a2_line_boxes", "a3_rebuild_text"):
+        plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_dumped_words_are_packed_and_stay_where_they_lie(spark, tmp_path):
+    import glob
+
+    from docreg.sources import word_dumps
+
+    columns = "run string, region long, word_no int, text string, conf double, x0 int, y0 int, x1 int, y1 int"
+    words = spark.createDataFrame([("r", 7, 1, "b", 0.25, 5, 6, 7, 8), ("r", 7, 0, "a", 0.5, 1, 2, 3, 4)], columns)
+    assert _shuffles(word_dumps.dump_payloads(words.repartition(3, "region"))) == 1
+    word_dumps.write_word_dumps(words, str(tmp_path / "d"))
+    assert glob.glob(str(tmp_path / "d/run=r/part-*.gz"))
+    read = word_dumps.read_word_dumps(spark, str(tmp_path / "d")).orderBy("word_no").collect()
+    assert [(r.region, r.word_no, r.text, r.conf, r.x0, r.y1) for r in read] == [("7", 0, "a", 0.5, 1, 4), ("7", 1, "b", 0.25, 5, 8)]
