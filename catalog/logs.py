@@ -202,9 +202,8 @@ def _intake(spark, sf):
 def _dumps(spark, sf):
     """The words of every document as one dump file, by source, and read back."""
     path = work_path(spark, "dumps")
-    sources = i.table(spark, sf, "documents").select("doc_id", "source")
-    words = i.words(spark, sf).join(sources, "doc_id").select(
-        F.col("source").alias("run"), F.col("doc_id").cast("string").alias("region"),
+    words = i.words(spark, sf, "source").select(
+        F.col("source").alias("run"), F.col("doc_id").alias("region"),
         "word_no", "text", (F.col("conf") / 8).alias("conf"), "x0", "y0", "x1", "y1",
     )
     word_dumps.write_word_dumps(words, path)

@@ -62,13 +62,17 @@ def dump_payloads(words: DataFrame) -> DataFrame:
 
 
 def _listed(words: DataFrame) -> DataFrame:
-    item = F.struct("text", F.round("conf", 3).alias("confidence"), F.array("x0", "y0", "x1", "y1").alias("box"))
-    listed = F.array_sort(F.collect_list(F.struct("word_no", item.alias("item"))))
-    return words.groupBy("run", "region").agg(F.transform(listed, lambda w: w["item"]).alias("words"))
+    # flat while it is shuffled, nested afterwards
+    flat = F.struct("word_no", "text", F.round("conf", 3).alias("conf"), "x0", "y0", "x1", "y1")
+    item = lambda w: F.struct(w["text"].alias("text"), w["conf"].alias("confidence"), F.array(*[w[c] for c in ("x0", "y0", "x1", "y1")]).alias("box"))
+    listed = words.groupBy("run", "region").agg(F.array_sort(F.collect_list(flat)).alias("_flat"))
+    # a region may be named by a number; printed only here, so that pages dealt out by it stay where they are
+    return listed.select("run", F.col("region").cast("string").alias("region"), F.transform("_flat", item).alias("words"))
 
 
 def write_word_dumps(words: DataFrame, path: str) -> None:
-    """One folder per run, one line per region: the number of files follows the
-    number of tasks, not of pages."""
+    """One folder per run, one line per region, in files packed by gzip: their number
+    follows the number of tasks, not of pages."""
     line = F.to_json(F.struct("region", "words"))
-    _listed(words).select("run", line.alias("value")).write.partitionBy("run").mode("append").text(path)
+    packed = _listed(words).select("run", line.alias("value")).write.partitionBy("run").mode("append")
+    packed.option("compression", "gzip").text(path)
