@@ -3,12 +3,16 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from catalog import inputs
 from docreg.operators import registry as r, words as w
 from docreg.operators.labels import bands_below
 from docreg.plans.mrz_validation import read_zones
 from docreg.plans.text_lines import text_lines
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
@@ -59,3 +63,11 @@ def test_broadcasts_are_of_fixed_size(stored):
         stored.selectExpr("word_no AS id", "map('a', 'c') AS fields"),
     )
     assert "ResolvedHint" not in new._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("derived, key", [("label_words", "doc_id"), ("card_words", "doc_id"), ("back_words", "doc_id"), ("source_reads", "app_id")])
+def test_rows_are_dealt_before_they_become_many(spark, derived, key):
+    """A small file is one split: its words must not all be sorted by the task that reads it."""
+    made = getattr(inputs, derived)(spark, SF).select(key, F.spark_partition_id().alias("part")).distinct()
+    assert made.select("part").distinct().count() > 1
+    assert made.groupBy(key).count().where("count > 1").isEmpty()
