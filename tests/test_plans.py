@@ -71,3 +71,10 @@ def test_rows_are_dealt_before_they_become_many(spark, derived, key):
     made = getattr(inputs, derived)(spark, SF).select(key, F.spark_partition_id().alias("part")).distinct()
     assert made.select("part").distinct().count() > 1
     assert made.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def test_pages_dealt_out_pair_their_boxes_without_a_shuffle(stored):
+    """Neither the copies of a box, nor its cells, nor further detections are dealt out anew."""
+    boxes = stored.selectExpr("doc_id", "struct(0D AS less, word_no AS no) AS rank", "x0", "y0", "x1", "y1")
+    assert plan(w.overlapping_pairs(boxes.repartition(5, "doc_id"), ["doc_id"], 0.5)).count("Exchange hashpartitioning") == 1
+    assert plan(inputs.doubled(stored.sparkSession, SF).groupBy("doc_id", "x0").count()).count("Exchange hashpartitioning") == 1
