@@ -20,6 +20,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 #: Rows of a table in one part, each of which becomes up to thirty words.
 _ROWS = 1 << 14
+#: Rows of a table in one part that stay one row each.
+_SINGLE_ROWS = 1 << 18
 
 
 def dealt_rows(rows: DataFrame, key: str, per_part: int = _ROWS) -> DataFrame:
@@ -352,7 +354,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def record_changes(spark: SparkSession, sf: str) -> DataFrame:
-    kv = run(spark, sf, _RECORD_CHANGES + " ", "orders")
+    kv = dealt_rows(run(spark, sf, _RECORD_CHANGES + " ", "orders"), "id", _SINGLE_ROWS)
     return kv.select("id", F.create_map("k", "v").alias("fields"))
 
 

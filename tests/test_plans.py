@@ -65,7 +65,7 @@ def test_broadcasts_are_of_fixed_size(stored):
     assert "ResolvedHint" not in new._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("derived, key", [("label_words", "doc_id"), ("card_words", "doc_id"), ("back_words", "doc_id"), ("source_reads", "app_id")])
+@pytest.mark.parametrize("derived, key", [("label_words", "doc_id"), ("card_words", "doc_id"), ("back_words", "doc_id"), ("source_reads", "app_id"), ("record_changes", "id")])
 def test_rows_are_dealt_before_they_become_many(spark, derived, key):
     """A small file is one split: its words must not all be sorted by the task that reads it."""
     made = getattr(inputs, derived)(spark, SF).select(key, F.spark_partition_id().alias("part")).distinct()
