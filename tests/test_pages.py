@@ -331,3 +331,12 @@ def test_dumped_words_are_packed_and_stay_where_they_lie(spark, tmp_path):
     assert glob.glob(str(tmp_path / "d/run=r/part-*.gz"))
     read = word_dumps.read_word_dumps(spark, str(tmp_path / "d")).orderBy("word_no").collect()
     assert [(r.region, r.word_no, r.text, r.conf, r.x0, r.y1) for r in read] == [("7", 0, "a", 0.5, 1, 4), ("7", 1, "b", 0.25, 5, 8)]
+
+
+def test_many_seeds_are_not_broadcast(spark):
+    words = spark.range(210_000).selectExpr(
+        "id AS doc_id", "id AS word_no", "'Father' AS text", "0.9D AS conf", "10 AS x0", "10 AS y0", "90 AS x1", "24 AS y1"
+    )
+    found = labels.find_label_lines(words, labels.label_table(spark, [("father", "father", None)]))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 210_000
