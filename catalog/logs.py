@@ -81,7 +81,7 @@ def _corrections(spark, sf):
 
 def _report(spark, sf):
     """All reports of one log that holds prints, saves, corrections and broken lines."""
-    report = audit_report(_broken(spark, sf).unionByName(_correction_lines(spark, sf)))
+    report = audit_report(_broken(spark, sf).unionByName(_correction_lines(spark, sf)), several=True)
     text = lambda c, n: F.coalesce(c.cast("string"), F.lit("")).alias(n)
     row = lambda df, kind, key, *cols: df.select(F.lit(kind).alias("report"), text(F.col(key), "key"), *[text(c, n) for c, n in zip(cols, "abcd")])
     col = F.col

@@ -57,6 +57,18 @@ def test_the_audit_report_tells_what_was_changed(spark):
     assert (got.record_id, got.n_corrections, got.n_users, got.n_breaks, got.changed_fields) == ("5", 2, 2, 1, "Surname")
 
 
+def test_several_reports_parse_the_lines_once(spark):
+    lines = [
+        "2026-01-01 08:00:00 event=field_corrected user=u record_id=5 field=Surname old=A new=\"B C\"", "2026-01-01 08:01:00 event=print_rendered user=v",
+        "2026-01-01 08:02:00 event=record_saved user=v record_id=6", "rest of a line",
+    ]
+    table = spark.createDataFrame([(line,) for line in lines], "value string")
+    for each, once in zip(audit_report(table), audit_report(table, several=True)):
+        assert sorted(each.collect()) == sorted(once.collect()) != []
+        plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan(once)
+
+
 def test_late_and_repeated_events_of_a_stream(spark, tmp_path):
     def events(*rows):
         return [(i, at(m), e, "u", rec) for i, m, e, rec in rows]
