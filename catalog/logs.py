@@ -133,14 +133,14 @@ def _values_at(spark, sf):
 
 
 def _open_previews(spark, sf):
-    """Events in order of their days, four files, some events twice, streamed."""
+    """Events in order of their days, in four parts, some events twice, streamed."""
     root = work_path(spark, "previews")
     events = reliable(i.audit(spark, sf).select("event_id", F.date_trunc("second", "ts").alias("ts"), "event", "user", "record_id"))
     ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     step = (ends.high - ends.low) / 4
     for k in range(4):
         part = events.where((F.col("ts") >= ends.low + k * step) & ((F.col("ts") < ends.low + (k + 1) * step) if k < 3 else F.lit(True)))
-        part.unionByName(part.where("event_id % 11 = 0")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part.unionByName(part.where("event_id % 11 = 0")).write.mode("append").parquet(f"{root}/in")
         p.stream_previews(spark, f"{root}/in", f"{root}/out", f"{root}/state", "INTERVAL 6 HOURS", "2 days").awaitTermination()
     found = p.first_answers(spark.read.parquet(f"{root}/out"))
     settled = found.where(F.col("previewed") < F.lit(ends.high - timedelta(days=3)))

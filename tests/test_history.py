@@ -91,6 +91,28 @@ def test_late_and_repeated_events_of_a_stream(spark, tmp_path):
     assert streamed.count() == streamed.distinct().count()
 
 
+def test_a_preview_keeps_only_its_first_answer(spark, tmp_path):
+    """Many previews and answers of one record: as many rows as previews, not pairs."""
+    rng = random.Random(3)
+    rows = [(n, at(rng.randrange(600)), rng.choice(["print_rendered", "print_dispatched", "print_dispatch_failed"]), "u", rng.choice(["5", "5", None])) for n in range(600)]
+    rows += [(10**6, at(10_000), "record_saved", "u", "5")]
+    want = {}
+    for n, t, event, _, record in rows[:-1]:
+        if event.endswith("rendered"):
+            answers = [(a[1], a[2][6:]) for a in rows if a[2] in ("print_dispatched", "print_dispatch_failed") and a[4] == record and t <= a[1] <= t + timedelta(minutes=7)]
+            want[n] = min(answers, default=(None, None))
+    events = spark.createDataFrame(rows, p.EVENTS)
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).unionByName(events.where("event_id % 7 = 0")).write.mode("append").parquet(str(tmp_path / "in"))
+        p.stream_previews(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "INTERVAL 7 MINUTES", "20 days").awaitTermination()
+    spark.createDataFrame([(10**6 + 1, at(100_000), "record_saved", "u", "5")], p.EVENTS).write.mode("append").parquet(str(tmp_path / "in"))
+    p.stream_previews(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "INTERVAL 7 MINUTES", "20 days").awaitTermination()
+    for answers in (p.preview_answers(events, "INTERVAL 7 MINUTES"), spark.read.parquet(str(tmp_path / "out"))):
+        got = answers.collect()
+        assert {c.preview_id: (c.answered, c.step) for c in got} == want and len(got) == len(want) > 150
+        assert {c.preview_id: (c.answered, c.step) for c in p.first_answers(answers).collect()} == want
+
+
 def test_the_index_finds_what_a_scan_finds(spark, tmp_path):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcABé 1.#") for _ in range(rng.randint(0, 12)))
