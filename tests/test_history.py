@@ -134,6 +134,20 @@ def test_the_index_finds_what_a_scan_finds(spark, tmp_path):
     assert x.candidates(index, "only here").count() == 1 and x.candidates(index, "zzz").count() == 0
 
 
+def test_a_common_gram_is_a_bounded_row(spark, tmp_path):
+    ids = [-(2**63), -65, -1, 2**53 + 1, 2**63 - 1]
+    records = spark.range(70_000).unionByName(spark.createDataFrame([(i,) for i in ids], "id long")).selectExpr(
+        "id", "'2026-01-01' AS created_at", "map('Surname', 'common') AS fields")
+    for half in (0, 1):
+        x.write_index(records.where(F.pmod("id", F.lit(2)) == half), str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    # the longest row of a gram that all records hold, in values
+    longest = F.max(F.coalesce(*[F.size(c) for c, t in index.dtypes if t.startswith("array")]))
+    assert index.where("gram = 'com'").agg(longest).first()[0] <= x.SLICE // 32
+    found = x.candidates(index, "common")
+    assert found.count() == 70_005 and found.join(records, "id").count() == 70_005
+
+
 def test_a_needle_reads_few_postings(spark, tmp_path):
     records = spark.range(50_000).selectExpr("id", "'2026-01-01' AS created_at", "map('Surname', sha2(cast(id AS string), 256)) AS fields")
     x.write_index(records, str(tmp_path / "i"))
