@@ -36,13 +36,14 @@ def _filter_confident(spark, sf):
 
 
 def _group_lines(spark, sf):
-    return lines.group_lines(i.words(spark, sf)).select("doc_id", "word_no", "line_no")
+    words = i.words(spark, sf).select("doc_id", "word_no", "y0", "y1")
+    return lines.group_lines(words, dealt=True).select("doc_id", "word_no", "line_no")
 
 
 def _touching_lines(spark, sf):
     """Words of mixed heights, so that lines reach into each other."""
     tall = F.col("y0") + F.element_at(F.array(*[F.lit(h) for h in (14, 34, 54)]), (F.col("word_no") % 3 + 1).cast("int"))
-    return lines.group_lines(i.label_words(spark, sf).withColumn("y1", tall)).select("doc_id", "word_no", "line_no")
+    return lines.group_lines(i.label_words(spark, sf).withColumn("y1", tall), dealt=True).select("doc_id", "word_no", "line_no")
 
 
 def _line_boxes(spark, sf):

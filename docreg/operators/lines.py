@@ -120,7 +120,7 @@ def _fold_blocks(touching: DataFrame, keys: list[str], columns: list[str], slack
 
 
 def group_lines(
-    words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK
+    words: DataFrame, keys: Sequence[str] = ("doc_id",), slack: int = LINE_SLACK, dealt: bool = False
 ) -> DataFrame:
     """Add ``line_no`` (from 0, top to bottom): a word, taken by its top, joins
     the first line whose box widened by ``slack`` holds its vertical center, or
@@ -129,8 +129,18 @@ def group_lines(
     Where lines stand apart the number follows from the spans alone. Blocks in
     which lines touch depend on the order of their words; those blocks, and only
     those, are folded word by word, a block of ``BLOCK_WORDS`` words at most as one
-    row. A larger block is streamed through one task in the same order."""
+    row. A larger block is streamed through one task in the same order.
+
+    Words meet their spans in a join, which spreads a page of very many words and moves
+    all words for it. With ``dealt`` the pages are dealt out by their keys already: then
+    the words pass through the page-wide window themselves, where they lie, and only
+    those of long blocks move."""
     keys = list(keys)
+    if dealt:
+        numbered = _numbered(words.withColumn("_first", F.col("word_no")).withColumn("_n", F.lit(1)), keys, slack)
+        alone = numbered.filter(~F.col("_mixed")).select(*words.columns, "line_no")
+        mixed = numbered.filter("_mixed").select(*words.columns, "_block", "_first_line", "_in_block")
+        return alone.unionByName(_touching_lines(mixed, keys, words.columns, slack))
     on = [*keys, "y0", "y1"]
     spans = line_spans(words, keys, slack)
     apart = words.join(spans.filter(~F.col("_mixed")).select(*on, "line_no"), on).select(*words.columns, "line_no")

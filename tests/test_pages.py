@@ -42,6 +42,24 @@ def test_folded_and_streamed_blocks_are_alike(words_of, monkeypatch, most):
     assert got == dict(solve(rows, LINES))
 
 
+@pytest.mark.parametrize("most", [0, 7, 4096])
+def test_lines_of_dealt_pages_move_no_words(spark, words_of, monkeypatch, most):
+    monkeypatch.setattr(lines, "BLOCK_WORDS", most)
+    rows = random_rows(3, 40, 40, [8, 12, 30]) + random_rows(4, 40, 40, [2, 9, 30, 60])
+    words = words_of(rows).repartition(3, "doc_id")
+    dealt = lines.group_lines(words, dealt=True)
+    assert {r.word_no: r.line_no for r in dealt.collect()} == dict(solve(rows, LINES))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dealt.select("doc_id", "word_no", "line_no")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    # only those of long blocks, by block
+    assert len(moves) == 1 and "_block" in moves[0] and "Join" not in plan
+
+
 def test_lines_do_not_depend_on_row_order(words_of):
     words = words_of(random_rows(11, 40, 40, [8, 12, 30]))
     run = lambda df: sorted((r.word_no, r.line_no) for r in lines.group_lines(df).collect())
