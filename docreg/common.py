@@ -133,11 +133,11 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a written table that a join may send to every task.
-_FEW_ROWS = 200_000
+FEW_ROWS = 200_000
 
 
 def sorted_if_many(written: DataFrame) -> DataFrame:
     """A written table that joins do not broadcast if it has many rows. The optimizer
     goes by the size of its files, in which rows that resemble each other take a
     hundredth of their memory; rows are counted from the files' footers."""
-    return written.hint("merge") if written.count() > _FEW_ROWS else written
+    return written.hint("merge") if written.count() > FEW_ROWS else written

@@ -8,23 +8,24 @@ manifest; all other files are in both. Readers take the last committed manifest
 all of a change or nothing of it.
 
 Small batches first lie beside the base as pending changes, of which there is a bound.
-A read sends them to the base as a broadcast of that bound, so the base is never
-shuffled; a batch that would exceed it is merged, with all that waits, into the slices
-it touches. The last batch of each stream is part of the manifest, so a batch that is
+A read sends them to the base as a broadcast if they are few, so the base is not
+shuffled, and joins them sorted if the bound lets more of them wait; a batch that would
+exceed it is merged, with all that waits, into the slices it touches. The last batch of each stream is part of the manifest, so a batch that is
 applied again changes nothing, and one that was killed before its commit is repeated
 whole. One writer at a time."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreg.common import reliable
+from docreg.common import FEW_ROWS, reliable, sorted_if_many
 from docreg.operators.registry import latest_records, one_per_id
 from docreg.sources.commits import commit, last_version, version_path
 from docreg.sources.records import decode_records, encode_records
@@ -35,6 +36,10 @@ BASE, PENDING, UNKNOWN, SEEN = "base", "pending", "unknown", "seen"
 CHANGES = "id long, version long, ts timestamp, fields map<string, string>"
 #: Ids that are compared one by one in a scan, so that Bloom filters see them.
 _NAMED = 500
+#: Tasks that list the folders of slices. Spark takes one for each folder up to ten
+#: thousand, and the driver keeps what it knows of every task.
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+_LISTING_TASKS = 64
 
 
 def _any_of(ids: list[int]) -> Column:
@@ -58,6 +63,16 @@ class RecordStore:
     group_rows: int = 20_000
     key: str | None = None
 
+    @contextmanager
+    def _listed(self) -> Iterator[None]:
+        """Folders are listed by few tasks in here."""
+        set_before = self.spark.conf.get(_LISTING)
+        self.spark.conf.set(_LISTING, str(min(int(set_before), _LISTING_TASKS)))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_LISTING, set_before)
+
     # --- manifests
 
     def manifest(self) -> DataFrame:
@@ -80,7 +95,8 @@ class RecordStore:
 
     def _stored(self, paths: list[str]) -> DataFrame:
         schema = f"id long, created_at string, version long, payload {'string' if self.key is None else 'binary'}"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        with self._listed():
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _decoded(self, stored: DataFrame) -> DataFrame:
         return decode_records(stored, self.key, also=["version"])
@@ -98,7 +114,8 @@ class RecordStore:
         sorted_.write.partitionBy("slice").option("parquet.bloom.filter.enabled#id", "true").option(
             "parquet.bloom.filter.expected.ndv#id", str(self.group_rows)
         ).option("parquet.block.row.count.limit", str(self.group_rows)).parquet(path)
-        written = self.spark.read.schema("id long, slice long").parquet(path).groupBy("slice")
+        with self._listed():
+            written = self.spark.read.schema("id long, slice long").parquet(path).groupBy("slice")
         rows = written.agg(F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
         return rows.select(F.lit(BASE).alias("kind"), "slice", F.concat(F.lit(f"{path}/slice="), "slice").alias("path"), "high", "n")
 
@@ -124,15 +141,22 @@ class RecordStore:
             F.when(counts, F.col("_change.fields")).otherwise(F.col("fields")).alias("fields"),
         )
 
-    def _current(self, stored: DataFrame, pending: DataFrame) -> DataFrame:
-        # pending changes are bounded in number, so they may be sent
-        latest = F.broadcast(latest_records(pending).select("id", "version", "fields"))
+    @staticmethod
+    def _waiting(manifest: DataFrame) -> int:
+        """The number of pending changes."""
+        return manifest.where(F.col("kind") == PENDING).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+    def _current(self, stored: DataFrame, pending: DataFrame, n_pending: int) -> DataFrame:
+        """Stored records with their pending changes, which are sent only if they are few:
+        ``most_pending`` may be any number, and the driver holds all that is sent."""
+        latest = latest_records(pending).select("id", "version", "fields")
+        latest = F.broadcast(latest) if n_pending <= FEW_ROWS else latest.hint("merge")
         return self._changed(self._decoded(stored), latest).select("id", "created_at", "fields")
 
     def records(self) -> DataFrame:
         """The current records: the base with the latest pending change of each id."""
         manifest = self.manifest()
-        return self._current(self._stored(self._paths(manifest, BASE)), self._log(manifest))
+        return self._current(self._stored(self._paths(manifest, BASE)), self._log(manifest), self._waiting(manifest))
 
     def rejected(self) -> DataFrame:
         """Changes of batches to ids that no record has."""
@@ -154,20 +178,20 @@ class RecordStore:
         manifest = self.manifest()
         slices = sorted({i // self.slice_ids for i in asked})
         paths = self._paths(manifest.where(F.col("slice").isin(slices)), BASE)
-        return self._current(self._stored(paths).where(_any_of(asked)), self._log(manifest).where(F.col("id").isin(asked)))
+        return self._current(self._stored(paths).where(_any_of(asked)), self._log(manifest).where(F.col("id").isin(asked)), len(asked))
 
     def lookup_all(self, ids: DataFrame) -> DataFrame:
         """The records of a table of ids; only their slices are read."""
         manifest = self.manifest()
         touched = manifest.join(ids.select(self._slice().alias("slice")).distinct(), "slice", "left_semi")
         stored = self._stored(self._paths(touched, BASE)).join(ids.select("id").distinct(), "id", "left_semi")
-        return self._current(stored, self._log(manifest))
+        return self._current(stored, self._log(manifest), self._waiting(manifest))
 
     def between(self, low: int, high: int) -> DataFrame:
         """The records of a range of ids."""
         manifest, within = self.manifest(), F.col("id").between(low, high)
         slices = manifest.where(F.col("slice").between(low // self.slice_ids, high // self.slice_ids))
-        return self._current(self._stored(self._paths(slices, BASE)).where(within), self._log(manifest).where(within))
+        return self._current(self._stored(self._paths(slices, BASE)).where(within), self._log(manifest).where(within), self._waiting(manifest))
 
     # --- changing
 
@@ -227,12 +251,11 @@ class RecordStore:
             return False
         rest = manifest.where(~mine).unionByName(self._row(SEEN, stream, batch))
         added = reliable(rest.unionByName(self._add(PENDING, changes)))
-        waiting = added.where(F.col("kind") == PENDING).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        if waiting <= self.most_pending:
+        if self._waiting(added) <= self.most_pending:
             self._commit(added)
             return True
         log = self._log(added)
         latest = reliable(latest_records(log).select("id", "version", "fields"))
         merged, unknown = self._rewritten(reliable(added.where(F.col("kind") != PENDING)), latest)
-        self._commit(merged.unionByName(self._add(UNKNOWN, log.join(unknown.select("id"), "id", "left_semi"))))
+        self._commit(merged.unionByName(self._add(UNKNOWN, log.join(sorted_if_many(unknown).select("id"), "id", "left_semi"))))
         return True

@@ -1,6 +1,7 @@
 """The record store: what is read, what is rewritten, what a killed batch leaves."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def test_batches_wait_beside_the_base_and_are_merged(spark, tmp_path):
     assert surnames(store.records(), 50_000, 50_001) == ["unknown", "S50001"] and store.rejected().count() == 0
 
 
+def test_many_pending_changes_are_not_sent(spark, tmp_path):
+    store = fresh(spark, tmp_path, most_pending=10**6)
+    listing = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    many = spark.range(200_001).selectExpr("id % 100000 AS id", "id AS version", "CAST(NULL AS timestamp) AS ts", "map('Surname', concat('v', id)) AS fields")
+    store.apply_batch("s", 0, many)
+    sent = lambda df: re.search(r"BroadcastHashJoin \[id#\d+L\], \[id#\d+L\], LeftOuter", df._jdf.queryExecution().executedPlan().toString())
+    for found in (store.records(), store.between(0, 5), store.lookup_all(spark.range(3))):
+        assert not sent(found) and surnames(found, 0, 2) == ["v200000", "v100002"]
+    assert sent(store.lookup([2]))
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listing
+
+
 def test_a_killed_batch_is_repeated(spark, tmp_path):
     store = fresh(spark, tmp_path, most_pending=1)
     store.apply_batch("s", 0, changes(spark, (1, 1, "a"), (2, 1, "b")))
